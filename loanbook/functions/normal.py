@@ -101,3 +101,41 @@ def norm_cdf(col: str) -> Column:
 
 def norm_ppf(col: str) -> Column:
     return F.expr(norm_ppf_sql(col))
+
+
+# ------------------------------------------------------------ numpy twins
+# Same formulas for work inside tasks (e.g. per-partition scenario losses).
+def _np_poly(coefs, x):
+    import numpy as np
+    out = np.full_like(x, coefs[0], dtype=float)
+    for c in coefs[1:]:
+        out = out * x + c
+    return out
+
+
+def norm_cdf_np(x):
+    import numpy as np
+    x = np.asarray(x, dtype=float)
+    ax = np.abs(x)
+    e = np.exp(-ax * ax / 2)
+    near = e * _np_poly(_CDF_NUM, ax) / _np_poly(_CDF_DEN, ax)
+    cf = ax + 0.65
+    for k in (4, 3, 2, 1):
+        cf = ax + k / cf
+    far = e / cf / _SQRT_2PI
+    tail = np.where(ax > 37, 0.0, np.where(ax < _CDF_SPLIT, near, far))
+    return np.where(x > 0, 1 - tail, tail)
+
+
+def norm_ppf_np(p):
+    import numpy as np
+    p = np.asarray(p, dtype=float)
+    q = p - 0.5
+    r1 = 0.180625 - q * q
+    central = q * _np_poly(_A[::-1], r1) / _np_poly(_B[::-1], r1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = np.sqrt(-np.log(np.where(q < 0, p, 1 - p)))
+        mid = _np_poly(_C[::-1], r - 1.6) / _np_poly(_D[::-1], r - 1.6)
+        far = _np_poly(_E[::-1], r - 5) / _np_poly(_F[::-1], r - 5)
+    tail = np.where(r <= 5, mid, far)
+    return np.where(np.abs(q) <= 0.425, central, np.where(q < 0, -tail, tail))

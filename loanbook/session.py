@@ -30,6 +30,8 @@ def get_spark(master: str | None = None, app: str = "loanbook",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", os.environ.get("LOANBOOK_DRIVER_MEMORY", "16g"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
