@@ -143,3 +143,29 @@ MONITOR_CAP = 50000
 STRATUM_CAP = 10000
 UI_SAMPLE = 30
 THRESHOLD_POINTS = 100
+
+# --- fixed values: stage column selectors ------------------------------------
+PD_FEATURES = [
+    "loan_amnt", "term", "grade", "emp_title", "home_ownership",
+    "annual_inc", "verification_status", "dti", "earliest_cr_line",
+    "inq_last_6mths", "total_rev_hi_lim", "acc_open_past_24mths",
+    "avg_cur_bal", "bc_open_to_buy", "bc_util", "mo_sin_old_rev_tl_op",
+    "mo_sin_rcnt_rev_tl_op", "mo_sin_rcnt_tl", "mort_acc",
+    "mths_since_recent_bc", "mths_since_recent_inq", "num_actv_rev_tl",
+    "num_tl_op_past_12m",
+]
+PD_TRAIN_COLUMNS = ["id", "loan_status"] + PD_FEATURES
+PD_PREDICT_COLUMNS = ["id"] + PD_FEATURES
+PRICING_TRAIN_COLUMNS = ["loan_status"] + PD_FEATURES + ["purpose"]
+PRICING_PREDICT_COLUMNS = ["id"] + PD_FEATURES + ["purpose"]
+LGD_TRAIN_COLUMNS = [
+    "id", "loan_status", "int_rate", "term", "purpose", "addr_state",
+    "disbursement_method", "annual_inc", "home_ownership", "loan_amnt",
+    "total_rec_prncp", "recoveries", "collection_recovery_fee",
+    "total_pymnt", "last_pymnt_amnt", "debt_settlement_flag",
+]
+LGD_PREDICT_STATUS_COLUMNS = ["id", "loan_status", "purpose", "addr_state",
+                              "disbursement_method", "term", "int_rate"]
+LGD_PREDICT_COLUMNS = ["id", "purpose", "addr_state", "disbursement_method", "term", "int_rate"]
+FEATURE_DROP_COLUMNS = ["loan_amnt", "earliest_cr_line", "avg_cur_bal", "inq_last_6mths",
+                        "num_tl_op_past_12m", "mo_sin_old_rev_tl_op", "term"]

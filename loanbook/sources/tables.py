@@ -209,3 +209,20 @@ def with_loanbook(sql: str, ctes: str = "") -> str:
     """Prefix a query with the loan-book CTEs (and optional extra CTEs)."""
     extra = f",\n{ctes.strip().rstrip(',')}" if ctes.strip() else ""
     return f"WITH {LOAN_BOOK_SQL.strip()}{extra}\n{sql}"
+
+
+# Column order and types of the loan book (used to render SQL twins).
+LOANBOOK_COLUMNS = [
+    ("id", "BIGINT"), ("loan_amnt", "DOUBLE"), ("funded_amnt", "DOUBLE"),
+    ("annual_inc", "DOUBLE"), ("term", "VARCHAR"), ("purpose", "VARCHAR"),
+    ("title", "VARCHAR"), ("addr_state", "VARCHAR"), ("home_ownership", "VARCHAR"),
+    ("emp_length", "VARCHAR"), ("zip_code", "VARCHAR"), ("disbursement_method", "VARCHAR"),
+    ("loan_status", "VARCHAR"), ("issue_d", "DATE"), ("earliest_cr_line", "DATE"),
+    ("dti", "DOUBLE"), ("fico_range_high", "DOUBLE"), ("policy_code", "DOUBLE"),
+    ("out_prncp", "DOUBLE"), ("total_rec_prncp", "DOUBLE"), ("recoveries", "DOUBLE"),
+    ("collection_recovery_fee", "DOUBLE"), ("total_pymnt", "DOUBLE"), ("int_rate", "DOUBLE"),
+    ("installment", "DOUBLE"), ("avg_cur_bal", "DOUBLE"), ("total_rev_hi_lim", "DOUBLE"),
+    ("bc_util", "DOUBLE"), ("bc_open_to_buy", "DOUBLE"), ("inq_last_6mths", "DOUBLE"),
+    ("num_tl_op_past_12m", "DOUBLE"),
+]
+LOANBOOK_TYPES = dict(LOANBOOK_COLUMNS)
