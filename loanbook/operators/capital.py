@@ -92,7 +92,7 @@ def standard_weight(use_tags: bool = False) -> Column:
 def with_irb(risk: DataFrame) -> DataFrame:
     """R4 per-loan capital requirement K.
 
-    Staged as separate projections (G(PD), then Z, then K) so the normal
+    Staged as separate projections (G(PD), then Z, then N(Z)) so the normal
     CDF's argument stays a column reference and the expression stays small.
     """
     g999 = norm_ppf_sql(_dbl(K.IRB_CONFIDENCE))
@@ -103,15 +103,39 @@ def with_irb(risk: DataFrame) -> DataFrame:
                         * K.IRB_MATURITY_SCALE).drop("g_pd", "z_irb", "n_z")
 
 
-def capital_totals(risk: DataFrame, use_tags: bool = False) -> DataFrame:
-    """R2 + R4 + A10 as one aggregate: standardized RWA, IRB RWA, EL, EAD."""
-    r = with_irb(risk)
-    return r.agg(
-        F.sum(F.col("ead") * standard_weight(use_tags)).alias("rwa_standardized"),
-        (F.sum(F.col("K") * K.RWA_MULTIPLIER * F.col("ead")) * K.IRB_SCALING).alias("rwa_irb"),
-        F.sum("expected_loss").alias("expected_loss"),
+# ------------------------------------------------------------ risk cells
+def risk_cells(risk: DataFrame, use_tags: bool = False) -> DataFrame:
+    """One pass over the loans: partial aggregate by (pd, R[, weight]).
+
+    Every capital figure is linear in exposure within a cell, so the loans
+    are read once and everything after works on this tiny table (one row
+    per distinct PD). It is cached: several scalar subqueries read it, and a
+    lost block is recomputed from lineage.
+    """
+    wt = standard_weight(use_tags)
+    cells = risk.groupBy("pd", "R", wt.alias("weight")).agg(
+        F.sum(F.col("ead") * F.col("lgd")).alias("w"),
+        F.sum("ead").alias("ead"),
+        F.sum("expected_loss").alias("el"),
+        F.count(F.lit(1)).alias("n"))
+    g999 = norm_ppf_sql(_dbl(K.IRB_CONFIDENCE))
+    c = cells.withColumn("g", F.expr(norm_ppf_sql("pd"))) \
+             .withColumn("sr", F.sqrt("R")).withColumn("s1r", F.sqrt(1 - F.col("R")))
+    c = c.withColumn("z_irb", F.expr(f"(g + sr * {g999}) / s1r"))
+    c = c.withColumn("n_z", F.expr(norm_cdf_sql("z_irb")))
+    c = c.withColumn("irb_k_unit", (F.col("n_z") - F.col("pd")) * K.IRB_MATURITY_SCALE)
+    return c.cache()
+
+
+def capital_totals(risk: DataFrame, use_tags: bool = False, cells: DataFrame | None = None) -> DataFrame:
+    """R2 + R4 + A10 from the cells: standardized RWA, IRB RWA, EL, EAD."""
+    c = cells if cells is not None else risk_cells(risk, use_tags)
+    return c.agg(
+        F.sum(F.col("ead") * F.col("weight")).alias("rwa_standardized"),
+        (F.sum(F.col("irb_k_unit") * K.RWA_MULTIPLIER * F.col("w")) * K.IRB_SCALING).alias("rwa_irb"),
+        F.sum("el").alias("expected_loss"),
         F.sum("ead").alias("total_ead"),
-        F.count(F.lit(1)).alias("n_loans"))
+        F.sum("n").alias("n_loans"))
 
 
 # ------------------------------------------------------------ R5 scenarios
@@ -123,14 +147,6 @@ def scenario_table(spark: SparkSession, n: int = K.N_SCENARIOS) -> DataFrame:
         F.expr(norm_ppf_sql(f"(CAST(id AS DOUBLE) + 0.5) / {int(n)}")).alias("z"))
 
 
-def risk_cells(risk: DataFrame) -> DataFrame:
-    """Loans grouped by (pd, R): exposure x LGD summed per cell."""
-    cells = risk.groupBy("pd", "R").agg(F.sum(F.col("ead") * F.col("lgd")).alias("w"))
-    return cells.select(
-        "w", F.expr(norm_ppf_sql("pd")).alias("g"),
-        F.sqrt("R").alias("sr"), F.sqrt(1 - F.col("R")).alias("s1r"))
-
-
 _COND_LOSS = ("aggregate(cells, CAST(0 AS DOUBLE), (acc, c) -> acc + c.w * "
               + norm_cdf_sql("((c.g - c.sr * z) / c.s1r)") + ")")
 
@@ -155,22 +171,23 @@ def _losses_partial(cells: DataFrame, scen_n: int) -> DataFrame:
                 acc += (b["w"].to_numpy()[:, None] * norm_cdf_np(arg)).sum(axis=0)
         yield pd.DataFrame({"scenario": np.arange(scen_n, dtype="int64"), "loss": acc})
 
-    parts = cells.mapInPandas(fold, "scenario LONG, loss DOUBLE")
+    parts = cells.select("w", "g", "sr", "s1r").mapInPandas(fold, "scenario LONG, loss DOUBLE")
     return parts.groupBy("scenario").agg(F.sum("loss").alias("loss")) \
                 .withColumn("z", F.expr(norm_ppf_sql(f"(CAST(scenario AS DOUBLE) + 0.5) / {int(scen_n)}")))
 
 
 def scenario_losses(risk: DataFrame, n: int = K.N_SCENARIOS,
-                    max_broadcast_cells: int = MAX_BROADCAST_CELLS) -> DataFrame:
+                    max_broadcast_cells: int = MAX_BROADCAST_CELLS,
+                    cells: DataFrame | None = None) -> DataFrame:
     """Portfolio loss per scenario, capped by total exposure."""
     spark = risk.sparkSession
-    cells = risk_cells(risk)
-    n_cells = cells.count()  # one small aggregate job: the size check
+    c = cells if cells is not None else risk_cells(risk)
+    n_cells = c.count()  # the size check (and it fills the cache)
     if n_cells <= max_broadcast_cells:
-        raw = _losses_broadcast(cells, scenario_table(spark, n))
+        raw = _losses_broadcast(c, scenario_table(spark, n))
     else:
-        raw = _losses_partial(cells, n)
-    cap = risk.agg(F.sum("ead").alias("cap")).scalar()
+        raw = _losses_partial(c, n)
+    cap = c.agg(F.sum("ead")).scalar()
     return raw.select("scenario", "z", F.least(F.col("loss"), cap).alias("loss"))
 
 
@@ -186,9 +203,11 @@ def var_and_shortfall(losses: DataFrame, q: float = K.IRB_CONFIDENCE) -> DataFra
 def capital_report(risk: DataFrame, n: int = K.N_SCENARIOS, use_tags: bool = False) -> DataFrame:
     """One-row comparison of the three RWAs (2 dp), EL, unit, scenarios.
 
-    The tail figures enter the one-row totals as scalar subqueries."""
-    tot = capital_totals(risk, use_tags)
-    tail = var_and_shortfall(scenario_losses(risk, n))
+    The loans are aggregated once into cells; the tail figures enter the
+    one-row totals as scalar subqueries over the scenario table."""
+    cells = risk_cells(risk, use_tags)
+    tot = capital_totals(risk, use_tags, cells)
+    tail = var_and_shortfall(scenario_losses(risk, n, cells=cells)).cache()
     var = tail.select("var").scalar()
     n_s = tail.select("n_scenarios").scalar()
     el = F.col("expected_loss")
@@ -206,8 +225,9 @@ def capital_adequacy(risk: DataFrame, capital: float | None = None,
                      n: int = K.N_SCENARIOS, q: float = K.IRB_CONFIDENCE) -> DataFrame:
     """Tail loss against available capital. ``capital`` defaults to 8 %
     of standardized RWA (the Basel minimum ratio) when no figure is given."""
-    tot = capital_totals(risk)
-    tail = var_and_shortfall(scenario_losses(risk, n), q)
+    cells = risk_cells(risk)
+    tot = capital_totals(risk, cells=cells)
+    tail = var_and_shortfall(scenario_losses(risk, n, cells=cells), q).cache()
     var = tail.select("var").scalar()
     es = tail.select("expected_shortfall").scalar()
     cap = F.lit(float(capital)) if capital is not None else F.col("rwa_standardized") * 0.08
