@@ -63,10 +63,9 @@ def average_precision(scored: DataFrame, score: str = "score", label: str = "lab
     (partial aggregate), then a running sum over the distinct scores."""
     g = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("tp"),
                                   F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores
     g = g.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
-    tot = scored.agg(F.sum(F.col(label).cast("long")).alias("P")).scalar()
-    return g.agg((F.sum(F.col("tp") / tot * (F.col("ctp") / F.col("cn")))).alias("average_precision"))
+    return g.agg((F.sum(F.col("tp") * (F.col("ctp") / F.col("cn"))) / F.sum("tp")).alias("average_precision"))
 
 
 def log_loss(scored: DataFrame, prob: str = "probability", label: str = "label",

@@ -28,7 +28,7 @@ def spread_of(purpose: str | Column = "purpose", spreads: dict | None = None,
     p = F.col(purpose) if isinstance(purpose, str) else purpose
     spreads = spreads or K.PURPOSE_SPREADS
     m = F.create_map(*[x for k, v in spreads.items() for x in (F.lit(k), F.lit(float(v)))])
-    return F.coalesce(F.element_at(m, p), F.lit(default))
+    return F.coalesce(F.try_element_at(m, p), F.lit(default))
 
 
 def base_rate(df: DataFrame, spreads: dict | DataFrame | None = None,

@@ -1 +1,216 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered binning, metric and model queries.
+
+Given-edge WoE and the metrics have SQL twins; fitted models are checked
+by row counts and the property tests in ``tests/``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loanbook import constants as K
+from loanbook.functions.numeric import round_half_even
+from loanbook.operators import aggregates as AG
+from loanbook.operators import binning as BN
+from loanbook.operators import filters as FL
+from loanbook.operators import models as MD
+from loanbook.operators import pricing as P
+from loanbook.operators import sampling as S
+from loanbook.plans import risk as RK
+from loanbook.plans.catalog import register
+from loanbook.plans.review_queries import SCORE_SQL, sweep_score
+from loanbook.plans.sqlfrag import FINISHED_IN, LABEL_CASE, dbl, q, rint
+from loanbook.sources.tables import loan_book, with_loanbook
+
+# Bin edges given as parameters for the SQL-checked WoE queries.
+WOE_EDGES = {
+    "dti": [5.0, 10.0, 15.0, 20.0, 25.0, 30.0],
+    "annual_inc": [40000.0, 60000.0, 80000.0, 100000.0, 120000.0],
+    "fico_range_high": [650.0, 700.0, 750.0, 800.0],
+}
+WOE_FEATURES = list(WOE_EDGES)
+
+
+def _train(spark, d):
+    """Finished loans, label 0/1 in ``label``."""
+    lb = loan_book(spark, d)
+    return FL.finished(lb, binary=False).withColumnRenamed("loan_status", "label")
+
+
+def _bin_sql(f: str) -> str:
+    parts = " + ".join(f"CAST({f} >= {dbl(e)} AS INTEGER)" for e in WOE_EDGES[f])
+    return f"CASE WHEN {f} IS NULL THEN NULL ELSE {parts} END"
+
+
+def _woe_ctes() -> str:
+    stack = " UNION ALL ".join(f"SELECT {q(f)} AS feature, {_bin_sql(f)} AS bin, y FROM tr" for f in WOE_FEATURES)
+    bounds = []
+    for f, e in WOE_EDGES.items():
+        lo = ["NULL"] + [dbl(x) for x in e]
+        hi = [dbl(x) for x in e] + ["NULL"]
+        bounds += [f"({q(f)}, {i}, CAST({lo[i]} AS DOUBLE), CAST({hi[i]} AS DOUBLE))" for i in range(len(e) + 1)]
+    sg = f"((coalesce(c.n_good, 0) + {dbl(0.5)}) / t.G)"
+    sb = f"((coalesce(c.n_bad, 0) + {dbl(0.5)}) / t.B)"
+    return (f"tr AS (SELECT {LABEL_CASE} AS y, {', '.join(WOE_FEATURES)} FROM loanbook WHERE {FINISHED_IN}),\n"
+            f"st AS ({stack}),\n"
+            f"cnt AS (SELECT feature, bin, count(*) FILTER (WHERE y = 0) AS n_good, "
+            f"count(*) FILTER (WHERE y = 1) AS n_bad FROM st WHERE bin IS NOT NULL GROUP BY feature, bin),\n"
+            f"bd AS (SELECT * FROM (VALUES {', '.join(bounds)}) AS v(feature, bin, lower, upper)),\n"
+            f"tt AS (SELECT count(*) FILTER (WHERE y = 0) AS G, count(*) FILTER (WHERE y = 1) AS B FROM tr),\n"
+            f"wt AS (SELECT b.feature, b.bin, b.lower, b.upper, coalesce(c.n_good, 0) AS n_good, "
+            f"coalesce(c.n_bad, 0) AS n_bad, ln({sg} / {sb}) AS woe, ({sg} - {sb}) * ln({sg} / {sb}) AS iv "
+            f"FROM bd b LEFT JOIN cnt c ON b.feature = c.feature AND b.bin = c.bin, tt t)")
+
+
+@register("m3_bins", with_loanbook(
+    f"SELECT feature, bin, lower, upper, n_good, n_bad, {rint('woe', 10)} AS woe, {rint('iv', 10)} AS iv FROM wt",
+    _woe_ctes()))
+def m3_bins(spark, d):
+    t = BN.woe_table(_train(spark, d), "label", WOE_EDGES)
+    return t.select("feature", "bin", "lower", "upper", "n_good", "n_bad",
+                    round_half_even("woe", 10).alias("woe"), round_half_even("iv", 10).alias("iv"))
+
+
+_M4_SEL = ", ".join(
+    f"{rint(f'coalesce((SELECT w.woe FROM wt w WHERE w.feature = {q(f)} AND w.bin = ({_bin_sql(f)})), 0)', 10)}"
+    f" AS {f}_woe" for f in WOE_FEATURES)
+
+
+@register("m4_woe", with_loanbook(f"SELECT id, {_M4_SEL} FROM loanbook", _woe_ctes()))
+def m4_woe(spark, d):
+    tbl = BN.woe_table(_train(spark, d), "label", WOE_EDGES)
+    model = BN.model_from_table(tbl, WOE_EDGES)
+    out = model.transform(loan_book(spark, d).select("id", *WOE_FEATURES))
+    return out.select("id", *[round_half_even(f"{f}_woe", 10).alias(f"{f}_woe") for f in WOE_FEATURES])
+
+
+@register("m3_fit_bins")
+def m3_fit_bins(spark, d):
+    """M3 fitted: quantile pre-bins merged to a monotone event rate (rows only)."""
+    model = BN.fit(_train(spark, d), "label", WOE_FEATURES)
+    return model.table(spark)
+
+
+# ------------------------------------------------------------ A9 metrics
+_A9_CTES = (f"sc AS (SELECT {LABEL_CASE} AS y, {SCORE_SQL} AS s FROM loanbook WHERE {FINISHED_IN}),\n"
+            "g AS (SELECT s, sum(y) AS tp, count(*) AS n FROM sc GROUP BY s),\n"
+            "cg AS (SELECT s, tp, n, sum(tp) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+            "AS ctp, sum(n) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn FROM g)")
+_A9_SQL = with_loanbook(
+    f"SELECT {rint('(SELECT sum(tp * (ctp / cn)) / sum(tp) FROM cg)', 10)} AS average_precision, "
+    f"{rint(f'(SELECT -avg(y * ln(least(greatest(s, {dbl(1e-15)}), {dbl(1 - 1e-15)})) + (1 - y) * ln(1 - least(greatest(s, {dbl(1e-15)}), {dbl(1 - 1e-15)}))) FROM sc)', 10)} AS log_loss, "
+    f"{rint('(SELECT avg(pow(s - y, 2)) FROM sc)', 10)} AS mse", _A9_CTES)
+
+
+@register("a9_metrics", _A9_SQL)
+def a9_metrics(spark, d):
+    sc = _train(spark, d).select(F.col("label").alias("y"), sweep_score().alias("s"))
+    ap = AG.average_precision(sc, "s", "y").select("average_precision").scalar()
+    ll = AG.log_loss(sc, "s", "y").select("log_loss").scalar()
+    ms = sc.agg(F.avg(F.pow(F.col("s") - F.col("y"), 2))).scalar()
+    return spark.range(1).select(round_half_even(ap, 10).alias("average_precision"),
+                                 round_half_even(ll, 10).alias("log_loss"),
+                                 round_half_even(ms, 10).alias("mse"))
+
+
+# ------------------------------------------------------------ fitted models (rows only)
+def _woe_train(spark, d):
+    tr = MD.balanced_weights(_train(spark, d), "label")
+    tbl = BN.woe_table(tr, "label", WOE_EDGES)
+    model = BN.model_from_table(tbl, WOE_EDGES)
+    return model.transform(tr), [f"{f}_woe" for f in WOE_FEATURES]
+
+
+@register("m5_logit")
+def m5_logit(spark, d):
+    """M5: weighted logit on WoE features; P(default) per finished loan."""
+    tr, feats = _woe_train(spark, d)
+    n_w = tr.agg(F.sum("weight")).first()[0]
+    m = MD.logit(feats, "label", C=1.0, n_weight=n_w).fit(tr)
+    return m.transform(tr).select("id", MD.p_default().alias("pd"), "label")
+
+
+@register("m11_scorecard")
+def m11_scorecard(spark, d):
+    """M11 from the fitted logit's coefficients on WoE features."""
+    tr, feats = _woe_train(spark, d)
+    n_w = tr.agg(F.sum("weight")).first()[0]
+    m = MD.logit(feats, "label", C=1.0, n_weight=n_w).fit(tr)
+    return tr.select("id", MD.scorecard(m, feats).alias("credit_score"))
+
+
+_GBT_FEATS = ["loan_amnt", "dti", "fico_range_high", "annual_inc", "policy_code"]
+
+
+@register("m6_gbt")
+def m6_gbt(spark, d):
+    """M6: weighted GBT on review features (nulls -> -1)."""
+    tr = MD.with_sentinel(MD.balanced_weights(_train(spark, d), "label"), _GBT_FEATS)
+    m = MD.gbt(_GBT_FEATS, "label", max_iter=10).fit(tr)
+    return m.transform(tr).select("id", MD.p_default().alias("pd"), "label")
+
+
+def _lgd_train(spark, d):
+    lb = loan_book(spark, d)
+    dd = P.realized_lgd(FL.defaulted(lb)).filter(F.col("realized_lgd").isNotNull())
+    return dd.select("id", *K.LGD_CATEGORICAL, F.col("realized_lgd").alias("lgd"))
+
+
+@register("m7_forest")
+def m7_forest(spark, d):
+    """M7 + M14: LGD forest on defaulted loans, LGD profile of ongoing loans."""
+    m = MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", num_trees=20).fit(_lgd_train(spark, d))
+    ong = FL.ongoing(loan_book(spark, d)).select("id", *K.LGD_CATEGORICAL)
+    return MD.lgd_profile(m, ong)
+
+
+@register("m8_isotonic")
+def m8_isotonic(spark, d):
+    """M8: isotonic calibration of the GBT probability (fit on a train split,
+    applied to every finished loan)."""
+    tr = MD.with_sentinel(MD.balanced_weights(_train(spark, d), "label"), _GBT_FEATS)
+    sp = S.stratified_split(tr.select("id", "label"), "label", 0.8, ["id"])
+    fit_ids = sp.filter(F.col("split") == "train").select("id")
+    m = MD.gbt(_GBT_FEATS, "label", max_iter=10).fit(tr.join(fit_ids, "id", "left_semi"))
+    cal = MD.calibrate(m.transform(tr.join(fit_ids, "id", "left_anti")), "label")
+    out = MD.calibrated_pd(m, cal, tr)
+    return out.select("id", "label", "calibrated_pd")
+
+
+@register("m9_search")
+def m9_search(spark, d):
+    """M9: seeded random search over the logit's C (held-out AP)."""
+    tr, feats = _woe_train(spark, d)
+    n_w = tr.agg(F.sum("weight")).first()[0]
+    pipe = MD.logit(feats, "label", n_weight=n_w)
+    lr = pipe.getStages()[-1]
+    pts = MD.random_grid(lr, {"C": (0.01, 10.0)}, 5)
+    maps = [{lr.regParam: 1.0 / (p["C"] * n_w)} for p in pts]
+    best = MD.search(pipe, maps, MD.AveragePrecisionEvaluator("probability", "label"), tr, parallelism=2)
+    return spark.createDataFrame([(float(m),) for m in best.validationMetrics], "average_precision DOUBLE")
+
+
+@register("m13_pd")
+def m13_pd(spark, d):
+    """PD profile (id, EAD, calibrated PD, base rate) for every loan."""
+    tr = MD.with_sentinel(MD.balanced_weights(_train(spark, d), "label"), _GBT_FEATS)
+    m = MD.gbt(_GBT_FEATS, "label", max_iter=10).fit(tr)
+    cal = MD.calibrate(m.transform(tr), "label")
+    book = MD.with_sentinel(RK.priced_book(loan_book(spark, d)), _GBT_FEATS)
+    return MD.pd_profile(m, cal, book)
+
+
+@register("c15_model_impute")
+def c15_model_impute(spark, d):
+    """Forest imputation of the null numeric PD features."""
+    cols = ["dti", "total_rev_hi_lim", "bc_open_to_buy", "bc_util", "annual_inc", "loan_amnt"]
+    lb = loan_book(spark, d).select("id", *cols)
+    return MD.iterative_impute(lb, cols, rounds=2, num_trees=5)
+
+
+# ------------------------------------------------------------ A11
+@register("a11_selection_summary")
+def a11_selection_summary(spark, d):
+    """Evaluated / granted / profit of the committee selection (Q8)."""
+    from loanbook.plans.selection_queries import selection
+    return AG.selection_summary(selection(spark, d))
