@@ -73,7 +73,9 @@ def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 4
     it = items(report, limits).cache()
     lam, bound = dual_prices(it, iters)
     price = sum((F.lit(lam[k] + 1e-9) * F.col(f"a{k}") for k in range(3)), F.lit(1e-12))
-    cand = it.filter(F.col("p") > 0).withColumn("score", F.col("p") / price)
+    # a loan whose own weight exceeds a limit can never be chosen
+    fit_alone = (F.col("a0") <= 1) & (F.col("a1") <= 1) & (F.col("a2") <= 1)
+    cand = it.filter((F.col("p") > 0) & fit_alone).withColumn("score", F.col("p") / price)
     cand = cand.withColumn("bucket", F.floor(F.log2("score") * BUCKETS_PER_OCTAVE).cast("long"))
     hist = cand.groupBy("bucket").agg(*[F.sum(f"a{k}").alias(f"s{k}") for k in range(3)])
     w = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over buckets

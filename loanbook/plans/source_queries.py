@@ -1 +1,54 @@
-"""Registered source and sink queries."""
+"""Registered source and sink queries (S1-S7), each over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loanbook.functions.numeric import round_half_even
+from loanbook.operators import cleaning as CL
+from loanbook.operators import migration as M
+from loanbook.plans.catalog import register
+from loanbook.plans.sqlfrag import rint
+from loanbook.sources import io as IO
+from loanbook.sources.tables import loan_book, read_table, with_loanbook
+
+_S1_COLS = ["id", "loan_amnt", "term", "dti", "issue_d", "loan_status", "purpose"]
+
+
+@register("s1_csv_scan", with_loanbook(f"SELECT {', '.join(_S1_COLS)} FROM loanbook"))
+def s1_csv_scan(spark, d):
+    """S6 CSV sink, then S1 scan with the declared schema (+C8, C9 typing)."""
+    path = IO.scratch_path(spark, "s1")
+    IO.write_table(loan_book(spark, d).select(*_S1_COLS), path, "csv")
+    back = IO.read_csv(spark, path, columns=_S1_COLS)
+    return CL.parse_dates(CL.clean_id(back), ["issue_d"])
+
+
+@register("s2_route_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+def s2_route_parquet(spark, d):
+    """S2 + S3: suffix routing to the Parquet reader, projected and filtered
+    (the filter and the two columns reach the scan)."""
+    df = IO.read_any(spark, f"{d.rstrip('/')}/orders.parquet")
+    return df.filter(F.col("o_orderstatus") == "O").select("o_orderkey", "o_totalprice")
+
+
+_EV = """
+ev AS (SELECT user_id AS id, ts, event_id,
+              CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2
+                              WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END AS state FROM events),
+tr AS (SELECT state AS from_state, lead(state) OVER (PARTITION BY id ORDER BY ts, event_id) AS to_state
+       FROM ev WHERE state IS NOT NULL),
+cnt AS (SELECT from_state, to_state, count(*) AS n FROM tr WHERE to_state IS NOT NULL GROUP BY ALL)
+"""
+
+
+@register("s5_matrix_json", f"WITH {_EV.strip()} SELECT from_state, to_state, "
+          f"{rint('n / sum(n) OVER (PARTITION BY from_state)', 12)} AS p FROM cnt")
+def s5_matrix_json(spark, d):
+    """D1 estimate -> S7 JSON document -> S5 read back as a long table."""
+    est = M.estimate_matrix(M.event_states(read_table(spark, d, "events")))
+    doc = IO.matrix_json(IO.matrix_from_table(est))  # states x states numbers
+    path = IO.scratch_path(spark, "s5")
+    spark.createDataFrame([(doc,)], "value STRING").coalesce(1).write.mode("overwrite").text(path)
+    back = IO.read_matrix(spark, path)
+    return back.select("from_state", "to_state", round_half_even("p", 12).alias("p"))
