@@ -71,12 +71,13 @@ def clip_sql(expr: str, lo: float | None = None, hi: float | None = None) -> str
 
 
 def money_sum(x) -> Column:
-    """Exact sum of a 2-decimal amount: summed as DECIMAL, returned as DOUBLE.
+    """Exact sum of a 2-decimal amount, returned as DOUBLE.
 
-    Float sums depend on the order of addition (partitioning); the decimal
-    sum does not, so every engine and every partitioning agrees.
+    Float sums depend on the order of addition (partitioning); a sum of
+    LONG cents does not, so every engine and every partitioning agrees
+    (it equals the SQL twin's DECIMAL sum cast to DOUBLE).
     """
-    return F.sum(_c(x).cast("decimal(18,2)")).cast("double")
+    return F.sum(F.round(_c(x) * 100).cast("long")) / 100.0
 
 
 def money_sum_sql(expr: str) -> str:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from loanbook import constants as K
 from loanbook.functions.numeric import inf_to_null, nan_to_null
+from loanbook.session import reuse
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
@@ -81,9 +82,11 @@ def require_data(df: DataFrame) -> DataFrame:
 
 
 def initial_clean(df: DataFrame) -> DataFrame:
-    """C1 + C2 + C3 after the C4 guard."""
+    """C1 + C2 + C3 after the C4 guard (the input is read by the guard,
+    the share statistics and the result, so it is kept once)."""
+    df = reuse(df)
     require_data(df)
-    return drop_sparse_columns(drop_sparse_rows(drop_duplicate_rows(df)))
+    return drop_sparse_columns(reuse(drop_sparse_rows(drop_duplicate_rows(df))))
 
 
 # ------------------------------------------------------------------ C5
@@ -287,6 +290,7 @@ def handle_missing(df: DataFrame, crucial: list[str] | None = None,
     strs = [c for c in string_columns(d) if c not in exempt]
     if strs:
         d = d.dropna(subset=strs)
+    d = reuse(d)  # read by the pattern count, the medians and the result
     nums = numeric_columns(d)  # a numeric id is tested like any other column
     plan = _null_policy_plan(d, nums, crucial, drop_share)
     drops = [c for c, a, _ in plan if a == "drop"]
@@ -315,7 +319,7 @@ def review_clean(df: DataFrame, stats: dict | None = None) -> tuple[DataFrame, d
     ``stats`` fitted on one batch can be reused on another (fit/transform);
     without it they come from ``df`` itself, as in the original.
     """
-    d = drop_duplicate_rows(df)
+    d = reuse(drop_duplicate_rows(df))
     if "issue_d" in d.columns:
         d = d.withColumn("issue_d", F.year(parse_date(F.col("issue_d")) if dict(d.dtypes)["issue_d"] == "string"
                                            else F.col("issue_d")).cast("double"))

@@ -328,3 +328,52 @@ def c17_infinities(spark, d):
     r = F.when(F.col("num_tl_op_past_12m") == 0, F.lit(float("inf"))) \
          .otherwise(F.col("dti") / F.col("num_tl_op_past_12m"))
     return CL.infinities_to_null(lb.select("id", r.alias("dti_per_line")))
+
+
+# ------------------------------------------------------------ C5 / U1 / W4 / D5
+@register("c5_coerce", with_loanbook(
+    "SELECT loan_amnt, TRY_CAST(regexp_replace(dti, '[%$,]', '', 'g') AS DOUBLE) AS dti, "
+    "TRY_CAST(regexp_replace(amount_text, '[%$,]', '', 'g') AS DOUBLE) AS amount, title FROM rj",
+    "rj AS (SELECT loan_amnt, CAST(dti AS VARCHAR) || '%' AS dti, "
+    "'$' || CAST(loan_amnt AS VARCHAR) AS amount_text, title FROM loanbook)"))
+def c5_coerce(spark, d):
+    """C5 (optional coercion): '%', '$', ',' stripped, unparsable -> null."""
+    raw = _lb(spark, d).select("loan_amnt", F.concat(F.col("dti").cast("string"), F.lit("%")).alias("dti"),
+                               F.concat(F.lit("$"), F.col("loan_amnt").cast("string")).alias("amount_text"),
+                               "title")
+    out = CL.coerce_types(raw, {"dti": "double", "amount_text": "double", "title": "string"})
+    return out.withColumnRenamed("amount_text", "amount")
+
+
+@register("u1_stack", with_loanbook(
+    f"SELECT loan_status, count(*) AS n FROM (SELECT id, loan_status FROM loanbook WHERE {FINISHED_IN} "
+    f"UNION ALL SELECT id, loan_status FROM loanbook WHERE loan_status IN {in_list(K.ONGOING_STATUSES)}) "
+    "GROUP BY loan_status"))
+def u1_stack(spark, d):
+    """Strata stacked by name (bag union), counted per status."""
+    from loanbook.operators.joins import stack
+    lb = _lb(spark, d).select("id", "loan_status")
+    fin = lb.filter(F.col("loan_status").isin(list(K.FINISHED_STATUS_LABEL)))
+    return stack(fin, FL.ongoing(lb)).groupBy("loan_status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("w4_first_n", with_loanbook(
+    f"SELECT id, loan_status, loan_amnt FROM loanbook WHERE loan_status IN {in_list(K.ONGOING_STATUSES)} "
+    f"ORDER BY loan_amnt DESC, id LIMIT {K.UI_SAMPLE}"))
+def w4_first_n(spark, d):
+    """First n rows after a total order (a top-n report: the limit is the feature)."""
+    ong = FL.ongoing(_lb(spark, d)).select("id", "loan_status", "loan_amnt")
+    return ong.orderBy(F.col("loan_amnt").desc(), "id").limit(K.UI_SAMPLE)
+
+
+CCF = 0.75
+
+
+@register("d5_ccf_ead", with_loanbook(
+    f"SELECT id, {rint(f'out_prncp + greatest(funded_amnt - out_prncp, 0) * {dbl(CCF)}', 2)} AS ead_ccf "
+    "FROM loanbook WHERE out_prncp IS NOT NULL"))
+def d5_ccf_ead(spark, d):
+    """EAD with credit conversion = balance + undrawn x CCF (CCF a parameter)."""
+    lb = _lb(spark, d).filter(F.col("out_prncp").isNotNull())
+    undrawn = F.greatest(F.col("funded_amnt") - F.col("out_prncp"), F.lit(0.0))
+    return lb.select("id", round_half_even(F.col("out_prncp") + undrawn * CCF, 2).alias("ead_ccf"))

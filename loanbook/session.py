@@ -71,3 +71,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep an input that an operator reads more than once (statistics pass,
+    then the result). MEMORY_AND_DISK; a block lost with an executor is
+    recomputed from lineage, so results stay correct."""
+    from pyspark import StorageLevel
+    if df.storageLevel == StorageLevel.NONE:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df

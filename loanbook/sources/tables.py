@@ -33,18 +33,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _cents(c: str, scale: int = 100):
+    """A 2-decimal amount as an exact LONG count of 1/scale units."""
+    return F.round(F.col(c) * scale).cast("long")
+
+
 def _line_aggregates(lineitem: DataFrame) -> DataFrame:
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
-    disc = F.col("l_discount").cast("decimal(18,2)")
+    """Per-order line aggregates. Amounts have two decimals, so the sums are
+    taken exactly as LONG counts of cents (price x discount in 1/10000
+    units) and turned into doubles once: the result equals the correctly
+    rounded exact sum, whatever the partitioning or summation order (the
+    SQL twin sums DECIMALs and gets the same doubles)."""
+    price, disc = _cents("l_extendedprice"), _cents("l_discount")
     return (lineitem.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).cast("long").alias("n_ret"),
-        F.sum(price).cast("double").alias("gross"),
-        F.sum(F.when(F.col("l_linestatus") == "O", price)
-              .otherwise(F.lit(0).cast("decimal(18,2)"))).cast("double").alias("open_amt"),
-        F.sum(price * disc).cast("double").alias("disc_amt"),
-        F.sum(disc).cast("double").alias("disc_sum"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("qty"),
+        (F.sum(price) / 100.0).alias("gross"),
+        (F.sum(F.when(F.col("l_linestatus") == "O", price).otherwise(F.lit(0).cast("long"))) / 100.0)
+        .alias("open_amt"),
+        (F.sum(price * disc) / 10000.0).alias("disc_amt"),
+        (F.sum(disc) / 100.0).alias("disc_sum"),
+        (F.sum(_cents("l_quantity")) / 100.0).alias("qty"),
     ))
 
 
