@@ -174,10 +174,15 @@ def action_report(risk: DataFrame, provisions: DataFrame) -> DataFrame:
 
     ``risk``: id, status_tag, cumulative_pd (K3). ``provisions``: the cleaned
     monitoring rows with provision_needed, recoveries, funded_amnt (C19).
-    """
-    prov = provisions.select("id", "provision_needed",
-                             base_lgd().alias("base_lgd"))
-    m = risk.join(prov, "id", "inner")
+    J7 is the inner join on id."""
+    prov = provisions.select("id", "provision_needed", "recoveries", "funded_amnt")
+    return action_report_rows(risk.join(prov, "id", "inner"))
+
+
+def action_report_rows(m: DataFrame) -> DataFrame:
+    """K6-K8 on rows that carry status_tag, cumulative_pd, provision_needed,
+    recoveries and funded_amnt."""
+    m = m.withColumn("base_lgd", base_lgd())
     m = m.withColumn("lgd_lower", clip(F.col("base_lgd") * K.LGD_LOWER_FACTOR, 0.0, 1.0)) \
          .withColumn("lgd_upper", clip(F.col("base_lgd") * K.LGD_UPPER_FACTOR, 0.0, 1.0))
     ecl = lambda lgd: round_half_even(F.col("provision_needed") * F.col("cumulative_pd") * F.col(lgd), 2)

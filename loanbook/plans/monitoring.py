@@ -37,8 +37,31 @@ def action_inputs(loans: DataFrame) -> DataFrame:
 
 
 def action_report(loans: DataFrame, tpm=None) -> DataFrame:
-    """Detailed action report."""
-    return M.action_report(risk_report(loans, tpm), action_inputs(loans))
+    """Detailed action report, fused into one pass.
+
+    C18 (first state per id) and C19 (highest exposure per id) are both
+    keyed by id, so they are one grouped aggregate: ``min`` over
+    struct(id, state) and ``max`` over struct(out_prncp, rest of the row),
+    each ignoring the rows its rule drops. Keeping ids that have both is
+    the inner join J7. One shuffle on id, then column expressions and a
+    broadcast of the per-state PD table (one row per state)."""
+    st = M.status_to_state("loan_status")
+    d = loans.select("id", "loan_status", st.alias("status"), "out_prncp", "funded_amnt",
+                     "recoveries", "total_pymnt")
+    first = F.when(F.col("status").isNotNull(), F.struct(F.col("id").alias("k"), F.col("status")))
+    top = F.when(F.col("out_prncp").isNotNull(),
+                 F.struct("out_prncp", "loan_status", "funded_amnt", "recoveries", "total_pymnt"))
+    g = d.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(first).alias("s"), F.max(top).alias("p"))
+    g = g.filter(F.col("s").isNotNull() & F.col("p").isNotNull()).select(
+        "id", F.col("s.status").cast("int").alias("current_state"),
+        F.greatest(M.round_half_even(F.coalesce("p.out_prncp", F.lit(0.0)), 2), F.lit(0.0)).alias("provision_needed"),
+        F.col("p.recoveries").alias("recoveries"), F.col("p.funded_amnt").alias("funded_amnt"))
+    pdt = M.state_pd_table(loans.sparkSession, tpm)
+    r = g.join(F.broadcast(pdt), F.col("current_state") == F.col("state"), "left")
+    r = r.select("id", M.risk_tag("current_state").alias("status_tag"),
+                 M.round_half_even("horizon_pd", 4).alias("cumulative_pd"),
+                 "provision_needed", "recoveries", "funded_amnt")
+    return M.action_report_rows(r)
 
 
 def run(loans: DataFrame, tpm=None) -> dict[str, DataFrame]:
