@@ -207,7 +207,8 @@ def capital_report(risk: DataFrame, n: int = K.N_SCENARIOS, use_tags: bool = Fal
     one-row totals as scalar subqueries over the scenario table."""
     cells = risk_cells(risk, use_tags)
     tot = capital_totals(risk, use_tags, cells)
-    tail = var_and_shortfall(scenario_losses(risk, n, cells=cells)).cache()
+    losses = scenario_losses(risk, n, cells=cells).cache()  # n rows, read twice
+    tail = var_and_shortfall(losses).cache()
     var = tail.select("var").scalar()
     n_s = tail.select("n_scenarios").scalar()
     el = F.col("expected_loss")
@@ -227,7 +228,8 @@ def capital_adequacy(risk: DataFrame, capital: float | None = None,
     of standardized RWA (the Basel minimum ratio) when no figure is given."""
     cells = risk_cells(risk)
     tot = capital_totals(risk, cells=cells)
-    tail = var_and_shortfall(scenario_losses(risk, n, cells=cells), q).cache()
+    losses = scenario_losses(risk, n, cells=cells).cache()  # n rows, read twice
+    tail = var_and_shortfall(losses, q).cache()
     var = tail.select("var").scalar()
     es = tail.select("expected_shortfall").scalar()
     cap = F.lit(float(capital)) if capital is not None else F.col("rwa_standardized") * 0.08

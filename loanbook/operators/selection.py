@@ -46,10 +46,15 @@ def items(report: DataFrame, limits: tuple[float, float, float]) -> DataFrame:
         _scaled(F.col("EAD"), cash).alias("a2"))
 
 
-def dual_prices(it: DataFrame, iters: int = 40) -> tuple[list[float], float]:
-    """Projected subgradient on the dual; returns (prices, best upper bound)."""
+def dual_prices(it: DataFrame, iters: int = 40, patience: int = 6,
+                tol: float = 1e-4) -> tuple[list[float], float]:
+    """Projected subgradient on the dual; returns (prices, best upper bound).
+
+    Stops early when the best bound has not improved by ``tol`` (relative)
+    for ``patience`` steps."""
     lam = [0.0, 0.0, 0.0]
     best_lam, best = list(lam), math.inf
+    stale = 0
     for t in range(1, iters + 1):
         red = F.col("p") - sum((F.lit(lam[k]) * F.col(f"a{k}") for k in range(3)), F.lit(0.0))
         r = it.agg(F.sum(F.greatest(red, F.lit(0.0))).alias("v"),
@@ -57,8 +62,12 @@ def dual_prices(it: DataFrame, iters: int = 40) -> tuple[list[float], float]:
                    ).first()
         v = r.v or 0.0
         bound = v + sum(lam)
+        improved = not math.isfinite(best) or bound < best * (1 - tol)
+        stale = 0 if improved else stale + 1
         if bound < best:
             best_lam, best = list(lam), bound
+        if stale >= patience:
+            break
         g = [1.0 - (r[f"u{k}"] or 0.0) for k in range(3)]
         if all(x >= 0 for x in g) and all(lam[k] == 0 or abs(g[k]) < 1e-12 for k in range(3)):
             break  # feasible and complementary: the relaxation is solved
