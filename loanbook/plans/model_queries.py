@@ -158,7 +158,15 @@ def _lgd_train(spark, d):
 
 @register("m7_forest")
 def m7_forest(spark, d):
-    """M7 + M14: LGD forest on defaulted loans, LGD profile of ongoing loans."""
+    """M7: LGD forest on defaulted loans; in-sample predictions and labels."""
+    tr = _lgd_train(spark, d)
+    m = MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", num_trees=20).fit(tr)
+    return m.transform(tr).select("id", "lgd", "prediction")
+
+
+@register("m14_lgd")
+def m14_lgd(spark, d):
+    """LGD profile (id, predicted LGD in [0, 1]) of the ongoing loans."""
     m = MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", num_trees=20).fit(_lgd_train(spark, d))
     ong = FL.ongoing(loan_book(spark, d)).select("id", *K.LGD_CATEGORICAL)
     return MD.lgd_profile(m, ong)

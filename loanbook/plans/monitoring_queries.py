@@ -194,3 +194,15 @@ def d3_mean_steps(spark, d):
     steps = M.mean_steps_to_default(mat, n - 1)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(steps)],
                                  "from_state INT, mean_steps DOUBLE")
+
+
+@register("j7_actions", mon_sql(
+    "SELECT r.id, r.status_tag, r.cumulative_pd, a.provision_needed, a.recoveries, a.funded_amnt "
+    "FROM risk r JOIN act0 a ON r.id = a.id"))
+def j7_actions(spark, d):
+    """Risk report joined to the cleaned provisioning rows on id (the
+    two-branch form of the fused action report)."""
+    from loanbook.operators import joins as J
+    ong = _ongoing(spark, d)
+    prov = MON.action_inputs(ong).select("id", "provision_needed", "recoveries", "funded_amnt")
+    return J.profiles(MON.risk_report(ong), prov)

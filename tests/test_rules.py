@@ -304,3 +304,20 @@ def test_stream_tags(spark, tmp_path):
     q.awaitTermination()
     got = {r.id: (r.status_tag, r.action) for r in spark.sql("select * from tags_test").collect()}
     assert got == {1: ("stable", "monitor"), 2: ("warning", "legal recovery initiation")}
+
+
+# ------------------------------------------------------------ F5 / F6 routing
+def test_routing_and_binary_labels(spark):
+    from loanbook.operators import filters as FL
+    with_status = spark.createDataFrame([(1, "Fully Paid"), (2, "Current"), (3, "Charged Off")],
+                                        "id long, loan_status string")
+    assert FL.route(with_status) == "train" and FL.route(with_status.drop("loan_status")) == "score"
+    assert FL.route(with_status, "score") == "score"
+    assert not FL.is_binary_label(with_status)
+    fin = FL.finished(with_status)
+    assert sorted(rows(fin, "id", "loan_status")) == [(1, 0), (3, 1)]
+    binary = spark.createDataFrame([(1, "0"), (2, "1.0"), (3, None)], "id long, loan_status string")
+    assert FL.is_binary_label(binary)
+    assert FL.finished(binary).count() == 3  # already binary: every row is finished
+    mode, sel = FL.review_route(spark.createDataFrame([(1.0,) * 9], ", ".join(f"{c} double" for c in K.REVIEW_FEATURES)))
+    assert mode == "score" and sel.columns == K.REVIEW_FEATURES
