@@ -28,7 +28,7 @@ def _norm(v, digits):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, digits)
+        return v if digits is None else round(v, digits)
     if hasattr(v, "isoformat"):
         s = v.isoformat()
         return s[:10] if s.endswith("T00:00:00") or len(s) == 10 else s
