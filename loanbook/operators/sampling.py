@@ -179,3 +179,39 @@ def donor_attach(applicants: DataFrame, donors: DataFrame, app_key: str = "appli
     joined = sample_with_replacement(applicants, pool, app_key, donor_key, seed)
     keep = applicants.columns + [c for c in extra if c not in applicants.columns]
     return joined.select(*keep)
+
+
+def running_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
+                 prefix: str = "cum_") -> DataFrame:
+    """Inclusive running sums of ``value_cols`` in ``order_cols`` order over
+    the whole table, without a single-partition window: range partitioning,
+    a sort inside partitions, per-partition totals turned into offsets (one
+    row per partition, broadcast), and a per-partition fold in Arrow
+    batches. The laid-out table is checkpointed so both passes see the same
+    partitions."""
+    import pandas as pd
+
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols) \
+                .withColumn("__pid", F.spark_partition_id())
+    ordered = cut_lineage(ordered)
+    tot = ordered.groupBy("__pid").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(value_cols)])
+    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    off = tot.select("__pid", *[F.coalesce(F.sum(f"__t{i}").over(w), F.lit(0.0)).cast("double").alias(f"__o{i}")
+                                for i in range(len(value_cols))])
+    with_off = ordered.join(F.broadcast(off), "__pid", "left")
+    out_cols = [c for c in df.columns] + [f"{prefix}{c}" for c in value_cols]
+
+    def fold(batches):
+        carry = None
+        for pdf in batches:
+            if carry is None:
+                carry = [float(pdf[f"__o{i}"].iloc[0]) if len(pdf) else 0.0 for i in range(len(value_cols))]
+            for i, c in enumerate(value_cols):
+                cs = pdf[c].astype(float).fillna(0.0).cumsum() + carry[i]
+                if len(pdf):
+                    carry[i] = float(cs.iloc[-1])
+                pdf[f"{prefix}{c}"] = cs
+            yield pdf[out_cols]
+
+    schema = df.select(*df.columns, *[F.lit(0.0).alias(f"{prefix}{c}") for c in value_cols]).schema
+    return with_off.mapInPandas(fold, schema)

@@ -2,7 +2,9 @@
 
 Re-aimed from an exact binary program to a Lagrangian dual that scales:
 
-1. Weights are scaled by their limits, so each constraint reads sum <= 1.
+1. For the prices, weights are scaled by their limits (each constraint
+   reads sum <= 1); feasibility is always checked on raw sums against raw
+   limits.
 2. Projected subgradient on the three prices (lambda >= 0): a loan is in
    iff profit - lambda . weights > 0. Each step is one aggregate over a
    cached four-column table; the dual value is an upper bound on the best
@@ -11,7 +13,9 @@ Re-aimed from an exact binary program to a Lagrangian dual that scales:
    per priced weight; a histogram over log-score buckets (one partial
    aggregate) gives prefix sums of the three weights; whole buckets are
    kept while all prefixes fit; only the one marginal bucket is ranked row
-   by row (weights are >= 0, so the feasible rows there are a prefix).
+   by row (weights are >= 0, so the feasible rows there are a prefix), by a
+   window when its size is below a checked bound, else by distributed
+   running sums (many equal scores).
    A negative-profit loan is never selected.
 """
 
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from loanbook.operators.pricing import rwa_proxy
 
 BUCKETS_PER_OCTAVE = 256
+MAX_WINDOW_ROWS = 5_000_000  # marginal-bucket rows ranked by one window task
 
 
 def _scaled(c: Column, limit: float) -> Column:
@@ -35,15 +40,17 @@ def _scaled(c: Column, limit: float) -> Column:
 
 
 def items(report: DataFrame, limits: tuple[float, float, float]) -> DataFrame:
-    """(id, p, a0, a1, a2): profit and the three limit-scaled weights."""
+    """(id, p, w0..w2, a0..a2): profit, the raw weights (RWA, EL, EAD) for
+    feasibility checks, and the limit-scaled weights for the dual prices."""
     if min(limits) < 0:
         raise ValueError("a negative limit admits no feasible selection")
     rwa, prov, cash = limits
+    raw = [F.coalesce(rwa_proxy(), F.lit(0.0)), F.coalesce(F.col("Expected_Loss"), F.lit(0.0)),
+           F.coalesce(F.col("EAD"), F.lit(0.0))]
     return report.filter(F.col("Expected_Profit").isNotNull()).select(
         "id", F.col("Expected_Profit").alias("p"),
-        _scaled(rwa_proxy(), rwa).alias("a0"),
-        _scaled(F.col("Expected_Loss"), prov).alias("a1"),
-        _scaled(F.col("EAD"), cash).alias("a2"))
+        *[raw[k].alias(f"w{k}") for k in range(3)],
+        *[_scaled(raw[k], lim).alias(f"a{k}") for k, lim in enumerate(limits)])
 
 
 def dual_prices(it: DataFrame, iters: int = 40, patience: int = 6,
@@ -77,28 +84,36 @@ def dual_prices(it: DataFrame, iters: int = 40, patience: int = 6,
     return best_lam, best
 
 
-def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40) -> tuple[DataFrame, float]:
+def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40,
+           max_window_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, float]:
     """Q8: the report with a boolean ``selected``, and the dual bound."""
     it = items(report, limits).cache()
     lam, bound = dual_prices(it, iters)
     price = sum((F.lit(lam[k] + 1e-9) * F.col(f"a{k}") for k in range(3)), F.lit(1e-12))
+    L = [F.lit(float(x)) for x in limits]
     # a loan whose own weight exceeds a limit can never be chosen
-    fit_alone = (F.col("a0") <= 1) & (F.col("a1") <= 1) & (F.col("a2") <= 1)
+    fit_alone = (F.col("w0") <= L[0]) & (F.col("w1") <= L[1]) & (F.col("w2") <= L[2])
     cand = it.filter((F.col("p") > 0) & fit_alone).withColumn("score", F.col("p") / price)
     cand = cand.withColumn("bucket", F.floor(F.log2("score") * BUCKETS_PER_OCTAVE).cast("long"))
-    hist = cand.groupBy("bucket").agg(*[F.sum(f"a{k}").alias(f"s{k}") for k in range(3)])
+    hist = cand.groupBy("bucket").agg(*[F.sum(f"w{k}").alias(f"s{k}") for k in range(3)])
     w = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over buckets
     hist = hist.select("bucket", *[F.sum(f"s{k}").over(w).alias(f"c{k}") for k in range(3)])
-    fits = (F.col("c0") <= 1) & (F.col("c1") <= 1) & (F.col("c2") <= 1)
+    fits = (F.col("c0") <= L[0]) & (F.col("c1") <= L[1]) & (F.col("c2") <= L[2])
     mb = hist.filter(~fits).agg(F.max("bucket")).scalar()  # the marginal bucket (null: all fit)
     whole = cand.filter(mb.isNull() | (F.col("bucket") > mb))
-    before = cand.filter(F.col("bucket") > mb).agg(*[F.sum(f"a{k}").alias(f"b{k}") for k in range(3)])
-    we = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "id") \
-               .rowsBetween(Window.unboundedPreceding, 0)
-    edge = cand.filter(F.col("bucket") == mb).select(
-        "id", *[(F.sum(f"a{k}").over(we) + F.coalesce(before.select(f"b{k}").scalar(), F.lit(0.0)))
-                .alias(f"r{k}") for k in range(3)])
-    edge = edge.filter((F.col("r0") <= 1) & (F.col("r1") <= 1) & (F.col("r2") <= 1))
+    before = cand.filter(F.col("bucket") > mb).agg(*[F.sum(f"w{k}").alias(f"b{k}") for k in range(3)])
+    edge_rows = cand.filter(F.col("bucket") == mb)
+    base = [F.coalesce(before.select(f"b{k}").scalar(), F.lit(0.0)) for k in range(3)]
+    if edge_rows.count() <= max_window_rows:  # size check: one task ranks the bucket
+        we = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "id") \
+                   .rowsBetween(Window.unboundedPreceding, 0)
+        edge = edge_rows.select("id", *[(F.sum(f"w{k}").over(we) + base[k]).alias(f"r{k}") for k in range(3)])
+    else:  # a hot bucket (many equal scores): distributed running sums
+        from loanbook.operators.sampling import running_sums
+        rs = running_sums(edge_rows.select("id", (-F.col("score")).alias("neg_score"), "w0", "w1", "w2"),
+                          ["neg_score", "id"], ["w0", "w1", "w2"])
+        edge = rs.select("id", *[(F.col(f"cum_w{k}") + base[k]).alias(f"r{k}") for k in range(3)])
+    edge = edge.filter((F.col("r0") <= L[0]) & (F.col("r1") <= L[1]) & (F.col("r2") <= L[2]))
     chosen = whole.select("id").unionByName(edge.select("id")).withColumn("selected", F.lit(True))
     out = report.join(chosen, "id", "left").fillna(False, ["selected"])
     return out, bound

@@ -321,3 +321,23 @@ def test_routing_and_binary_labels(spark):
     assert FL.finished(binary).count() == 3  # already binary: every row is finished
     mode, sel = FL.review_route(spark.createDataFrame([(1.0,) * 9], ", ".join(f"{c} double" for c in K.REVIEW_FEATURES)))
     assert mode == "score" and sel.columns == K.REVIEW_FEATURES
+
+
+def test_selection_distributed_prefix_path(spark):
+    """Many equal scores: the marginal bucket goes through running_sums."""
+    n = 400
+    rep = spark.createDataFrame([(i, 100.0, 0.1, 5.0, 10.0) for i in range(n)],
+                                "id long, EAD double, probability_of_default double, "
+                                "Expected_Loss double, Expected_Profit double")
+    lim = (100.0 * 0.1 * 12.5 * 150, 5.0 * 150, 100.0 * 150)  # room for exactly 150 loans
+    a, _ = SEL.select(rep, lim)
+    b, _ = SEL.select(rep, lim, max_window_rows=0)
+    sa = {r.id for r in a.filter("selected").collect()}
+    sb = {r.id for r in b.filter("selected").collect()}
+    assert len(sa) == 150 and sa == sb
+
+
+def test_running_sums(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v"))
+    out = S.running_sums(df.repartition(5), ["id"], ["v"]).orderBy("id").toPandas()
+    assert np.allclose(out["cum_v"].to_numpy(), np.cumsum((np.arange(1000) % 7).astype(float)))
