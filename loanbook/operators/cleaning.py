@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from loanbook import constants as K
 from loanbook.functions.numeric import inf_to_null, nan_to_null
+from loanbook.functions.quantiles import exact_quantile
 from loanbook.session import reuse
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -296,12 +297,9 @@ def handle_missing(df: DataFrame, crucial: list[str] | None = None,
     drops = [c for c, a, _ in plan if a == "drop"]
     fills = [(c, before) for c, a, before in plan if a == "fill"]
     medians = {}
-    if fills:
-        aggs = []
-        for c, before in fills:
-            alive = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in before], F.lit(True))
-            aggs.append(F.percentile(F.when(alive, F.col(c)), 0.5).alias(c))
-        medians = d.agg(*aggs).first().asDict()
+    for c, before in fills:  # exact medians over the rows alive at that step
+        alive = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in before], F.lit(True))
+        medians[c] = exact_quantile(d.filter(alive), c, 0.5)
     if drops:
         d = d.dropna(subset=drops)
     if medians:
@@ -325,17 +323,15 @@ def review_clean(df: DataFrame, stats: dict | None = None) -> tuple[DataFrame, d
                                            else F.col("issue_d")).cast("double"))
     if stats is None:
         stats = {}
-        aggs = []
         if "issue_d" in d.columns:
-            aggs.append(F.percentile("issue_d", 0.5).alias("year_median"))
+            stats["year_median"] = exact_quantile(d, "issue_d", 0.5)
         if "dti" in d.columns:
-            aggs.append(F.percentile("dti", 0.99).alias("dti_cap"))
-        if aggs:
-            stats.update(d.agg(*aggs).first().asDict())
-        if "dti" in d.columns:
-            cap = stats.get("dti_cap")
-            capped = F.least(F.col("dti"), F.lit(cap)) if cap is not None else F.col("dti")
-            stats["dti_median"] = d.agg(F.percentile(F.when(F.col("dti").isNotNull(), capped), 0.5)).first()[0]
+            cap = exact_quantile(d, "dti", 0.99)
+            stats["dti_cap"] = cap
+            # least() skips nulls: guard so a missing dti stays missing
+            capped = F.when(F.col("dti").isNull(), F.lit(None)).otherwise(
+                F.least(F.col("dti"), F.lit(cap))) if cap is not None else F.col("dti")
+            stats["dti_median"] = exact_quantile(d.select(capped.alias("dti")), "dti", 0.5)
     if "issue_d" in d.columns:
         d = d.withColumn("issue_d", F.coalesce("issue_d", F.lit(stats.get("year_median")).cast("double")))
     if "dti" in d.columns:

@@ -341,3 +341,14 @@ def test_running_sums(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("v"))
     out = S.running_sums(df.repartition(5), ["id"], ["v"]).orderBy("id").toPandas()
     assert np.allclose(out["cum_v"].to_numpy(), np.cumsum((np.arange(1000) % 7).astype(float)))
+
+
+def test_exact_quantile_band_path(spark):
+    from loanbook.functions.quantiles import exact_quantile
+    rng = np.random.default_rng(3)
+    vals = rng.normal(size=20000).round(4)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    for q in (0.5, 0.99, 0.013):
+        want = df.agg(F.percentile("x", q)).first()[0]
+        assert exact_quantile(df, "x", q, max_band_rows=500) == want
+        assert exact_quantile(df, "x", q) == want
