@@ -4,7 +4,7 @@ aggregate; nothing row-sized reaches the driver."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.functions.numeric import money_sum, round_half_even, safe_ratio
@@ -59,13 +59,18 @@ def class_balance(df: DataFrame, label: str = "loan_status") -> DataFrame:
 
 def average_precision(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Average precision = sum over distinct scores (descending) of
-    precision at that score x recall gained there. Grouped by score first
-    (partial aggregate), then a running sum over the distinct scores."""
-    g = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("tp"),
-                                  F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)  # distinct scores
-    g = g.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
-    return g.agg((F.sum(F.col("tp") * (F.col("ctp") / F.col("cn"))) / F.sum("tp")).alias("average_precision"))
+    precision at that score x recall gained there.
+
+    Grouped by score first (partial aggregate); the running totals over the
+    distinct scores use distributed running sums, since a continuous score
+    has about as many distinct values as rows."""
+    from loanbook.operators.sampling import running_sums
+    g = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("tp"),
+                                                   F.count(F.lit(1)).alias("n"))
+    g = g.withColumn("neg_s", -F.col("s"))
+    r = running_sums(g, ["neg_s"], ["tp", "n"])
+    return r.agg((F.sum(F.col("tp") * (F.col("cum_tp") / F.col("cum_n"))) / F.sum("tp"))
+                 .alias("average_precision"))
 
 
 def log_loss(scored: DataFrame, prob: str = "probability", label: str = "label",

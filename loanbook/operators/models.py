@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loanbook.operators import aggregates as AG
 from loanbook.operators.pricing import score_from_logodds
-from loanbook.session import cut_lineage
+from loanbook.session import cut_lineage, reuse
 
 
 # ------------------------------------------------------------ helpers
@@ -173,7 +173,9 @@ def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 5, num_trees:
     ``rounds`` passes, lineage cut between passes."""
     null_flags = {c: F.col(c).isNull() for c in cols}
     d = df.select("*", *[null_flags[c].alias(f"__null_{c}") for c in cols])
-    med = d.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first().asDict()
+    from loanbook.functions.quantiles import exact_quantile
+    d = reuse(d)
+    med = {c: exact_quantile(d, c, 0.5) for c in cols}
     d = d.fillna({c: float(v) for c, v in med.items() if v is not None})
     targets = [c for c in cols if d.filter(F.col(f"__null_{c}")).limit(1).count()]
     for _ in range(rounds):
