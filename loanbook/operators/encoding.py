@@ -61,21 +61,39 @@ def fit_onehot(train: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
+MAX_LEVELS = 10_000
+
+
+def fitted_levels(levels: DataFrame, cols: list[str]) -> dict[str, list[str]]:
+    """The fitted non-baseline levels per feature (model parameters; the
+    count is checked before they are read)."""
+    n = levels.count()
+    if n > MAX_LEVELS:
+        raise ValueError(f"{n} one-hot levels: use an indexed vector encoding instead")
+    out = {c: [] for c in cols}
+    for r in levels.orderBy("feature", "category").collect():  # <= MAX_LEVELS rows
+        out[r.feature].append(r.category)
+    return out
+
+
 def apply_onehot_long(df: DataFrame, levels: DataFrame, cols: list[str], key: str = "id") -> DataFrame:
     """M2 transform in long form: (key, feature, category, indicator) for every
-    fitted non-baseline level; levels missing from a row are 0."""
+    fitted non-baseline level; levels missing from a row are 0. Each row is
+    expanded over its feature's fitted levels with ``explode`` (no join)."""
+    lv = fitted_levels(levels, cols)
     parts = []
     for c in cols:
-        lv = levels.filter(F.col("feature") == c).select("feature", "category")
-        rows = df.select(key, F.col(c).cast("string").alias("__v"))
-        # each row meets the fitted levels of its own feature (equi-join on the name)
-        pairs = rows.withColumn("feature", F.lit(c)).join(lv, "feature", "inner")
-        parts.append(pairs.select(key, "feature", "category",
-                                  (F.col("__v") == F.col("category")).cast("int").alias("indicator")))
+        if not lv[c]:
+            continue
+        cats = F.array(*[F.lit(v) for v in lv[c]])
+        x = df.select(key, F.col(c).cast("string").alias("__v"), F.explode(cats).alias("category"))
+        parts.append(x.select(key, F.lit(c).alias("feature"), "category",
+                              F.coalesce((F.col("__v") == F.col("category")).cast("int"), F.lit(0))
+                              .alias("indicator")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.fillna(0, ["indicator"])
+    return out
 
 
 def apply_onehot_wide(df: DataFrame, levels: list[tuple[str, str]]) -> DataFrame:
