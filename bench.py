@@ -31,9 +31,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_spark(f"local[{cpus}]", app="loanbook-bench", shuffle_partitions=max(8, cpus * 2))
     catalog.load_all()
-    # untimed warm-up: JVM start, code generation paths, the Parquet reader
-    spark.range(1_000_000).selectExpr("sum(id)").collect()
-    spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet").collect()
+    # untimed JVM / code-generation warm-up on the smallest tables (a different
+    # dataset: nothing from the timed tables is read or cached here)
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(warm_dir):
+        for name in ("k10_report", "q5_loss_profit", "p1_sample"):
+            catalog.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
     sel = os.environ.get("BENCH_QUERIES", "")
     names = sorted(catalog.QUERIES) if sel == "all" else (
         [s for s in sel.split(",") if s] or [n for n in HEADLINE if n in catalog.QUERIES])

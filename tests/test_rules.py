@@ -352,3 +352,35 @@ def test_exact_quantile_band_path(spark):
         want = df.agg(F.percentile("x", q)).first()[0]
         assert exact_quantile(df, "x", q, max_band_rows=500) == want
         assert exact_quantile(df, "x", q) == want
+
+
+# ------------------------------------------------------------ C1 / C12 / C13 fixtures
+def test_dedup_with_application_key(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "b", 2.0)], "application_id long, x string, y double")
+    out = sorted(rows(CL.drop_duplicate_rows(df, "application_id"), "application_id", "x"))
+    assert out == [(1, "a"), (3, "b")]
+    assert CL.drop_duplicate_rows(df.drop("application_id")).count() == 2
+
+
+def test_rejected_cleaner(spark):
+    import datetime as dt
+    raw = spark.createDataFrame(
+        [("100", "2015-12-01", " car ", "700", "12.5%", "123xx", "CA", "1 year", "1"),
+         ("-5", "Dec-2015", "?", "-1", "-3%", None, None, None, "-2"),
+         (None, None, None, None, None, None, None, None, None)],
+        "`Amount Requested` string, `Application Date` string, `Loan Title` string, Risk_Score string, "
+        "`Debt-To-Income Ratio` string, `Zip Code` string, State string, `Employment Length` string, "
+        "`Policy Code` string")
+    out = CL.clean_rejected(raw).orderBy("zip_code").collect()
+    assert len(out) == 2  # the all-null row is dropped
+    a = [r for r in out if r.zip_code == "123xx"][0]
+    assert (a.loan_amnt, a.title, a.fico_range_high, a.dti, a.policy_code) == (100.0, "car", 700.0, 12.5, 1.0)
+    assert a.issue_d == dt.date(2015, 12, 1)
+    b = [r for r in out if r.zip_code is None][0]
+    # negatives: amount and score become null; dti and policy code keep their sign
+    assert (b.loan_amnt, b.title, b.fico_range_high, b.dti, b.policy_code) == (None, None, None, -3.0, -2.0)
+
+
+def test_blanks(spark):
+    df = spark.createDataFrame([("",), ("  ",), ("\t",), ("x",), (None,)], "s string")
+    assert [r.s for r in CL.blanks_to_null(df).collect()] == [None, None, None, "x", None]
