@@ -189,8 +189,6 @@ def running_sums(df: DataFrame, order_cols: list[str], value_cols: list[str],
     row per partition, broadcast), and a per-partition fold in Arrow
     batches. The laid-out table is checkpointed so both passes see the same
     partitions."""
-    import pandas as pd
-
     ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols) \
                 .withColumn("__pid", F.spark_partition_id())
     ordered = cut_lineage(ordered)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loanbook import constants as K
 from loanbook.functions.normal import norm_cdf_sql, norm_ppf_sql
 from loanbook.functions.numeric import round_half_even

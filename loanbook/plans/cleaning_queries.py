@@ -10,7 +10,7 @@ from loanbook.functions.numeric import round_half_even
 from loanbook.operators import cleaning as CL
 from loanbook.operators import filters as FL
 from loanbook.plans.catalog import register
-from loanbook.plans.sqlfrag import FINISHED_IN, LABEL_CASE, dbl, in_list, q, rint
+from loanbook.plans.sqlfrag import FINISHED_IN, LABEL_CASE, dbl, in_list, rint
 from loanbook.sources.tables import LOANBOOK_COLUMNS, LOANBOOK_TYPES, loan_book, with_loanbook
 
 LB_COLS = [c for c, _ in LOANBOOK_COLUMNS]
@@ -165,14 +165,6 @@ def c11_accepted(spark, d):
     return CL.clean_accepted(_lb(spark, d))
 
 
-_REJ_RAW = {
-    "Amount Requested": "loan_amnt", "Application Date": "CAST(issue_d AS VARCHAR)",
-    "Loan Title": "title", "Risk_Score": "fico_range_high",
-    "Debt-To-Income Ratio": "dti", "Zip Code": "zip_code", "State": "addr_state",
-    "Employment Length": "emp_length", "Policy Code": "policy_code",
-}
-
-
 def _rejected_raw(spark, d):
     lb = _lb(spark, d)
     return lb.select(

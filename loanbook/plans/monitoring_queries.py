@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from loanbook import constants as K
 from loanbook.operators import migration as M

@@ -1,6 +1,5 @@
 """Hand fixtures, goldens and properties for the operator rules."""
 
-import math
 import itertools
 
 import numpy as np
