@@ -22,11 +22,13 @@ Re-aimed from an exact binary program to a Lagrangian dual that scales:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanbook.operators.pricing import rwa_proxy
+from loanbook.session import cut_lineage
 
 BUCKETS_PER_OCTAVE = 256
 MAX_WINDOW_ROWS = 5_000_000  # marginal-bucket rows ranked by one window task
@@ -84,17 +86,11 @@ def dual_prices(it: DataFrame, iters: int = 40, patience: int = 6,
     return best_lam, best
 
 
-def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40,
-           max_window_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, float]:
-    """Q8: the report with a boolean ``selected``, and the dual bound."""
-    it = items(report, limits).cache()
-    lam, bound = dual_prices(it, iters)
-    price = sum((F.lit(lam[k] + 1e-9) * F.col(f"a{k}") for k in range(3)), F.lit(1e-12))
+def _prefix_pick(cand: DataFrame, limits: list[float], max_window_rows: int) -> DataFrame:
+    """The longest prefix of ``cand`` in (score desc, id) order whose three
+    running weight sums fit the limits: whole histogram buckets, then a
+    row-by-row pass over the one marginal bucket. Returns (id, w0, w1, w2)."""
     L = [F.lit(float(x)) for x in limits]
-    # a loan whose own weight exceeds a limit can never be chosen
-    fit_alone = (F.col("w0") <= L[0]) & (F.col("w1") <= L[1]) & (F.col("w2") <= L[2])
-    cand = it.filter((F.col("p") > 0) & fit_alone).withColumn("score", F.col("p") / price)
-    cand = cand.withColumn("bucket", F.floor(F.log2("score") * BUCKETS_PER_OCTAVE).cast("long"))
     hist = cand.groupBy("bucket").agg(*[F.sum(f"w{k}").alias(f"s{k}") for k in range(3)])
     w = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)  # over buckets
     hist = hist.select("bucket", *[F.sum(f"s{k}").over(w).alias(f"c{k}") for k in range(3)])
@@ -107,14 +103,46 @@ def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 4
     if edge_rows.count() <= max_window_rows:  # size check: one task ranks the bucket
         we = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "id") \
                    .rowsBetween(Window.unboundedPreceding, 0)
-        edge = edge_rows.select("id", *[(F.sum(f"w{k}").over(we) + base[k]).alias(f"r{k}") for k in range(3)])
+        edge = edge_rows.select("id", "w0", "w1", "w2",
+                                *[(F.sum(f"w{k}").over(we) + base[k]).alias(f"r{k}") for k in range(3)])
     else:  # a hot bucket (many equal scores): distributed running sums
         from loanbook.operators.sampling import running_sums
         rs = running_sums(edge_rows.select("id", (-F.col("score")).alias("neg_score"), "w0", "w1", "w2"),
                           ["neg_score", "id"], ["w0", "w1", "w2"])
-        edge = rs.select("id", *[(F.col(f"cum_w{k}") + base[k]).alias(f"r{k}") for k in range(3)])
+        edge = rs.select("id", "w0", "w1", "w2", *[(F.col(f"cum_w{k}") + base[k]).alias(f"r{k}") for k in range(3)])
     edge = edge.filter((F.col("r0") <= L[0]) & (F.col("r1") <= L[1]) & (F.col("r2") <= L[2]))
-    chosen = whole.select("id").unionByName(edge.select("id")).withColumn("selected", F.lit(True))
+    return whole.select("id", "w0", "w1", "w2").unionByName(edge.select("id", "w0", "w1", "w2"))
+
+
+def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40,
+           max_window_rows: int = MAX_WINDOW_ROWS, rounds: int = 3) -> tuple[DataFrame, float]:
+    """Q8: the report with a boolean ``selected``, and the dual bound.
+
+    After the first prefix pick, up to ``rounds - 1`` more picks run over the
+    loans not yet chosen with the capacity that is left (the loan that
+    stopped the previous prefix no longer fits and drops out)."""
+    it = items(report, limits).cache()
+    lam, bound = dual_prices(it, iters)
+    price = sum((F.lit(lam[k] + 1e-9) * F.col(f"a{k}") for k in range(3)), F.lit(1e-12))
+    base = it.filter(F.col("p") > 0).withColumn("score", F.col("p") / price)
+    base = base.withColumn("bucket", F.floor(F.log2("score") * BUCKETS_PER_OCTAVE).cast("long"))
+    remaining = [float(x) for x in limits]
+    picks = []
+    for _ in range(max(1, rounds)):
+        # each round starts from the cached base minus the frozen earlier picks,
+        # so plans stay flat however many rounds run
+        pool = base if not picks else base.join(reduce(lambda a, b: a.unionByName(b), picks), "id", "left_anti")
+        # a loan whose own weight exceeds what is left can never be chosen
+        fit_alone = reduce(lambda a, b: a & b, [F.col(f"w{k}") <= F.lit(remaining[k]) for k in range(3)])
+        pick = cut_lineage(_prefix_pick(pool.filter(fit_alone), remaining, max_window_rows))
+        used = pick.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{k}").alias(f"u{k}") for k in range(3)]).first()
+        if not used.n:
+            break
+        picks.append(pick.select("id"))
+        remaining = [max(0.0, remaining[k] - (used[f"u{k}"] or 0.0)) for k in range(3)]
+    if not picks:
+        return report.withColumn("selected", F.lit(False)), bound
+    chosen = reduce(lambda a, b: a.unionByName(b), picks).withColumn("selected", F.lit(True))
     out = report.join(chosen, "id", "left").fillna(False, ["selected"])
     return out, bound
 

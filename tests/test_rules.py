@@ -214,7 +214,7 @@ def test_selection_against_brute_force(spark):
             best = max(best, sum(profit[idx]))
     got = sum(profit[i] for i in chosen)
     assert got <= best + 1e-6 <= bound + 1e-6
-    assert got >= 0.5 * best  # greedy repair stays within a factor of the optimum here
+    assert got >= 0.8 * best  # repair rounds stay close to the optimum here
 
 
 def test_selection_zero_limit(spark):
