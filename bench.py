@@ -46,6 +46,7 @@ def main() -> None:
         try:
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - t, 3)
+            spark.catalog.clearCache()  # each query stands alone (untimed)
         except Exception as e:  # keep going; report the failure
             errors[name] = repr(e)[:200]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
