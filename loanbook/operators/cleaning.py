@@ -73,11 +73,15 @@ def drop_sparse_columns(df: DataFrame, limit: float = K.COLUMN_NULL_LIMIT,
 
 
 def require_data(df: DataFrame) -> DataFrame:
-    """C4: raise on an empty table or one whose every value is null."""
-    if df.isEmpty():
-        raise ValueError("empty table: no rows received")
+    """C4: raise on an empty table or one whose every value is null.
+
+    One aggregate (row count, rows with any value); on a persisted input it
+    also fills the cache for the passes that follow."""
     any_value = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in df.columns])
-    if df.filter(any_value).isEmpty():
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(any_value).alias("k")).first()
+    if not r.n:
+        raise ValueError("empty table: no rows received")
+    if not r.k:
         raise ValueError("table contains only null values")
     return df
 
