@@ -1,11 +1,12 @@
 """Connected components: distributed union-find.
 
-Each task first unites the edges of its partition (path-halving union-find)
-and passes on one edge per node to its root. Then rounds over the contracted
-graph: every root takes its smallest neighbour as parent, parents are jumped
-once, and edges are replaced by edges between roots, until none is left. The
-links are never gathered in one place; hot roots are only met by aggregates
-with partial sums and by joins that adaptive execution may split.
+The links are dealt to tasks of bounded size; each unites its own with a
+path-halving union-find and passes on one link per node, to its root. While
+there are several tasks, a round over the contracted graph follows: every
+root takes its smallest neighbour as parent, parents are jumped once, and
+links are replaced by links between roots. The links are never gathered in
+one place; a hot root is only met by aggregates with partial sums and by joins
+that adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from loanbook.llm.tables import kept, map_arrow
 
-#: edges united at a time by a task
-LOCAL_EDGES = 1_000_000
+#: links united by a task
+TASK_LINKS = 250_000
 
 
 def _unite(batches):
@@ -29,10 +30,6 @@ def _unite(batches):
             x = parent[x]
         return x
 
-    def out():
-        nodes = list(parent)
-        return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
-
     for batch in batches:
         for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             parent.setdefault(x, x)
@@ -40,29 +37,34 @@ def _unite(batches):
             x, y = find(x), find(y)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        if len(parent) >= LOCAL_EDGES:
-            yield out()
-            parent.clear()
-    if parent:
-        yield out()
+    nodes = list(parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (columns a, b; no nulls): the
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``links`` (columns a, b; no nulls): the
     root is the smallest node of the component."""
-    local = map_arrow(edges.select("a", "b"), _unite, "a long, b long")
-    links = kept(local.where("a <> b").distinct(), "links")
-    roots = kept(links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-                 .withColumn("root", F.col("node")), "roots")
-    while not links.isEmpty():
-        both = links.union(links.select("b", "a"))
+    steps = []  # (a, p) tables: a's root after the step
+    links = kept(links.select("a", "b"), "links")
+    while True:
+        tasks = -(-links.count() // TASK_LINKS)
+        if tasks <= 1:
+            last = map_arrow(links.coalesce(1), _unite, "a long, b long")
+            break
+        local = kept(map_arrow(links.repartition(tasks), _unite, "a long, b long"), "local").where("a <> b").distinct()
+        both = kept(local.union(local.select("b", "a")), "both")
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
-        parent = kept(parent, "parent")
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         parent = kept(parent.join(up, "p").select("a", F.col("pp").alias("p")), "parent")
-        roots = kept(roots.join(parent.withColumnsRenamed({"a": "root", "p": "__p"}), "root", "left")
-                     .select("node", F.coalesce("__p", "root").alias("root")), "roots")
+        steps.append(parent)
         of_a, of_b = parent.withColumnsRenamed({"p": "x"}), parent.withColumnsRenamed({"a": "b", "p": "y"})
-        links = kept(links.join(of_a, "a").join(of_b, "b").where("x <> y")
+        links = kept(both.join(of_a, "a").join(of_b, "b").where("x <> y")
                      .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
-    return roots
+    last = last.withColumnsRenamed({"b": "p"})
+    if not steps:
+        return kept(last.withColumnsRenamed({"a": "node", "p": "root"}), "roots")
+    roots = steps[0].withColumnsRenamed({"a": "node", "p": "root"})
+    for step in [*steps[1:], last]:
+        roots = (roots.join(step.withColumnsRenamed({"a": "root"}), "root", "left")
+                 .select("node", F.coalesce("p", "root").alias("root")))
+    return kept(roots, "roots")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loanbook.llm import exact_dedup, mixing, packing, token_counts, token_output
+from loanbook.llm import exact_dedup, mixing, ngram_join, packing, token_counts, token_output
 from loanbook.llm.encoding import vocabulary_path
 from loanbook.llm.tables import scratch_path, table
 
@@ -53,3 +53,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
