@@ -3,10 +3,11 @@
 Nodes that share a key (a rare n-gram of their prefixes, a band of a
 signature) may be similar. In leader rounds every node of a key is compared
 only with one leader of the key that isn't in its component yet, another
-leader in each round; the links found unite nodes. The last round compares,
-inside each key, the nodes that are still in different components. Every pair
-that shares a key is then either united or was compared, so no link is lost,
-and a large group of near copies costs a few comparisons a node and key.
+leader in each round; the links found unite nodes. For the last round, the
+keys with several components left are put in bags by their leader, and the
+members of a bag are compared block by block. Every pair that shares a key is
+then either united or was compared, so no link is lost, and no row per pair
+of a group is ever made.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from loanbook.llm.components import components
 from loanbook.llm.tables import kept
 
+#: members in a block of a bag
+BLOCK = 512
 #: partners that one verification task group holds beside its hub
 HUB_PARTNERS = 128
 #: most leader rounds; further ones are left out once fewer than one in
@@ -39,9 +42,10 @@ def shared_entries(entries: DataFrame) -> DataFrame:
 def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
            class_of: Column | None = None, possible: Column | None = None) -> DataFrame:
     """(node, root) of all nodes with a link. ``entries`` come from
-    ``shared_entries``; ``verify`` takes pairs (hub, node) and returns the
-    true links (a, b); ``class_of`` splits a key among leaders; ``possible``
-    is a condition on the aliases x and y of two entries."""
+    ``shared_entries``; ``verify`` takes groups (bag, i, j, node, root, side)
+    and returns the links (a, b) between the rows of side 1 and 0 of a group,
+    or among those of side 2; ``class_of`` splits a key among leaders;
+    ``possible`` is a condition on the aliases x and y of two entries."""
     columns = entries.columns
     every = entries.withColumn("__class", F.lit(0) if class_of is None else class_of)
     e = every.withColumn("root", F.col("node"))
@@ -55,7 +59,7 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
         pairs = kept(e.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key"))
                                        & (F.col("x.__class") == F.col("y.__c")) & met)
                      .select(F.col("y.node").alias("hub"), F.col("x.node").alias("node")).distinct(), "pairs")
-        found = kept(verify(pairs), "found")
+        found = kept(verify(hub_groups(pairs)), "found")
         links = found if links is None else links.union(found)
         roots = components(links)
         e = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -64,20 +68,31 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
         e = kept(e.join(mixed, "key"), "mixed")
         if found.count() * ENOUGH_LINKS < pairs.count():
             break
-    pairs = kept(e.alias("x").join(e.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & met)
-                 .select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct(), "pairs")
-    found = kept(verify(pairs), "found")
+    bags = (e.join(e.groupBy(F.col("key").alias("__k")).agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("__l")),
+                   F.col("key") == F.col("__k")).select(F.col("__l.node").alias("bag"), "node", "root").distinct())
+    found = kept(verify(block_groups(kept(bags, "bags"))), "found")
     if found.isEmpty():
         return roots
     return components(links.union(found))
 
 
-def hub_groups(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """Rows (hub, part, node, *content) to verify pairs: partners of a hub in
-    parts of bounded size, each with the hub's own row (node = hub)."""
+def hub_groups(pairs: DataFrame) -> DataFrame:
+    """Groups that compare each hub with its partners, in parts of bounded size."""
     size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PARTNERS).alias("__parts"))
-    p = (pairs.join(size, "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int"))
-         .drop("__parts"))
-    own = p.select("hub", "part").distinct().withColumn("node", F.col("hub"))
-    return p.select("hub", "part", "node").union(own).join(contents, "node").select(
-        "hub", "part", "node", *[c for c in contents.columns if c != "node"])
+    p = (pairs.join(size, "hub").select(F.col("hub").alias("bag"), F.pmod(F.xxhash64("node"), F.col("__parts")).cast("int").alias("i"),
+                                        F.lit(-1).alias("j"), "node", F.col("node").alias("root"), F.lit(0).alias("side")))
+    own = (p.select("bag", "i", "j").distinct()
+           .select("bag", "i", "j", F.col("bag").alias("node"), F.col("bag").alias("root"), F.lit(1).alias("side")))
+    return p.union(own)
+
+
+def block_groups(bags: DataFrame) -> DataFrame:
+    """Groups that compare all members of a bag (bag, node, root) with each
+    other, block by block: the rows of a pair of blocks, never of a pair of
+    members."""
+    size = bags.groupBy("bag").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int")
+    return (bags.join(size, "bag").withColumn("__b", own)
+            .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+            .select("bag", F.least("__b", "__o").alias("i"), F.greatest("__b", "__o").alias("j"), "node", "root",
+                    F.when(F.col("__b") == F.col("__o"), 2).when(F.col("__b") < F.col("__o"), 1).otherwise(0).alias("side")))

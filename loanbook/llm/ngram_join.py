@@ -3,10 +3,9 @@
 Every document is its set of distinct word 5-grams (64-bit hashes) in one
 global order: frequent n-grams last. Two sets with Jaccard similarity t share
 an n-gram among their first n - ceil(t n) + 1, so only these meet in a
-shuffle. Candidates of one set (the hub) are stored in a trie of their ordered
-n-grams; the hub's set runs down the trie, the overlap of a shared path is
-counted once for all sets below it, and a subtree is left when its longest
-remainder can't reach the overlap that its smallest set needs.
+shuffle. Candidates are stored in a trie of their ordered n-grams and searched
+there (``prefix_tree``): the overlap of a shared path is counted once for all
+sets below it, and subtrees that can't reach their overlap are left.
 
 Passes over the text: counts for the order; prefixes; the sets of documents
 that share a prefix n-gram. Equal sets are one node throughout.
@@ -26,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import SPACES, lower_ascii, row_chunks, shingle_hashes, span_hashes, spans, utf8
-from loanbook.llm.linking import hub_groups, shared_entries, united
+from loanbook.llm.linking import shared_entries, united
+from loanbook.llm.prefix_tree import block_links
 from loanbook.llm.tables import kept, map_arrow, only, ship
 
 WIDTH = 5
@@ -165,7 +165,7 @@ def _documents(batches, width: int, frequent, needed):
             node, content = (_node(own), None) if len(own) else (0, None)
             if len(own) and bits[(node % FILTER_BITS) >> 3] >> (node % 8) & 1 and node not in seen:
                 seen.add(node)
-                content = order_keys(own, order).astype(">u8").tobytes()
+                content = order_keys(own, order).astype("<u8").tobytes()
             nodes.append(node)
             sizes.append(len(own))
             sets.append(content)
@@ -173,69 +173,10 @@ def _documents(batches, width: int, frequent, needed):
                                pa.array(sets, pa.binary())], names=["doc_id", "node", "n", "keys"])
 
 
-class Trie:
-    """Path-compressed prefix tree of ordered key sets. A tree node is
-    (first, last, depth, end): the sets first..last (in lexicographic order)
-    share their keys up to ``end``; its own segment is depth..end."""
-
-    def __init__(self, contents: list[bytes]):
-        self.order = sorted(range(len(contents)), key=contents.__getitem__)
-        self.sets = [np.frombuffer(contents[i], ">u8").astype(np.uint64) for i in self.order]
-        self.sizes = np.array([len(s) for s in self.sets])
-        self.common = [self._shared(a, b) for a, b in zip(self.sets[:-1], self.sets[1:], strict=True)]
-
-    @staticmethod
-    def _shared(a: np.ndarray, b: np.ndarray) -> int:
-        m = min(len(a), len(b))
-        differ = a[:m] != b[:m]
-        return int(differ.argmax()) if differ.any() else m
-
-    def children(self, first: int, last: int, depth: int):
-        """Subtrees below ``depth`` of the sets first..last, with their segment's end."""
-        a = first
-        for i in range(first, last + 1):
-            if i == last or self.common[i] <= depth:
-                if len(self.sets[a]) > depth or a < i:
-                    end = len(self.sets[a]) if a == i else min(self.common[a:i])
-                    if end > depth:
-                        yield a, i, end
-                a = i + 1
-
-    def search(self, probe: np.ndarray, percent: int) -> list[int]:
-        """Indices (as given) of the sets with Jaccard similarity to ``probe``
-        of ``percent`` hundredths or more."""
-        found, n = [], len(probe)
-
-        def enough(overlap: int, size: int) -> bool:
-            return overlap * (100 + percent) >= percent * (n + size)
-
-        stack = [(0, len(self.sets) - 1, 0, 0, 0)] if self.sets else []
-        while stack:
-            first, last, depth, overlap, at = stack.pop()
-            for k in range(first, last + 1):  # sets that end here
-                if len(self.sets[k]) == depth and enough(overlap, depth):
-                    found.append(self.order[k])
-            for a, b, end in self.children(first, last, depth):
-                low, high = int(self.sizes[a:b + 1].min()), int(self.sizes[a:b + 1].max())
-                if not enough(overlap + min(high - depth, n - at), low):
-                    continue
-                segment = self.sets[a][depth:end]
-                place = np.searchsorted(probe, segment)
-                place[place == n] = n - 1
-                o = overlap + int((probe[place] == segment).sum())
-                to = int(np.searchsorted(probe, segment[-1], "right"))
-                if enough(o + min(high - end, n - to), low):
-                    stack.append((a, b, end, o, to))
-        return found
-
-
 def _verify_group(group: pa.Table, percent: int) -> pa.Table:
-    hub = group["hub"][0].as_py()
-    nodes, contents = group["node"].to_pylist(), group["keys"].to_pylist()
-    probe = np.frombuffer(contents[nodes.index(hub)], ">u8").astype(np.uint64)
-    partners = [i for i, x in enumerate(nodes) if x != hub]
-    hits = Trie([contents[i] for i in partners]).search(probe, percent)
-    return pa.table({"a": pa.array([hub] * len(hits), pa.int64()), "b": pa.array([nodes[partners[i]] for i in hits], pa.int64())})
+    sets = [np.frombuffer(x, "<u8") for x in group["keys"].to_pylist()]
+    links = block_links(group["node"].to_pylist(), group["root"].to_pylist(), group["side"].to_pylist(), sets, percent)
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -272,8 +213,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     def check(group: pa.Table) -> pa.Table:
         return _verify_group(group, percent)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return hub_groups(pairs, contents).groupBy("hub", "part").applyInArrow(check, "a long, b long")
+    def verify(groups: DataFrame) -> DataFrame:
+        return (groups.join(contents, "node").select("bag", "i", "j", "node", "root", "side", "keys")
+                .groupBy("bag", "i", "j").applyInArrow(check, "a long, b long"))
 
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     nx, ny, both = F.col("x.n"), F.col("y.n"), F.col("x.n") + F.col("y.n")

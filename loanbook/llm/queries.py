@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loanbook.llm import exact_dedup, mixing, ngram_join, packing, token_counts, token_output
+from loanbook.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, token_counts, token_output
 from loanbook.llm.encoding import vocabulary_path
 from loanbook.llm.tables import scratch_path, table
 
@@ -58,3 +59,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, the dropped ones, and the SHA-256 of the text that stays."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
