@@ -14,11 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.components import components
-from loanbook.llm.tables import kept
+from loanbook.llm.prefix_tree import block_links
+from loanbook.llm.tables import kept, map_arrow
 
 #: members in a block of a bag
 BLOCK = 512
@@ -26,17 +29,27 @@ BLOCK = 512
 HUB_PARTNERS = 128
 #: most leader rounds; further ones are left out once fewer than one in
 #: ``ENOUGH_LINKS`` of a round's pairs is a link (both steer the work, not the result)
-LEADER_ROUNDS = 5
+LEADER_ROUNDS = 3
 ENOUGH_LINKS = 20
 
 
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """The rows of ``entries`` (key, node, ...) whose key has several nodes.
-    One exchange on the key serves the counting and the join."""
+def shared_entries(entries: DataFrame, possible: Column | None = None) -> DataFrame:
+    """The rows of ``entries`` (key, node, ...) whose key has several nodes, and
+    with ``possible`` (on the aliases x and y) only those with a possible
+    partner. One exchange on the key serves the counting and the join: the
+    counting reads all columns, so that both sides are the same."""
     dealt = entries.repartition("key")
-    several = (dealt.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi"))
-               .where("__lo <> __hi").select("key"))
-    return kept(dealt.join(several.hint("shuffle_hash"), "key"), "entries")
+    rest = [c for c in entries.columns if c not in ("key", "node")]
+    several = dealt.groupBy("key").agg(F.min("node").alias("__lo"), F.max("node").alias("__hi"),
+                                       *[F.max(c).alias(f"__{c}") for c in rest])
+    wanted = F.col("__lo") != F.col("__hi")
+    for c in rest:
+        wanted = wanted | F.col(f"__{c}").isNull()
+    shared = kept(dealt.join(several.where(wanted).select("key").hint("shuffle_hash"), "key"), "entries")
+    if possible is None:
+        return shared
+    met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible
+    return kept(shared.alias("x").join(shared.alias("y"), met, "left_semi"), "entries")
 
 
 def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
@@ -68,6 +81,8 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
         e = kept(e.join(mixed, "key"), "mixed")
         if found.count() * ENOUGH_LINKS < pairs.count():
             break
+    if possible is not None:
+        e = kept(e.alias("x").join(e.alias("y"), (F.col("x.key") == F.col("y.key")) & met, "left_semi"), "mixed")
     bags = (e.join(e.groupBy(F.col("key").alias("__k")).agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("__l")),
                    F.col("key") == F.col("__k")).select(F.col("__l.node").alias("bag"), "node", "root").distinct())
     found = kept(verify(block_groups(kept(bags, "bags"))), "found")
@@ -76,6 +91,46 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     return components(links.union(found))
 
 
+def _checked(batches, sets_of, percent: int):
+    """Links of the groups, which stand together in each task's rows."""
+    key, held = None, ([], [], [], [])
+
+    def links():
+        sets = sets_of(held[3])
+        return block_links(held[0], held[1], held[2], sets, percent)
+
+    for batch in batches:
+        out = []
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        border = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if batch.num_rows else []
+        columns = [batch.column(c).to_pylist() for c in range(3, 7)]
+        for a, b in zip(border, [*border[1:], batch.num_rows], strict=True):
+            own = tuple(keys[:, a].tolist())
+            if own != key:
+                if held[0]:
+                    out += links()
+                key, held = own, ([], [], [], [])
+            for c, values in zip(held, columns, strict=True):
+                c += values[a:b]
+        if out:
+            yield _link_batch(out)
+    if held[0]:
+        yield _link_batch(links())
+
+
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+
+def checked(groups: DataFrame, contents: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
+    """Links (a, b) of the groups. ``contents`` has node and one column more,
+    a list of which ``sets_of`` turns into key sets."""
+    column = next(c for c in contents.columns if c != "node")
+    rows = groups.join(contents, "node").select("bag", "i", "j", "node", "root", "side", column)
+    rows = rows.repartition("bag", "i", "j").sortWithinPartitions("bag", "i", "j")
+    return map_arrow(rows, _checked, "a long, b long", sets_of=sets_of, percent=percent)
+
+
 def hub_groups(pairs: DataFrame) -> DataFrame:
     """Groups that compare each hub with its partners, in parts of bounded size."""
     size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / HUB_PARTNERS).alias("__parts"))

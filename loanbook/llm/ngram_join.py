@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import SPACES, lower_ascii, row_chunks, shingle_hashes, span_hashes, spans, utf8
-from loanbook.llm.linking import shared_entries, united
-from loanbook.llm.prefix_tree import block_links
+from loanbook.llm.linking import checked, shared_entries, united
 from loanbook.llm.tables import kept, map_arrow, only, ship
 
 WIDTH = 5
@@ -173,10 +172,8 @@ def _documents(batches, width: int, frequent, needed):
                                pa.array(sets, pa.binary())], names=["doc_id", "node", "n", "keys"])
 
 
-def _verify_group(group: pa.Table, percent: int) -> pa.Table:
-    sets = [np.frombuffer(x, "<u8") for x in group["keys"].to_pylist()]
-    links = block_links(group["node"].to_pylist(), group["root"].to_pylist(), group["side"].to_pylist(), sets, percent)
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+def _key_sets(contents: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in contents]
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -196,8 +193,11 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     ranked = frequent_ngrams(rows, width, percent, FREQUENT_FROM, FREQUENT)
     by_hash = np.argsort(ranked)
     order = spark.sparkContext.broadcast((ranked[by_hash], by_hash.astype(np.uint64)))
+    nx, ny, both = F.col("x.n"), F.col("y.n"), F.col("x.n") + F.col("y.n")
+    possible = ((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent)
+                & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) * (100 + percent) >= both * percent))
     entries = shared_entries(map_arrow(rows, _prefixes, "key long, node long, n int, pos int",
-                                       width=width, percent=percent, frequent=order))
+                                       width=width, percent=percent, frequent=order), possible)
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     slot = F.pmod("node", F.lit(FILTER_BITS))
     bytes_ = (entries.select("node").distinct().groupBy(F.floor(slot / 8).alias("i"))
@@ -210,17 +210,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     contents = kept(documents.where("keys is not null").select("node", "keys").dropDuplicates(["node"])
                     .join(needed, "node", "left_semi"), "sets")
 
-    def check(group: pa.Table) -> pa.Table:
-        return _verify_group(group, percent)
-
     def verify(groups: DataFrame) -> DataFrame:
-        return (groups.join(contents, "node").select("bag", "i", "j", "node", "root", "side", "keys")
-                .groupBy("bag", "i", "j").applyInArrow(check, "a long, b long"))
+        return checked(groups, contents, _key_sets, percent)
 
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    nx, ny, both = F.col("x.n"), F.col("y.n"), F.col("x.n") + F.col("y.n")
-    possible = ((F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent)
-                & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) * (100 + percent) >= both * percent))
     roots = united(entries, verify, size_class, possible)
     classes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("__first"))
     labelled = kept(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
