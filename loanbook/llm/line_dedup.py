@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact check.
 
 Lines are the runs between line feeds that aren't blank. Every distinct line
-gets 64 MinHash values of its 8-character shingles, in 16 bands of 4: at a
-Jaccard similarity of 0.8 a pair shares a band with probability 0.9998, while
+gets 48 MinHash values of its 8-character shingles, in 12 bands of 4: at a
+Jaccard similarity of 0.8 a pair shares a band with probability 0.998, while
 unrelated lines hardly ever do. Lines that share a band are compared exactly
 (``linking``), links are united, and of each component only the first line
 (smallest document id, then place) stays.
@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import _odd_constants, mix64, row_chunks, spans, span_hashes, separator_table, utf8
-from loanbook.llm.linking import shared_entries, united
-from loanbook.llm.prefix_tree import block_links
+from loanbook.llm.linking import checked, shared_entries, united
 from loanbook.llm.tables import kept, map_arrow, only, ship
 
 SHINGLE = 8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 12, 4
+#: shingles hashed at a time
+CACHED = 1 << 15
 PERCENT = 80
 _BREAK = separator_table([(0x0A, 0x0A)])
 _MULTIPLY = (_odd_constants(101, BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -40,31 +41,52 @@ def _lines(data: np.ndarray, off: np.ndarray):
     return starts, ends, doc, feeds[starts] - feeds[off[doc]]
 
 
-def char_shingles(text: str) -> np.ndarray:
-    """Hashes of the character shingles in text order, the whole text if it is shorter."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    width = min(SHINGLE, len(points))
-    g = np.zeros(max(0, len(points) - width + 1), np.uint64)
-    for j in range(width):
-        g += points[j:len(points) - width + 1 + j] * _CHARS[j]
-    return mix64(g ^ np.uint64(width))
+def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the character shingles of all lines in order, first of each
+    line). A line shorter than a shingle is one shingle; no line is empty."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    begin = np.cumsum(size) - size
+    g = np.zeros(len(points), np.uint64)
+    for j in range(SHINGLE):
+        g[:len(points) - j] += points[j:] * _CHARS[j]
+    many = np.maximum(size - SHINGLE + 1, 1)
+    first = np.cumsum(many) - many
+    h = g[np.arange(int(many.sum())) + np.repeat(begin - first, many)]
+    short = np.flatnonzero(size < SHINGLE)
+    for k in short.tolist():
+        own = points[begin[k]:begin[k] + size[k]]
+        h[first[k]] = (own * _CHARS[:len(own)]).sum() ^ np.uint64(len(own))
+    return mix64(h), first
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
+    h, first = char_shingles(lines)
+    return [np.unique(x) for x in np.split(h, first[1:])]
 
 
 def _signatures(lines: list[str]) -> np.ndarray:
     """Band hashes (line, band) of MinHash signatures."""
-    parts = [char_shingles(x) for x in lines]
-    first = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    h = (np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)
-    least = np.empty((len(lines), BANDS * ROWS), np.uint64)
-    for k in range(BANDS * ROWS):
-        v = h ^ _ADD[k]
-        v *= _MULTIPLY[k]
-        least[:, k] = np.minimum.reduceat(v, first)
+    h, first = char_shingles(lines)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    border = np.append(first, len(h))
+    a = 0
+    while a < len(lines):  # a few lines at a time stay in the processor's cache
+        b = max(a + 1, int(np.searchsorted(border, border[a] + CACHED, "right")) - 1)
+        own, at = h[border[a]:border[b]], first[a:b] - border[a]
+        v = np.empty_like(own)
+        for k in range(BANDS * ROWS):
+            np.bitwise_xor(own, _ADD[k], out=v)
+            np.multiply(v, _MULTIPLY[k], out=v)
+            least[k, a:b] = np.minimum.reduceat(v, at)
+        a = b
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         v = np.full(len(lines), np.uint64(b + 1))
         for r in range(ROWS):
-            v = mix64(v * np.uint64(0x9E3779B97F4A7C15) + least[:, b * ROWS + r])
+            v = mix64(v * np.uint64(0x9E3779B97F4A7C15) + least[b * ROWS + r])
         out[:, b] = v
     return out
 
@@ -108,12 +130,6 @@ def _occurrences(batches, bits):
                                    pa.array(text, pa.string())], names=["doc_id", "doc_key", "line", "node", "text"])
 
 
-def _check(group: pa.Table) -> pa.Table:
-    sets = [np.unique(char_shingles(x)) for x in group["text"].to_pylist()]
-    links = block_links(group["node"].to_pylist(), group["root"].to_pylist(), group["side"].to_pylist(), sets, PERCENT)
-    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
-
-
 #: bits of the filter that keeps the text of most lines without partner off the shuffle
 FILTER_BITS = 1 << 23
 
@@ -135,8 +151,7 @@ def line_components(rows: DataFrame) -> DataFrame:
                  .join(needed, "node", "left_semi"), "texts")
 
     def verify(groups: DataFrame) -> DataFrame:
-        return (groups.join(texts, "node").select("bag", "i", "j", "node", "root", "side", "text")
-                .groupBy("bag", "i", "j").applyInArrow(_check, "a long, b long"))
+        return checked(groups, texts, line_sets, PERCENT)
 
     roots = united(entries, verify)
     where = F.struct("doc_id", "doc_key", "line")
