@@ -91,13 +91,13 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
     return components(links.union(found))
 
 
-def _checked(batches, sets_of, percent: int):
+def _checked(batches, sets_of, percent: int, compare):
     """Links of the groups, which stand together in each task's rows."""
     key, held = None, ([], [], [], [])
 
     def links():
         sets = sets_of(held[3])
-        return block_links(held[0], held[1], held[2], sets, percent)
+        return compare(held[0], held[1], held[2], sets, percent)
 
     for batch in batches:
         out = []
@@ -122,13 +122,13 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
-def checked(groups: DataFrame, contents: DataFrame, sets_of: Callable, percent: int) -> DataFrame:
+def checked(groups: DataFrame, contents: DataFrame, sets_of: Callable, percent: int, compare: Callable = block_links) -> DataFrame:
     """Links (a, b) of the groups. ``contents`` has node and one column more,
-    a list of which ``sets_of`` turns into key sets."""
+    a list of which ``sets_of`` turns into key sets for ``compare``."""
     column = next(c for c in contents.columns if c != "node")
     rows = groups.join(contents, "node").select("bag", "i", "j", "node", "root", "side", column)
     rows = rows.repartition("bag", "i", "j").sortWithinPartitions("bag", "i", "j")
-    return map_arrow(rows, _checked, "a long, b long", sets_of=sets_of, percent=percent)
+    return map_arrow(rows, _checked, "a long, b long", sets_of=sets_of, percent=percent, compare=compare)
 
 
 def hub_groups(pairs: DataFrame) -> DataFrame:
