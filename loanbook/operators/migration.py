@@ -56,18 +56,20 @@ def with_state(df: DataFrame, status_col: str = "loan_status",
 
 
 # ---------------------------------------------------------------- C18 / C19
-def clean_states(df: DataFrame, state_col: str = "status",
-                 order_col: str = "id") -> DataFrame:
-    """Drop null states, keep the first row per id (by ``order_col``).
+def clean_states(df: DataFrame, order_col: str, state_col: str = "status") -> DataFrame:
+    """Drop null states, keep the first row per id.
+
+    ``order_col`` gives the order in which rows came in; it must be named,
+    because a table has no order of its own. Ties go to the lower state.
 
     Written as a grouped ``min`` over a struct: a partial aggregate, so a
     repeated id never gathers into one task.
     """
     kept = df.filter(F.col(state_col).isNotNull())
-    other = [c for c in kept.columns if c != "id"]
+    other = [c for c in kept.columns if c not in ("id", state_col)]
     agg = kept.groupBy("id").agg(
-        F.min(F.struct(F.col(order_col).alias("__k"), *[F.col(c) for c in other])).alias("__r"))
-    return agg.select("id", *[F.col(f"__r.{c}").alias(c) for c in other]) \
+        F.min(F.struct(F.col(order_col).alias("__k"), F.col(state_col), *[F.col(c) for c in other])).alias("__r"))
+    return agg.select("id", *[F.col(f"__r.{c}").alias(c) for c in kept.columns if c != "id"]) \
               .withColumn(state_col, F.col(state_col).cast("int"))
 
 

@@ -16,8 +16,6 @@ from loanbook import constants as K
 from loanbook.functions.features import term_months
 from loanbook.functions.numeric import clip, round_half_even
 
-MAX_CONFIG_ROWS = 100_000
-
 SCORE_FACTOR = K.SCORE_PDO / math.log(2)
 SCORE_OFFSET = K.SCORE_BASE - SCORE_FACTOR * math.log(K.SCORE_BASE_ODDS)
 
@@ -37,13 +35,10 @@ def base_rate(df: DataFrame, spreads: dict | DataFrame | None = None,
     """Q1: base_interest_rate_pct = round((fed + ops + spread[purpose]) x 100, 2).
 
     ``spreads`` is a dict, or a (purpose, spread) DataFrame read from a JSON
-    config (J11: broadcast left join, size checked, default for unknown)."""
+    config of any size (J11: left join, default for unknown)."""
     if isinstance(spreads, DataFrame):
-        n = spreads.count()
-        if n > MAX_CONFIG_ROWS:
-            raise ValueError(f"spread table too large to broadcast: {n} rows")
         sp = spreads.select(F.col("purpose").alias("__p"), F.col("spread").alias("__s"))
-        d = df.join(F.broadcast(sp), df["purpose"] == sp["__p"], "left")
+        d = df.join(sp, df["purpose"] == sp["__p"], "left")
         rate = (F.lit(fed) + F.lit(ops) + F.coalesce("__s", F.lit(default))) * 100
         return d.withColumn("base_interest_rate_pct", round_half_even(rate, 2)).drop("__p", "__s")
     rate = (F.lit(fed) + F.lit(ops) + spread_of("purpose", spreads, default)) * 100

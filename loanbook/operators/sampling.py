@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from loanbook.session import cut_lineage
 
 BUCKET_HEX_DIGITS = 5  # 1,048,576 buckets per group
-MAX_GROUPS_BROADCAST = 1_000_000
 
 
 def draw_hash(key_cols: list[str], seed: int) -> Column:
@@ -69,8 +68,7 @@ def top_k_per_group(df: DataFrame, k, group_cols: list[str] | None = None,
     bound = bound.select(*group_cols, F.col("__s.__b").alias("__bb"), F.col("__s.__need").alias("__need"))
     if group_cols:
         info = counts.select(*group_cols).distinct().join(bound, group_cols, "left")
-        small = info.count() <= MAX_GROUPS_BROADCAST  # one row per group: size checked
-        d = d.join(F.broadcast(info) if small else info, group_cols, "inner")
+        d = d.join(info, group_cols, "inner")  # adaptive execution places it by its size
     else:
         d = d.withColumn("__bb", bound.select("__bb").scalar()) \
              .withColumn("__need", bound.select("__need").scalar())

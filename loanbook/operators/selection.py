@@ -115,12 +115,13 @@ def _prefix_pick(cand: DataFrame, limits: list[float], max_window_rows: int) ->
 
 
 def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40,
-           max_window_rows: int = MAX_WINDOW_ROWS, rounds: int = 3) -> tuple[DataFrame, float]:
+           max_window_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, float]:
     """Q8: the report with a boolean ``selected``, and the dual bound.
 
-    After the first prefix pick, up to ``rounds - 1`` more picks run over the
-    loans not yet chosen with the capacity that is left (the loan that
-    stopped the previous prefix no longer fits and drops out)."""
+    After the first prefix pick, more picks run over the loans not yet chosen
+    with the capacity that is left (the loan that stopped the previous prefix
+    no longer fits and drops out), until a round adds no loan. Every round
+    but the last adds at least one, so this ends."""
     it = items(report, limits).cache()
     lam, bound = dual_prices(it, iters)
     price = sum((F.lit(lam[k] + 1e-9) * F.col(f"a{k}") for k in range(3)), F.lit(1e-12))
@@ -128,7 +129,7 @@ def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 4
     base = base.withColumn("bucket", F.floor(F.log2("score") * BUCKETS_PER_OCTAVE).cast("long"))
     remaining = [float(x) for x in limits]
     picks = []
-    for _ in range(max(1, rounds)):
+    while True:
         # each round starts from the cached base minus the frozen earlier picks,
         # so plans stay flat however many rounds run
         pool = base if not picks else base.join(reduce(lambda a, b: a.unionByName(b), picks), "id", "left_anti")

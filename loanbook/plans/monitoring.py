@@ -18,10 +18,11 @@ def ongoing(df: DataFrame, status_col: str = "loan_status") -> DataFrame:
     return df.filter(F.col(status_col).isin(K.ONGOING_STATUSES))
 
 
-def predict_states(loans: DataFrame) -> DataFrame:
-    """F3 + C18: id, status (0..3), first row per id."""
-    st = loans.select("id", M.status_to_state("loan_status").alias("status"))
-    return M.clean_states(st, "status")
+def predict_states(loans: DataFrame, ingest: str = "id") -> DataFrame:
+    """F3 + C18: id, status (0..3), first row per id in the order of the
+    column ``ingest`` (the loan book has one row per id, so there any will do)."""
+    st = loans.select("id", F.col(ingest).alias("__in"), M.status_to_state("loan_status").alias("status"))
+    return M.clean_states(st, "__in").drop("__in")
 
 
 def risk_report(loans: DataFrame, tpm=None) -> DataFrame:
@@ -36,19 +37,19 @@ def action_inputs(loans: DataFrame) -> DataFrame:
     return M.clean_action_data(loans.select(*cols))
 
 
-def action_report(loans: DataFrame, tpm=None) -> DataFrame:
+def action_report(loans: DataFrame, tpm=None, ingest: str = "id") -> DataFrame:
     """Detailed action report, fused into one pass.
 
     C18 (first state per id) and C19 (highest exposure per id) are both
     keyed by id, so they are one grouped aggregate: ``min`` over
-    struct(id, state) and ``max`` over struct(out_prncp, rest of the row),
+    struct(ingest, state) and ``max`` over struct(out_prncp, rest of the row),
     each ignoring the rows its rule drops. Keeping ids that have both is
     the inner join J7. One shuffle on id, then column expressions and a
     broadcast of the per-state PD table (one row per state)."""
     st = M.status_to_state("loan_status")
-    d = loans.select("id", "loan_status", st.alias("status"), "out_prncp", "funded_amnt",
+    d = loans.select("id", F.col(ingest).alias("__in"), "loan_status", st.alias("status"), "out_prncp", "funded_amnt",
                      "recoveries", "total_pymnt")
-    first = F.when(F.col("status").isNotNull(), F.struct(F.col("id").alias("k"), F.col("status")))
+    first = F.when(F.col("status").isNotNull(), F.struct("__in", "status"))
     top = F.when(F.col("out_prncp").isNotNull(),
                  F.struct("out_prncp", "loan_status", "funded_amnt", "recoveries", "total_pymnt"))
     g = d.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(first).alias("s"), F.max(top).alias("p"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loanbook import constants as K
 from loanbook.operators import migration as M
@@ -72,6 +73,19 @@ def c18_first_state(spark, d):
     return MON.predict_states(_ongoing(spark, d))
 
 
+@register("c18_repeated_ids", """
+SELECT id, CAST(status AS INT) AS status FROM (
+    SELECT l_orderkey AS id, l_linenumber, CASE WHEN l_partkey % 5 < 4 THEN l_partkey % 5 END AS status FROM lineitem)
+WHERE status IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY l_linenumber, status) = 1
+""")
+def c18_repeated_ids(spark, d):
+    """C18 where ids repeat: line items in line order, a state from the part key."""
+    state = F.when(F.col("l_partkey") % 5 < 4, F.col("l_partkey") % 5)
+    rows = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", state.alias("status"))
+    return M.clean_states(rows, "l_linenumber").select("id", "status")
+
+
 @register("c19_provision_clean",
           mon_sql("SELECT id, out_prncp, funded_amnt, recoveries, provision_needed FROM act0"))
 def c19_provision_clean(spark, d):

@@ -383,3 +383,20 @@ def test_rejected_cleaner(spark):
 def test_blanks(spark):
     df = spark.createDataFrame([("",), ("  ",), ("\t",), ("x",), (None,)], "s string")
     assert [r.s for r in CL.blanks_to_null(df).collect()] == [None, None, None, "x", None]
+
+
+def test_c18_keeps_the_first_row_not_the_lowest_state(spark):
+    from loanbook.operators import migration as M
+    rows = [(1, 1, 3), (1, 2, 0), (2, 5, None), (2, 6, 2), (2, 7, 1), (3, 1, None)]
+    d = spark.createDataFrame(rows, "id long, line int, status int")
+    assert {(r.id, r.status) for r in M.clean_states(d, "line").collect()} == {(1, 3), (2, 2)}
+
+
+def test_c18_action_report_follows_the_ingest_order(spark):
+    from loanbook.plans import monitoring
+    rows = [(1, 2, "Current"), (1, 1, "Late (31-120 days)")]
+    d = spark.createDataFrame([(i, n, s, 100.0, 1000.0, 0.0, 0.0) for i, n, s in rows],
+                              "id long, seq int, loan_status string, out_prncp double, funded_amnt double, recoveries double, total_pymnt double")
+    late = monitoring.action_report(d, ingest="seq").first()
+    early = monitoring.action_report(d.withColumn("seq", -F.col("seq")), ingest="seq").first()
+    assert late["status_tag"] != early["status_tag"]
