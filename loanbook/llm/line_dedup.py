@@ -94,12 +94,25 @@ def _signatures(lines: list[str]) -> np.ndarray:
 def counted_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between the probes (side 1 or 2) and the stored sets (side 0 or
     2) of different roots: a probe marks its shingles, one pass over all sets
-    counts the marks of each."""
+    counts the marks of each. A single probe looks the shingles of the sets
+    up in its own instead."""
     root, side, size = np.array(roots), np.array(sides), np.array([len(s) for s in sets])
+    probes = np.flatnonzero(side > 0)
+    if len(probes) == 1:
+        own, i = sets[probes[0]], int(probes[0])
+        least, most = np.minimum(size, len(own)), np.maximum(size, len(own))
+        other = np.flatnonzero((root != root[i]) & (side == 0) & (100 * least >= percent * most)).tolist()
+        if not other:
+            return []
+        keys = np.concatenate([sets[k] for k in other])
+        hit = own[np.minimum(np.searchsorted(own, keys), len(own) - 1)] == keys
+        overlap = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[other]) - size[other])
+        return [(nodes[i], nodes[k]) for k, n in zip(other, overlap.tolist(), strict=True)
+                if n * (100 + percent) >= percent * (len(own) + len(sets[k]))]
     _, at = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(size) - size
     marked, out = np.zeros(int(at.max()) + 1, dtype=bool), []
-    for i in np.flatnonzero(side > 0).tolist():
+    for i in probes.tolist():
         other = (root != root[i]) & (side != 1) & ((side != 2) | (np.arange(len(root)) > i))
         if not other.any():
             continue

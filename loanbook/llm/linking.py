@@ -31,6 +31,8 @@ HUB_PARTNERS = 128
 #: ``ENOUGH_LINKS`` of a round's pairs is a link (both steer the work, not the result)
 LEADER_ROUNDS = 3
 ENOUGH_LINKS = 20
+#: groups are verified together until their contents are so long (no effect on results)
+AT_ONCE = 1 << 18
 
 
 def shared_entries(entries: DataFrame, possible: Column | None = None) -> DataFrame:
@@ -93,11 +95,13 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
 
 def _checked(batches, sets_of, percent: int, compare):
     """Links of the groups, which stand together in each task's rows."""
-    key, held = None, ([], [], [], [])
+    key, held, begins, amount = None, ([], [], [], []), [], 0
 
     def links():
-        sets = sets_of(held[3])
-        return compare(held[0], held[1], held[2], sets, percent)
+        sets, out = sets_of(held[3]), []
+        for a, b in zip(begins, [*begins[1:], len(sets)], strict=True):
+            out += compare(*[c[a:b] for c in held[:3]], sets[a:b], percent)
+        return out
 
     for batch in batches:
         out = []
@@ -107,11 +111,14 @@ def _checked(batches, sets_of, percent: int, compare):
         for a, b in zip(border, [*border[1:], batch.num_rows], strict=True):
             own = tuple(keys[:, a].tolist())
             if own != key:
-                if held[0]:
+                if amount >= AT_ONCE:
                     out += links()
-                key, held = own, ([], [], [], [])
+                    held, begins, amount = ([], [], [], []), [], 0
+                key = own
+                begins.append(len(held[0]))
             for c, values in zip(held, columns, strict=True):
                 c += values[a:b]
+            amount += sum(map(len, columns[3][a:b]))
         if out:
             yield _link_batch(out)
     if held[0]:

@@ -337,3 +337,18 @@ def test_registered_queries_hold_their_contract(spark, sf_small):
         "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"]}
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, sf_small).columns[:len(columns)] == columns
+
+
+def test_line_links_of_one_probe_and_of_many():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        base = rng.choice(1000, rng.integers(1, 40), replace=False)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[:rng.integers(1, len(base) + 1)], rng.choice(1000, rng.integers(0, 4))]))
+                .astype(np.uint64) for _ in range(rng.integers(1, 8))]
+        n = len(sets)
+        for sides in ([1] + [0] * (n - 1), [2] * n):
+            roots = rng.integers(0, n + 1, n).tolist()
+            want = {(i, k) for i in range(n) for k in range(n) if sides[i] and (sides[k] == 0 or (sides[k] == 2 and k > i))
+                    and roots[i] != roots[k]
+                    and 100 * len(np.intersect1d(sets[i], sets[k])) >= 80 * len(np.union1d(sets[i], sets[k]))}
+            assert set(line_dedup.counted_links(list(range(n)), roots, sides, sets, 80)) == want
