@@ -23,11 +23,15 @@ SHINGLE = 8
 BANDS, ROWS = 9, 3
 #: shingles hashed at a time
 CACHED = 1 << 15
+#: groups of at most so many members are compared pair by pair, many groups at
+#: once (larger ones by marks; no effect on results), and so many keys at a time
+FEW, LOOKED_UP = 8, 1 << 20
 PERCENT = 80
 _BREAK = separator_table([(0x0A, 0x0A)])
 _MULTIPLY = (_odd_constants(101, BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _ADD = (_odd_constants(202, BANDS * ROWS) >> np.uint64(32)).astype(np.uint32)
 _CHARS = _odd_constants(303, SHINGLE)
+_POWERS = {1: _CHARS[:1], 2: _CHARS[:1] ** 2, 4: _CHARS[:1] ** 4}
 
 
 def _lines(data: np.ndarray, off: np.ndarray):
@@ -47,13 +51,15 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(size) - size
-    g = np.zeros(len(points), np.uint64)
-    for j in range(SHINGLE):
-        g[:len(points) - j] += points[j:] * _CHARS[j]
+    g = points
+    for width in (1, 2, 4):  # polynomial hashes of 2, 4 and 8 characters
+        g = g[:-width] * _POWERS[width] + g[width:] if len(g) > width else g[:0]
     many = np.maximum(size - SHINGLE + 1, 1)
     first = np.cumsum(many) - many
-    h = g[np.arange(int(many.sum())) + np.repeat(begin - first, many)]
+    at = np.arange(int(many.sum())) + np.repeat(begin - first, many)
     short = np.flatnonzero(size < SHINGLE)
+    at[first[short]] = 0  # filled below
+    h = g[at] if len(g) else np.zeros(len(at), np.uint64)
     for k in short.tolist():
         own = points[begin[k]:begin[k] + size[k]]
         h[first[k]] = (own * _CHARS[:len(own)]).sum() ^ np.uint64(len(own))
@@ -63,19 +69,23 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each line."""
     h, first = char_shingles(lines)
-    return [np.unique(x) for x in np.split(h, first[1:])]
+    row = np.repeat(np.arange(len(lines)), np.diff(np.append(first, len(h))))
+    order = np.argsort(h)
+    order = order[np.argsort(row[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]  # by line, then hash
+    h, row = h[order], row[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+    return np.split(h[new], np.cumsum(np.bincount(row[new], minlength=len(lines)))[:-1])
 
 
 def _signatures(lines: list[str]) -> np.ndarray:
     """Band hashes (line, band) of MinHash signatures."""
-    h, first = char_shingles(lines)
-    h = (h >> np.uint64(32)).astype(np.uint32)
     least = np.empty((BANDS * ROWS, len(lines)), np.uint32)
-    border = np.append(first, len(h))
+    border = np.cumsum([0, *map(len, lines)])
     a = 0
     while a < len(lines):  # a few lines at a time stay in the processor's cache
         b = max(a + 1, int(np.searchsorted(border, border[a] + CACHED, "right")) - 1)
-        own, at = h[border[a]:border[b]], first[a:b] - border[a]
+        h, at = char_shingles(lines[a:b])
+        own = (h >> np.uint64(32)).astype(np.uint32)
         v = np.empty_like(own)
         for k in range(BANDS * ROWS):
             np.bitwise_xor(own, _ADD[k], out=v)
@@ -125,6 +135,53 @@ def counted_links(nodes: list[int], roots: list[int], sides: list[int], sets: li
     return out
 
 
+def links_of_groups(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], begins: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of many groups, which begin at ``begins``. Pairs of a single
+    probe and of small groups are looked up together; each other group goes
+    to ``counted_links``."""
+    node, root, side = np.array(nodes), np.array(roots), np.array(sides)
+    size = np.array([len(s) for s in sets])
+    begin = np.array(begins)
+    members = np.diff(np.append(begin, len(sets)))
+    group, rows = np.repeat(np.arange(len(begin)), members), np.arange(len(sets))
+    single = (np.bincount(group[side == 1], minlength=len(begin)) == 1) & (np.bincount(group[side == 2], minlength=len(begin)) == 0)
+    probe = np.zeros(len(begin), np.int64)
+    probe[group[side == 1]] = rows[side == 1]
+    y = rows[(side == 0) & single[group]]
+    left, right = [probe[group[y]]], [y]
+    few = ~single & (members <= FEW)
+    for d in range(1, FEW):
+        x = rows[:max(0, len(rows) - d)]
+        x = x[(group[x] == group[x + d]) & few[group[x]]]
+        x = x[((side[x] == 2) & (side[x + d] == 2)) | (side[x] + side[x + d] == 1)]
+        left.append(x)
+        right.append(x + d)
+    x, y = np.concatenate(left), np.concatenate(right)
+    possible = (root[x] != root[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+    x, y = x[possible], y[possible]
+    out = []
+    if len(x):
+        used, at = np.unique(np.concatenate(sets), return_inverse=True)
+        stored = np.repeat(rows, size) * len(used) + at  # ascending: by set, then by key
+        first = np.cumsum(size) - size
+        total = np.cumsum(size[y])
+        a = 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + LOOKED_UP, "right")))
+            many = size[y[a:b]]
+            start = np.cumsum(many) - many
+            keys = at[np.arange(int(many.sum())) + np.repeat(first[y[a:b]] - start, many)] + np.repeat(x[a:b], many) * len(used)
+            found = stored[np.minimum(np.searchsorted(stored, keys), len(stored) - 1)] == keys
+            overlap = np.add.reduceat(found.astype(np.int64), start)
+            hit = overlap * (100 + percent) >= percent * (many + size[x[a:b]])
+            out += zip(node[x[a:b][hit]].tolist(), node[y[a:b][hit]].tolist(), strict=True)
+            a = b
+    for k in np.flatnonzero(~single & ~few).tolist():
+        a, b = int(begin[k]), int(begin[k] + members[k])
+        out += counted_links(nodes[a:b], roots[a:b], sides[a:b], sets[a:b], percent)
+    return out
+
+
 def _bands(batches):
     seen: set[int] = set()
     for batch in batches:
@@ -185,7 +242,7 @@ def line_components(rows: DataFrame) -> DataFrame:
                  .join(needed, "node", "left_semi"), "texts")
 
     def verify(groups: DataFrame) -> DataFrame:
-        return checked(groups, texts, line_sets, PERCENT, counted_links)
+        return checked(groups, texts, line_sets, PERCENT, links_of_groups)
 
     roots = united(entries, verify)
     where = F.struct("doc_id", "doc_key", "line")

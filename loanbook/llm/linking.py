@@ -98,10 +98,7 @@ def _checked(batches, sets_of, percent: int, compare):
     key, held, begins, amount = None, ([], [], [], []), [], 0
 
     def links():
-        sets, out = sets_of(held[3]), []
-        for a, b in zip(begins, [*begins[1:], len(sets)], strict=True):
-            out += compare(*[c[a:b] for c in held[:3]], sets[a:b], percent)
-        return out
+        return compare(*held[:3], sets_of(held[3]), begins, percent)
 
     for batch in batches:
         out = []
@@ -125,13 +122,22 @@ def _checked(batches, sets_of, percent: int, compare):
         yield _link_batch(links())
 
 
+def tree_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], begins: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links of groups that begin at ``begins``, by a prefix tree per group."""
+    out = []
+    for a, b in zip(begins, [*begins[1:], len(sets)], strict=True):
+        out += block_links(nodes[a:b], roots[a:b], sides[a:b], sets[a:b], percent)
+    return out
+
+
 def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
-def checked(groups: DataFrame, contents: DataFrame, sets_of: Callable, percent: int, compare: Callable = block_links) -> DataFrame:
+def checked(groups: DataFrame, contents: DataFrame, sets_of: Callable, percent: int, compare: Callable = tree_links) -> DataFrame:
     """Links (a, b) of the groups. ``contents`` has node and one column more,
-    a list of which ``sets_of`` turns into key sets for ``compare``."""
+    a list of which ``sets_of`` turns into key sets for ``compare``, which is
+    given many groups at once."""
     column = next(c for c in contents.columns if c != "node")
     rows = groups.join(contents, "node").select("bag", "i", "j", "node", "root", "side", column)
     rows = rows.repartition("bag", "i", "j").sortWithinPartitions("bag", "i", "j")

@@ -352,3 +352,38 @@ def test_line_links_of_one_probe_and_of_many():
                     and roots[i] != roots[k]
                     and 100 * len(np.intersect1d(sets[i], sets[k])) >= 80 * len(np.union1d(sets[i], sets[k]))}
             assert set(line_dedup.counted_links(list(range(n)), roots, sides, sets, 80)) == want
+
+
+def test_line_links_of_many_groups():
+    rng = np.random.default_rng(6)
+    sets, sides, begins, want = [], [], [], set()
+    for g in range(300):
+        base = rng.choice(1000, rng.integers(1, 40), replace=False)
+        n = int(rng.integers(1, 14))
+        kind = g % 3
+        own = [1] + [0] * (n - 1) if kind == 0 else [2] * n if kind == 1 else rng.integers(0, 2, n).tolist()
+        own = rng.permutation(own).tolist()
+        begins.append(len(sets))
+        sides += own
+        sets += [np.unique(np.concatenate([rng.permutation(base)[:rng.integers(max(1, len(base) - 4), len(base) + 1)], rng.choice(1000, rng.integers(0, 4))]))
+                 .astype(np.uint64) for _ in range(n)]
+    roots = rng.integers(0, 6, len(sets)).tolist()
+    for a, b in zip(begins, [*begins[1:], len(sets)], strict=True):
+        for i in range(a, b):
+            for k in range(a, b):
+                meets = (sides[i] == 1 and sides[k] == 0) or (sides[i] == sides[k] == 2 and i < k)
+                if meets and roots[i] != roots[k] and 100 * len(np.intersect1d(sets[i], sets[k])) >= 80 * len(np.union1d(sets[i], sets[k])):
+                    want.add((min(i, k), max(i, k)))
+    links = line_dedup.links_of_groups(list(range(len(sets))), roots, sides, sets, begins, 80)
+    assert {(min(x), max(x)) for x in links} == want and want
+
+
+def test_line_sets_hold_the_shingles_of_each_line():
+    lines = ["abcdefgh", "abc", "abcdefghabcdefgh", "é" * 30, "x", "abcdefghi", "abc"]
+    sets = line_dedup.line_sets(lines)
+    grams = [{t[i:i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
+    assert [len(s) for s in sets] == [len(g) for g in grams]
+    for i, g in enumerate(grams):
+        assert (np.diff(sets[i].astype(object)) > 0).all()
+        for k, o in enumerate(grams):
+            assert len(np.intersect1d(sets[i], sets[k])) == len(g & o)
