@@ -2,51 +2,92 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer, so a global median over a very large column ends up in
-one task. Here the exact order statistics are found in passes over the data:
+one task. Here the exact order statistics are found by narrowing:
 
-1. count the non-null values (n) and take the target ranks floor/ceil of
-   q (n - 1);
-2. ``percentile_approx`` brackets those ranks with a value band;
-3. one aggregate counts the values below the band and inside it;
-4. if the band provably contains both ranks and is small, the two order
-   statistics are read from the band alone (a bounded ordered take);
-   otherwise the exact aggregate is used.
+1. one aggregate gives the non-null count, minimum and maximum of every column;
+2. each pass cuts the value range of every open order statistic into
+   ``CELLS`` cells and counts them (with the smallest and largest value of
+   each cell) in one partial aggregate; the cell that holds the rank is the
+   next range;
+3. an order statistic is found once its range is a single value.
+
+A pass counts all columns together, so the number of jobs depends on the
+values, not on the number of columns or rows. Every pass puts the ends of a
+range in different cells, so it always ends. At most ``CELLS`` rows an order
+statistic reach the driver.
 
 The interpolation is Spark's own, (hi - pos) x lower + (pos - lo) x upper, so
-the result equals ``percentile`` bit for bit.
+the result equals ``percentile`` bit for bit. Nulls and NaN are left out;
+infinities count as the largest finite values.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BAND_ROWS = 2_000_000
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, band: float = 1e-3,
-                   accuracy: int = 100_000, max_band_rows: int = MAX_BAND_ROWS) -> float | None:
-    d = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = d.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    lo_r, hi_r = math.floor(pos), math.ceil(pos)
-    if n <= max_band_rows:
-        # small enough for the exact aggregate in one task
-        return d.agg(F.percentile("v", q)).first()[0]
-    qs = [max(0.0, lo_r / (n - 1) - band), min(1.0, hi_r / (n - 1) + band)]
-    lo_v, hi_v = d.agg(F.percentile_approx("v", qs, accuracy)).first()[0]
-    r = d.agg(F.count_if(F.col("v") < lo_v).alias("below"),
-              F.count_if((F.col("v") >= lo_v) & (F.col("v") <= hi_v)).alias("m")).first()
-    below, m = r.below, r.m
-    if not (below <= lo_r and below + m > hi_r and m <= max_band_rows):
-        return d.agg(F.percentile("v", q)).first()[0]
-    cand = d.filter((F.col("v") >= lo_v) & (F.col("v") <= hi_v))
-    lower = cand.orderBy("v").limit(lo_r - below + 1).agg(F.max("v")).first()[0]
-    if hi_r == lo_r:
-        return lower
-    upper = cand.orderBy("v").limit(hi_r - below + 1).agg(F.max("v")).first()[0]
-    return (hi_r - pos) * lower + (pos - lo_r) * upper
+#: cells of a range in a pass
+CELLS = 4096
+
+
+def _finite(c: Column) -> Column:
+    v = c.cast("double")
+    top = F.lit(sys.float_info.max)
+    return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, top), -top))
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
+    """The quantile of every ``name: (column expression, q)``; None without values."""
+    names = list(wanted)
+    if not names:
+        return {}
+    d = df.select(*[_finite(wanted[k][0]).alias(f"v{i}") for i, k in enumerate(names)])
+    r = d.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(names))
+                for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank): range, values below it
+    spots = {}
+    for i, k in enumerate(names):
+        if r[f"n{i}"]:
+            pos = wanted[k][1] * (r[f"n{i}"] - 1)
+            spots[i] = (pos, math.floor(pos), math.ceil(pos))
+            for rank in spots[i][1:]:
+                open_[i, rank] = (r[f"lo{i}"], r[f"hi{i}"], 0)
+    while True:
+        found.update({key: lo for key, (lo, hi, _) in open_.items() if lo == hi})
+        open_ = {key: x for key, x in open_.items() if x[0] != x[1]}
+        if not open_:
+            break
+        keys, ranges = list(open_), {}
+        for i, rank in keys:  # neighbouring ranks mostly share a range
+            lo, hi, _ = open_[i, rank]
+            ranges.setdefault((i, lo, hi), len(ranges))
+        cells = []
+        for (i, lo, hi), t in ranges.items():
+            v = F.col(f"v{i}")
+            share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
+            cell = F.least((share * CELLS).cast("int"), F.lit(CELLS - 1))
+            cells.append(F.when(v.between(lo, hi), F.struct(F.lit(t).alias("t"), cell.alias("c"), v.alias("v"))))
+        rows = d.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        table: dict[int, list] = {}
+        for x in rows.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            table.setdefault(x.t, []).append(x)
+        for i, rank in keys:
+            lo, hi, below = open_[i, rank]
+            for x in sorted(table[ranges[i, lo, hi]], key=lambda x: x.c):
+                if below + x.n > rank:
+                    open_[i, rank] = (x.lo, x.hi, below)
+                    break
+                below += x.n
+    out: dict[str, float | None] = dict.fromkeys(names)
+    for i, (pos, lo_r, hi_r) in spots.items():
+        lower, upper = found[i, lo_r], found[i, hi_r]
+        out[names[i]] = lower if lo_r == hi_r else (hi_r - pos) * lower + (pos - lo_r) * upper
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    return exact_quantiles(df, {"v": (F.col(col), q)})["v"]

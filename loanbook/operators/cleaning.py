@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from loanbook import constants as K
 from loanbook.functions.numeric import inf_to_null, nan_to_null
-from loanbook.functions.quantiles import exact_quantile
+from loanbook.functions.quantiles import exact_quantile, exact_quantiles
 from loanbook.session import reuse
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
@@ -300,10 +300,11 @@ def handle_missing(df: DataFrame, crucial: list[str] | None = None,
     plan = _null_policy_plan(d, nums, crucial, drop_share)
     drops = [c for c, a, _ in plan if a == "drop"]
     fills = [(c, before) for c, a, before in plan if a == "fill"]
-    medians = {}
+    wanted = {}
     for c, before in fills:  # exact medians over the rows alive at that step
         alive = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in before], F.lit(True))
-        medians[c] = exact_quantile(d.filter(alive), c, 0.5)
+        wanted[c] = (F.when(alive, F.col(c)), 0.5)
+    medians = exact_quantiles(d, wanted)
     if drops:
         d = d.dropna(subset=drops)
     if medians:

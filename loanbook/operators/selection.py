@@ -13,9 +13,8 @@ Re-aimed from an exact binary program to a Lagrangian dual that scales:
    per priced weight; a histogram over log-score buckets (one partial
    aggregate) gives prefix sums of the three weights; whole buckets are
    kept while all prefixes fit; only the one marginal bucket is ranked row
-   by row (weights are >= 0, so the feasible rows there are a prefix), by a
-   window when its size is below a checked bound, else by distributed
-   running sums (many equal scores).
+   by row (weights are >= 0, so the feasible rows there are a prefix), by
+   distributed running sums.
    A negative-profit loan is never selected.
 """
 
@@ -28,10 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanbook.operators.pricing import rwa_proxy
+from loanbook.operators.sampling import running_sums
 from loanbook.session import cut_lineage
 
 BUCKETS_PER_OCTAVE = 256
-MAX_WINDOW_ROWS = 5_000_000  # marginal-bucket rows ranked by one window task
 
 
 def _scaled(c: Column, limit: float) -> Column:
@@ -86,7 +85,7 @@ def dual_prices(it: DataFrame, iters: int = 40, patience: int = 6,
     return best_lam, best
 
 
-def _prefix_pick(cand: DataFrame, limits: list[float], max_window_rows: int) -> DataFrame:
+def _prefix_pick(cand: DataFrame, limits: list[float]) -> DataFrame:
     """The longest prefix of ``cand`` in (score desc, id) order whose three
     running weight sums fit the limits: whole histogram buckets, then a
     row-by-row pass over the one marginal bucket. Returns (id, w0, w1, w2)."""
@@ -100,22 +99,14 @@ def _prefix_pick(cand: DataFrame, limits: list[float], max_window_rows: int) ->
     before = cand.filter(F.col("bucket") > mb).agg(*[F.sum(f"w{k}").alias(f"b{k}") for k in range(3)])
     edge_rows = cand.filter(F.col("bucket") == mb)
     base = [F.coalesce(before.select(f"b{k}").scalar(), F.lit(0.0)) for k in range(3)]
-    if edge_rows.count() <= max_window_rows:  # size check: one task ranks the bucket
-        we = Window.partitionBy("bucket").orderBy(F.col("score").desc(), "id") \
-                   .rowsBetween(Window.unboundedPreceding, 0)
-        edge = edge_rows.select("id", "w0", "w1", "w2",
-                                *[(F.sum(f"w{k}").over(we) + base[k]).alias(f"r{k}") for k in range(3)])
-    else:  # a hot bucket (many equal scores): distributed running sums
-        from loanbook.operators.sampling import running_sums
-        rs = running_sums(edge_rows.select("id", (-F.col("score")).alias("neg_score"), "w0", "w1", "w2"),
-                          ["neg_score", "id"], ["w0", "w1", "w2"])
-        edge = rs.select("id", "w0", "w1", "w2", *[(F.col(f"cum_w{k}") + base[k]).alias(f"r{k}") for k in range(3)])
+    rs = running_sums(edge_rows.select("id", (-F.col("score")).alias("neg_score"), "w0", "w1", "w2"),
+                      ["neg_score", "id"], ["w0", "w1", "w2"])
+    edge = rs.select("id", "w0", "w1", "w2", *[(F.col(f"cum_w{k}") + base[k]).alias(f"r{k}") for k in range(3)])
     edge = edge.filter((F.col("r0") <= L[0]) & (F.col("r1") <= L[1]) & (F.col("r2") <= L[2]))
     return whole.select("id", "w0", "w1", "w2").unionByName(edge.select("id", "w0", "w1", "w2"))
 
 
-def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40,
-           max_window_rows: int = MAX_WINDOW_ROWS) -> tuple[DataFrame, float]:
+def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 40) -> tuple[DataFrame, float]:
     """Q8: the report with a boolean ``selected``, and the dual bound.
 
     After the first prefix pick, more picks run over the loans not yet chosen
@@ -135,7 +126,7 @@ def select(report: DataFrame, limits: tuple[float, float, float], iters: int = 4
         pool = base if not picks else base.join(reduce(lambda a, b: a.unionByName(b), picks), "id", "left_anti")
         # a loan whose own weight exceeds what is left can never be chosen
         fit_alone = reduce(lambda a, b: a & b, [F.col(f"w{k}") <= F.lit(remaining[k]) for k in range(3)])
-        pick = cut_lineage(_prefix_pick(pool.filter(fit_alone), remaining, max_window_rows))
+        pick = cut_lineage(_prefix_pick(pool.filter(fit_alone), remaining))
         used = pick.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"w{k}").alias(f"u{k}") for k in range(3)]).first()
         if not used.n:
             break

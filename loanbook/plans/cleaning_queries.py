@@ -361,6 +361,24 @@ def w4_first_n(spark, d):
     return ong.orderBy(F.col("loan_amnt").desc(), "id").limit(K.UI_SAMPLE)
 
 
+@register("f9_ids_first", with_loanbook("SELECT id, loan_status, loan_amnt, purpose FROM loanbook"))
+def f9_ids_first(spark, d):
+    return FL.ids_first(_lb(spark, d).select("loan_amnt", "purpose", "loan_status", "id"), ["id", "loan_status"])
+
+
+@register("f5_review_route", with_loanbook(f"SELECT {', '.join(_RV_COLS)}, loan_status, 'train' AS route FROM loanbook"))
+def f5_review_route(spark, d):
+    """the loan book has a label and more than the nine features: it trains."""
+    route, out = FL.review_route(_lb(spark, d))
+    return out.withColumn("route", F.lit(route))
+
+
+@register("c4_guard", with_loanbook("SELECT loan_status, count(*) AS n FROM loanbook GROUP BY loan_status"))
+def c4_guard(spark, d):
+    """C4: the guard lets a table with values through unchanged (counted per status)."""
+    return CL.require_data(_lb(spark, d)).groupBy("loan_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 CCF = 0.75
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from loanbook import constants as K
@@ -16,6 +18,7 @@ from loanbook.plans import risk as RK
 from loanbook.plans.catalog import register
 from loanbook.plans.sqlfrag import (FINISHED_IN, LABEL_CASE, STATE_CASE, clip_sql, dbl, in_list,
                                     lgd_sql, pd_case, q, rint)
+from loanbook.sources import io as IO
 from loanbook.sources.tables import loan_book, with_loanbook
 
 TERM_SQL = ("coalesce(TRY_CAST(nullif(regexp_extract(term, '(\\d+)', 1), '') AS DOUBLE), "
@@ -83,6 +86,17 @@ def j11_spread(spark, d):
              .withColumn("spread", P.spread_of("purpose"))
 
 
+@register("j11_config_join", risk_sql("SELECT id, purpose, base_interest_rate_pct FROM pr1"))
+def j11_config_join(spark, d):
+    """S5 + J11: the rate config as a JSON document, read back and joined."""
+    doc = json.dumps({"macro_constants": {"fed_funds_rate": K.FED_FUNDS_RATE, "operational_cost": K.OPERATIONAL_COST},
+                      "purpose_spreads": K.PURPOSE_SPREADS})
+    path = IO.scratch_path(spark, "rates")
+    spark.createDataFrame([(doc,)], "value STRING").coalesce(1).write.text(path)
+    macro, spreads = P.read_rate_config(spark, path)
+    return P.base_rate(_lb(spark, d).select("id", "purpose"), spreads, macro["fed_funds_rate"], macro["operational_cost"])
+
+
 @register("q3_price", risk_sql(
     "SELECT id, base_interest_rate_pct, risk_premium_rate, int_rate FROM pr"))
 def q3_price(spark, d):

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from loanbook.functions.numeric import round_half_even
 from loanbook.operators import cleaning as CL
+from loanbook.operators import filters as FL
 from loanbook.operators import migration as M
+from loanbook.operators.aggregates import class_balance
 from loanbook.plans.catalog import register
-from loanbook.plans.sqlfrag import rint
+from loanbook.plans.sqlfrag import FINISHED_IN, LABEL_CASE, rint
 from loanbook.sources import io as IO
 from loanbook.sources.tables import loan_book, read_table, with_loanbook
 
@@ -32,6 +34,18 @@ def s2_route_parquet(spark, d):
     return df.filter(F.col("o_orderstatus") == "O").select("o_orderkey", "o_totalprice")
 
 
+@register("s7_json_report", with_loanbook(
+    f"SELECT count(*) FILTER (WHERE lbl = 0) AS n_paid, count(*) FILTER (WHERE lbl = 1) AS n_default, "
+    f"count(*) FILTER (WHERE lbl = 0) / count(*) FILTER (WHERE lbl = 1) AS imbalance "
+    f"FROM (SELECT {LABEL_CASE} AS lbl FROM loanbook WHERE {FINISHED_IN})"))
+def s7_json_report(spark, d):
+    """A one-row report written as JSON and read back."""
+    report = class_balance(FL.finished(loan_book(spark, d).select("loan_status"), binary=False), "loan_status")
+    path = IO.scratch_path(spark, "s7")
+    IO.write_json_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 _EV = """
 ev AS (SELECT user_id AS id, ts, event_id,
               CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2

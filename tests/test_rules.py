@@ -330,7 +330,7 @@ def test_selection_distributed_prefix_path(spark):
                                 "Expected_Loss double, Expected_Profit double")
     lim = (100.0 * 0.1 * 12.5 * 150, 5.0 * 150, 100.0 * 150)  # room for exactly 150 loans
     a, _ = SEL.select(rep, lim)
-    b, _ = SEL.select(rep, lim, max_window_rows=0)
+    b, _ = SEL.select(rep.repartition(7), lim)
     sa = {r.id for r in a.filter("selected").collect()}
     sb = {r.id for r in b.filter("selected").collect()}
     assert len(sa) == 150 and sa == sb
@@ -342,17 +342,29 @@ def test_running_sums(spark):
     assert np.allclose(out["cum_v"].to_numpy(), np.cumsum((np.arange(1000) % 7).astype(float)))
 
 
-def test_exact_quantile_band_path(spark):
+def test_exact_quantile_by_narrowing(spark):
     from loanbook.functions.quantiles import exact_quantile
     rng = np.random.default_rng(3)
     vals = rng.normal(size=20000).round(4)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     for q in (0.5, 0.99, 0.013):
         want = df.agg(F.percentile("x", q)).first()[0]
-        assert exact_quantile(df, "x", q, max_band_rows=500) == want
         assert exact_quantile(df, "x", q) == want
 
 
+def test_exact_quantiles_with_ties_wide_ranges_and_nulls(spark):
+    from loanbook.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(4)
+    vals = np.where(rng.random(3000) < 0.6, 7.25, 10.0 ** rng.uniform(-12, 12, 3000) * rng.choice([-1, 1], 3000))
+    df = spark.createDataFrame([(float(v) if i % 11 else None, 1.5, None, float("nan") if i % 2 else 3.0) for i, v in enumerate(vals)],
+                               "a double, b double, c double, d double")
+    wanted = {f"{c}{q}": (F.col(c), q) for c in "abd" for q in (0.0, 0.1, 0.37, 0.5, 0.9, 1.0)}
+    got = exact_quantiles(df, {**wanted, "c": (F.col("c"), 0.5)})
+    clean = df.withColumn("d", F.when(~F.isnan("d"), F.col("d")))
+    want = clean.agg(*[F.percentile(k[0], q).alias(k) for k, (_, q) in wanted.items()]).first().asDict()
+    assert got == {**want, "c": None}
+
+
 # ------------------------------------------------------------ C1 / C12 / C13 fixtures
 def test_dedup_with_application_key(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 1.0), (3, "b", 2.0)], "application_id long, x string, y double")
