@@ -1,12 +1,14 @@
 """Approximate nearest neighbours: one HNSW graph per shard, results merged.
 
-Distinct vectors are dealt to shards by hash. Each shard builds a hierarchical
-navigable small-world graph and stores it as flat arrays: per level the sorted
-members, and a table of neighbour numbers with a fixed number of columns (-1
-where there are fewer). Every query searches every shard, in blocks of queries,
-and the best of all shards are kept. Equal vectors are one graph node that
-carries its smallest ids, so groups of copies neither crowd the graph nor hide
-its other nodes.
+Distinct vectors are dealt to shards by hash, as many shards as keep each
+within a fixed size. A task builds a shard's hierarchical navigable small-world
+graph as flat arrays (per level the sorted members, and a table of neighbour
+numbers with a fixed number of columns, -1 where there are fewer) and at once
+searches it for every query. The queries come as broadcast pieces of bounded
+size, one in memory at a time, so that no vector moves more than once. Of each
+task's finds only the best of a query are shuffled. Equal vectors are one graph
+node that carries its smallest ids, so groups of copies neither crowd the graph
+nor hide its other nodes.
 
 The graph is searched by cosine in single precision; scores that are returned
 are computed from the original vectors in double precision.
@@ -15,19 +17,23 @@ are computed from the original vectors in double precision.
 from __future__ import annotations
 
 import heapq
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanbook.llm.tables import kept, only, ship
+from loanbook.llm.tables import kept, map_arrow, only, ship
 
 #: neighbours of a node on the upper levels (twice as many on the lowest), and candidates while building and searching
 NEIGHBOURS, BUILD_BEAM, SEARCH_BEAM = 16, 64, 96
-#: queries that one search task holds at a time
-QUERY_BLOCK = 2048
+#: vectors and numbers that a shard holds at most, but for the spread of the hash
+SHARD_VECTORS, SHARD_NUMBERS = 20_000, 1 << 23
+#: numbers in the queries that a search task holds at a time
+QUERY_NUMBERS = 1 << 20
 
 
 class Graph:
@@ -149,35 +155,55 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             .where(F.exists(v, lambda x: x != 0.0)))
 
 
-def _build(key, group):
-    group = group.sort_by("node")
-    x = _unit(_matrix(group["v"]))
-    g = Graph(x, seed=int(key[0].as_py()))
-    blob = pickle.dumps((g.links, g.row, g.level, g.entry, g.height), protocol=5)
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()),
-                     "vectors": pa.array([group["v"].to_pylist()], pa.list_(pa.list_(pa.float64()))),
-                     "ids": pa.array([group["ids"].to_pylist()], pa.list_(pa.list_(pa.int64()))), "graph": pa.array([blob], pa.large_binary() if len(blob) > 1 << 30 else pa.binary())})
+def shard_count(vectors: DataFrame, least: int = 1) -> int:
+    """Shards that keep the distinct vectors of each within ``SHARD_VECTORS``
+    and ``SHARD_NUMBERS``."""
+    distinct = usable(vectors).select(F.xxhash64("v").alias("node"), F.size("v").alias("dim")).distinct()
+    n, numbers = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    return max(least, -(-n // SHARD_VECTORS), -(-numbers // SHARD_NUMBERS))
 
 
-def build_index(vectors: DataFrame, shards: int, copies: int) -> DataFrame:
-    """One row per shard and dimension: shard, dim, vectors, ids (the smallest
-    ``copies`` ids of each distinct vector) and the graph's flat arrays."""
-    ship(vectors.sparkSession)
+def shard_nodes(vectors: DataFrame, shards: int, copies: int) -> DataFrame:
+    """shard, dim, node, v, ids: the distinct vectors with their smallest ``copies`` ids."""
     rows = usable(vectors).withColumn("node", F.xxhash64("v")).distinct()
     first = Window.partitionBy("node", "v").orderBy("vec_id")
     few = rows.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= copies)
     nodes = few.groupBy("node", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    nodes = nodes.select(F.pmod("node", F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "node", "v", "ids")
-    return nodes.groupBy("shard", "dim").applyInArrow(
-        _build, "shard int, dim int, vectors array<array<double>>, ids array<array<bigint>>, graph binary")
+    return nodes.select(F.pmod("node", F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), "node", "v", "ids")
+
+
+def _packed(batches, numbers):
+    """Queries of one length as flat binary, in rows of bounded size."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for dim in table["dim"].unique().to_pylist():
+            own = table.filter(pc.equal(table["dim"], dim))
+            step = max(1, numbers // dim)
+            for a in range(0, own.num_rows, step):
+                part = own.slice(a, step)
+                yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([part["vec_id"].to_numpy().tobytes()], pa.binary()),
+                                       pa.array([_matrix(part["v"]).tobytes()], pa.binary())], names=["dim", "ids", "v"])
 
 
-def _load(row: dict) -> tuple[Graph, np.ndarray, list[list[int]]]:
-    g = Graph.__new__(Graph)
-    x = np.array(row["vectors"], np.float64)
-    g.links, g.row, g.level, g.entry, g.height = pickle.loads(row["graph"])
-    g.x, g.m = _unit(x), NEIGHBOURS
-    return g, x, row["ids"]
+def query_pieces(queries: DataFrame, numbers: int) -> list[Broadcast]:
+    """The distinct queries as broadcasts of about ``numbers`` numbers, each a
+    list of (dim, ids, vectors); the driver holds one piece and a partition."""
+    asked = usable(queries).distinct().withColumn("dim", F.size("v"))
+    sc, held, amount, out = queries.sparkSession.sparkContext, [], 0, []
+    for dim, ids, v in map_arrow(asked, _packed, "dim int, ids binary, v binary", numbers=numbers).toLocalIterator():
+        if held and amount + len(v) // 8 > numbers:
+            out.append(sc.broadcast(held))
+            held, amount = [], 0
+        held.append((dim, bytes(ids), bytes(v)))
+        amount += len(v) // 8
+    return out + [sc.broadcast(held)] if held else out
+
+
+def _opened(piece: Broadcast) -> list:
+    """A piece's value, which isn't held beyond its use."""
+    value = piece.value
+    piece.__dict__.pop("_value", None)  # value is read from the task's file again when next asked for
+    return value
 
 
 def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -186,25 +212,38 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip((x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum())), -1.0, 1.0)
 
 
-def _search(index: pa.Table, queries: pa.Table, k: int, beam: int) -> pa.Table:
+def _search(g: Graph, x: np.ndarray, ids: list[list[int]], names: list[int], q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
     out_q, out_v, out_s = [], [], []
-    if index.num_rows and queries.num_rows:
-        g, x, ids = _load(index.slice(0, 1).to_pylist()[0])
-        names, q = queries["vec_id"].to_pylist(), _matrix(queries["v"])
-        unit = _unit(q)
-        for n in range(len(names)):
-            near = [i for _, i in g.search(unit[n], max(beam, 2 * k))]
-            scores = _cosines(q[n], x[near])
-            best = sorted(((-s, v) for s, i in zip(scores.tolist(), near, strict=True) for v in ids[i] if v != names[n]))[:k]
-            out_q += [names[n]] * len(best)
-            out_v += [v for _, v in best]
-            out_s += [-s for s, _ in best]
-    return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
+    unit = _unit(q)
+    for n in range(len(names)):
+        near = [i for _, i in g.search(unit[n], max(beam, 2 * k))]
+        scores = _cosines(q[n], x[near])
+        best = sorted(((-s, v) for s, i in zip(scores.tolist(), near, strict=True) for v in ids[i] if v != names[n]))[:k]
+        out_q += [names[n]] * len(best)
+        out_v += [v for _, v in best]
+        out_s += [-s for s, _ in best]
+    return pa.record_batch([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())],
+                           names=["query_id", "vec_id", "score"])
+
+
+def _searcher(pieces: list[Broadcast], k: int, beam: int):
+    def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches).sort_by("node")
+        x, ids = _matrix(group["v"]), group["ids"].to_pylist()
+        del group
+        g = Graph(_unit(x), seed=int(key[0].as_py()))
+        for piece in pieces:
+            for dim, names, q in _opened(piece):
+                if dim == x.shape[1]:
+                    yield _search(g, x, ids, np.frombuffer(names, np.int64).tolist(), np.frombuffer(q).reshape(-1, dim), k, beam)
+
+    return search
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int = 12, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` nearest by cosine
     among all other ids, ties to the smaller id (all candidates, if fewer).
+    ``shards`` is the least number of shards.
 
     Vectors that are null, empty, zero, or hold null or non-finite components
     take no part, as candidates or queries; nor do null ids. Vectors are
@@ -212,19 +251,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shards: int = 12
     Empty tables give an empty result; further columns are ignored.
     """
     ship(vectors.sparkSession)
-    index = kept(build_index(vectors, shards, k + 1), "hnsw")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    # each query goes to each shard, in blocks; a shard with its block is one task's input
-    asked = usable(queries).distinct().withColumn("dim", F.size("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).select("*", every)
-    per_block = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(left, right):
-        return _search(left, right, k, beam)
-
-    found = (per_block.groupBy("shard", "block", "dim").cogroup(asked.groupBy("shard", "block", "dim"))
-             .applyInArrow(search, "query_id long, vec_id long, score double"))
+    nodes = shard_nodes(vectors, shard_count(vectors, shards), k + 1)
+    pieces = query_pieces(queries, QUERY_NUMBERS)
+    found = nodes.groupBy("shard", "dim").applyInArrow(_searcher(pieces, k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    best = kept(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "nearest")
+    for piece in pieces:
+        piece.destroy()
+    return best

@@ -279,6 +279,30 @@ def test_op9(spark):
     assert ann.nearest(d.limit(0), d).count() == 0 and ann.nearest(d.limit(1), d.limit(3)).count() >= 1
 
 
+def test_op9_shards_stay_within_a_fixed_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 8))
+    rows = [(k, [float(v) for v in x[k]]) for k in range(900)] + [(900 + k, [float(v) for v in x[k, :4]]) for k in range(60)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "SHARD_VECTORS", 40)
+    monkeypatch.setattr(ann, "QUERY_NUMBERS", 100)  # several pieces of queries
+    assert ann.shard_count(d, 3) == 24 and ann.shard_count(d, 30) == 30 and ann.shard_count(d.limit(0)) == 1
+    sizes = [r["count"] for r in ann.shard_nodes(d, 24, 6).groupBy("shard").count().collect()]
+    assert sum(sizes) == 960 and max(sizes) <= 80
+    out = ann.nearest(d, d.where("vec_id % 20 = 0"), k=5, shards=3).toPandas()
+    assert out.query_id.nunique() == 48
+    for n, u in ((900, x), (60, x[:60, :4])):
+        u = u / np.linalg.norm(u, axis=1, keepdims=True)
+        low = 0 if n == 900 else 900
+        for q, g in out[out.query_id.between(low, low + n - 1)].groupby("query_id"):
+            s = u @ u[q - low]
+            s[q - low] = -2
+            assert g.sort_values("rank").vec_id.tolist() == (low + np.argsort(-s)[:5]).tolist()
+    monkeypatch.setattr(ann, "SHARD_VECTORS", 20_000)
+    monkeypatch.setattr(ann, "SHARD_NUMBERS", 744)
+    assert ann.shard_count(d) == 10
+
+
 def test_op10(spark, docs, rows, empty):
     rng = np.random.default_rng(8)
     some = [(k, _text(rng, int(n)), "en", ["s1", "s2", "s3", None][k % 4 if k % 5 else 0], 1, None)
