@@ -411,3 +411,15 @@ def test_line_sets_hold_the_shingles_of_each_line():
         assert (np.diff(sets[i].astype(object)) > 0).all()
         for k, o in enumerate(grams):
             assert len(np.intersect1d(sets[i], sets[k])) == len(g & o)
+
+
+def test_line_bands_miss_hardly_any_pair_at_the_threshold():
+    assert (1 - 0.8 ** line_dedup.ROWS) ** line_dedup.BANDS <= 5e-5
+    rng = np.random.default_rng(9)
+    own, tail, pairs = 90, 10, 20_000  # 80 of 100 shingles are shared
+    letters = np.array([chr(c) for c in range(0x4E00, 0x4E00 + 4000)])
+    body = rng.integers(0, 4000, (pairs, own + line_dedup.SHINGLE - 1))
+    other = body.copy()
+    other[:, -tail:] = rng.integers(0, 4000, (pairs, tail))
+    a, b = (line_dedup._signatures(["".join(r) for r in letters[x]]) for x in (body, other))
+    assert ((a == b).any(axis=1)).sum() >= pairs - 8
