@@ -1,15 +1,18 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact check.
 
 Lines are the runs between line feeds that aren't blank. Every distinct line
-gets 42 MinHash values of its 8-character shingles, in 14 bands of 3: at a
+gets 125 MinHash values of its 5-character shingles, in 25 bands of 5: at a
 Jaccard similarity of 0.8 a pair shares a band with probability 0.99995, while
-unrelated lines hardly ever do. Lines that share a band are compared exactly
+unrelated lines hardly ever do. One changed character costs up to 5 shingles of
+each line, so lines from 49 characters on are still similar then. Lines that share a band are compared exactly
 (``linking``), links are united, and of each component only the first line
 (smallest document id, then place) stays.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +22,8 @@ from loanbook.llm.arrowtext import _odd_constants, mix64, row_chunks, spans, spa
 from loanbook.llm.linking import checked, shared_entries, united
 from loanbook.llm.tables import kept, map_arrow, only, ship
 
-SHINGLE = 8
-BANDS, ROWS = 14, 3
+SHINGLE = 5
+BANDS, ROWS = 25, 5
 #: shingles hashed at a time
 CACHED = 1 << 15
 #: groups of at most so many members are compared pair by pair, many groups at
@@ -30,8 +33,7 @@ PERCENT = 80
 _BREAK = separator_table([(0x0A, 0x0A)])
 _MULTIPLY = (_odd_constants(101, BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _ADD = (_odd_constants(202, BANDS * ROWS) >> np.uint64(32)).astype(np.uint32)
-_CHARS = _odd_constants(303, SHINGLE)
-_POWERS = {1: _CHARS[:1], 2: _CHARS[:1] ** 2, 4: _CHARS[:1] ** 4}
+_CHARS = _odd_constants(303, 8)
 
 
 def _lines(data: np.ndarray, off: np.ndarray):
@@ -45,19 +47,19 @@ def _lines(data: np.ndarray, off: np.ndarray):
     return starts, ends, doc, feeds[starts] - feeds[off[doc]]
 
 
-def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def char_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the character shingles of all lines in order, first of each
     line). A line shorter than a shingle is one shingle; no line is empty."""
     points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(size) - size
-    g = points
-    for width in (1, 2, 4):  # polynomial hashes of 2, 4 and 8 characters
-        g = g[:-width] * _POWERS[width] + g[width:] if len(g) > width else g[:0]
-    many = np.maximum(size - SHINGLE + 1, 1)
+    g = points[:max(0, len(points) - width + 1)]
+    for k in range(1, width):  # polynomial hashes of 2, 3, ... characters
+        g = g * _CHARS[0] + points[k:k + len(g)]
+    many = np.maximum(size - width + 1, 1)
     first = np.cumsum(many) - many
     at = np.arange(int(many.sum())) + np.repeat(begin - first, many)
-    short = np.flatnonzero(size < SHINGLE)
+    short = np.flatnonzero(size < width)
     at[first[short]] = 0  # filled below
     h = g[at] if len(g) else np.zeros(len(at), np.uint64)
     for k in short.tolist():
@@ -66,9 +68,9 @@ def char_shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h), first
 
 
-def line_sets(lines: list[str]) -> list[np.ndarray]:
+def line_sets(lines: list[str], width: int = 8) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each line."""
-    h, first = char_shingles(lines)
+    h, first = char_shingles(lines, width)
     row = np.repeat(np.arange(len(lines)), np.diff(np.append(first, len(h))))
     order = np.argsort(h)
     order = order[np.argsort(row[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]  # by line, then hash
@@ -84,7 +86,7 @@ def _signatures(lines: list[str]) -> np.ndarray:
     a = 0
     while a < len(lines):  # a few lines at a time stay in the processor's cache
         b = max(a + 1, int(np.searchsorted(border, border[a] + CACHED, "right")) - 1)
-        h, at = char_shingles(lines[a:b])
+        h, at = char_shingles(lines[a:b], SHINGLE)
         own = (h >> np.uint64(32)).astype(np.uint32)
         v = np.empty_like(own)
         for k in range(BANDS * ROWS):
@@ -242,7 +244,7 @@ def line_components(rows: DataFrame) -> DataFrame:
                  .join(needed, "node", "left_semi"), "texts")
 
     def verify(groups: DataFrame) -> DataFrame:
-        return checked(groups, texts, line_sets, PERCENT, links_of_groups)
+        return checked(groups, texts, functools.partial(line_sets, width=SHINGLE), PERCENT, links_of_groups)
 
     roots = united(entries, verify)
     where = F.struct("doc_id", "doc_key", "line")

@@ -423,3 +423,13 @@ def test_line_bands_miss_hardly_any_pair_at_the_threshold():
     other[:, -tail:] = rng.integers(0, 4000, (pairs, tail))
     a, b = (line_dedup._signatures(["".join(r) for r in letters[x]]) for x in (body, other))
     assert ((a == b).any(axis=1)).sum() >= pairs - 8
+
+
+def test_op6_drops_lines_with_one_changed_character(spark):
+    rng = np.random.default_rng(10)
+    lines = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n - 2)) for n in range(49, 81)]
+    lines = [f"A{x}Z" for x in lines]
+    changed = [x[:len(x) // 2] + "9" + x[len(x) // 2 + 1:] for x in lines]
+    d = spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1, None), (2, "\n".join([*changed, "own line"]), "en", "a", 1, None)], DOCS)
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
+    assert out[1].text.split("\n") == lines and out[2].text == "own line" and out[2]["__dropped"] == len(lines)
