@@ -61,38 +61,22 @@ def fit_onehot(train: DataFrame, cols: list[str]) -> DataFrame:
     return out
 
 
-MAX_LEVELS = 10_000
-
-
-def fitted_levels(levels: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """The fitted non-baseline levels per feature (model parameters; the
-    count is checked before they are read)."""
-    n = levels.count()
-    if n > MAX_LEVELS:
-        raise ValueError(f"{n} one-hot levels: use an indexed vector encoding instead")
-    out = {c: [] for c in cols}
-    for r in levels.orderBy("feature", "category").collect():  # <= MAX_LEVELS rows
-        out[r.feature].append(r.category)
-    return out
-
-
 def apply_onehot_long(df: DataFrame, levels: DataFrame, cols: list[str], key: str = "id") -> DataFrame:
     """M2 transform in long form: (key, feature, category, indicator) for every
-    fitted non-baseline level; levels missing from a row are 0. Each row is
-    expanded over its feature's fitted levels with ``explode`` (no join)."""
-    lv = fitted_levels(levels, cols)
-    parts = []
+    fitted non-baseline level; levels missing from a row are 0. Rows are dealt
+    to parts and each part joins its own copy of the levels, so their number
+    has no limit and none of them passes through the driver."""
+    spark = df.sparkSession
+    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = levels.select(F.col("feature").alias("__f"), "category", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("__d"))
+    out = None
     for c in cols:
-        if not lv[c]:
-            continue
-        cats = F.array(*[F.lit(v) for v in lv[c]])
-        x = df.select(key, F.col(c).cast("string").alias("__v"), F.explode(cats).alias("category"))
-        parts.append(x.select(key, F.lit(c).alias("feature"), "category",
-                              F.coalesce((F.col("__v") == F.col("category")).cast("int"), F.lit(0))
-                              .alias("indicator")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        x = df.select(key, F.lit(c).alias("feature"), F.col(c).cast("string").alias("__v"),
+                      F.pmod(F.xxhash64(key), F.lit(deals)).cast("int").alias("__k"))
+        lv = every.filter(F.col("__f") == c)
+        y = x.join(lv, x["__k"] == lv["__d"]).select(
+            key, "feature", "category", F.coalesce((F.col("__v") == F.col("category")).cast("int"), F.lit(0)).alias("indicator"))
+        out = y if out is None else out.unionByName(y)
     return out
 
 

@@ -412,3 +412,13 @@ def test_c18_action_report_follows_the_ingest_order(spark):
     late = monitoring.action_report(d, ingest="seq").first()
     early = monitoring.action_report(d.withColumn("seq", -F.col("seq")), ingest="seq").first()
     assert late["status_tag"] != early["status_tag"]
+
+
+def test_onehot_has_no_limit_on_levels(spark):
+    from loanbook.operators import encoding
+    train = spark.range(10_050).selectExpr("cast(id as string) AS c")
+    levels = encoding.fit_onehot(train, ["c"])
+    rows = spark.createDataFrame([(1, "7"), (2, None), (3, "no level"), (4, "0")], "id long, c string")
+    out = encoding.apply_onehot_long(rows, levels, ["c"])
+    got = {r.id: (r.n, r.s) for r in out.groupBy("id").agg(F.count("category").alias("n"), F.sum("indicator").alias("s")).collect()}
+    assert got == {1: (10_049, 1), 2: (10_049, 0), 3: (10_049, 0), 4: (10_049, 0)}
