@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import (ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, token_counts, token_output,
-                          toxicity)
+from loanbook.llm import (ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, phrases, token_counts,
+                          token_output, toxicity)
 from loanbook.llm.encoding import vocabulary_path
 from loanbook.llm.tables import scratch_path, table
 
@@ -85,3 +85,40 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrases"] = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f AS (
+    SELECT lang, list_slice(w, i, i + k - 1) AS g, count(*) AS f
+    FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT unnest(range(1, 6)) AS k)
+    WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE f >= 100 AND len(g) > 1),
+held AS (
+    SELECT DISTINCT s.lang, s.g
+    FROM (SELECT lang, f, list_slice(g, i, i + k - 1) AS g
+          FROM (SELECT *, unnest(range(1, len(g))) AS i FROM c), (SELECT unnest(range(2, 5)) AS k)
+          WHERE i + k - 1 <= len(g) AND k < len(g)) s
+    JOIN c ON c.lang = s.lang AND c.g = s.g AND 100 * s.f >= 100 * c.f),
+cuts AS (SELECT *, unnest(range(1, len(g))) AS k FROM c ANTI JOIN held USING (lang, g)),
+scored AS (
+    SELECT cuts.lang, cuts.g, k, cuts.f AS a, x.f AS l, y.f AS r, n.n,
+           ((1000::HUGEINT * cuts.f * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = list_slice(cuts.g, 1, k)
+    JOIN f y ON y.lang = cuts.lang AND y.g = list_slice(cuts.g, k + 1, len(cuts.g)) JOIN n ON n.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1)
+SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score
+FROM (SELECT *, array_to_string(g, ' ') AS phrase,
+             row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
+WHERE rank <= 2000
+"""
