@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import (ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, phrases, token_counts,
-                          token_output, toxicity)
+from loanbook.llm import (ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, phrases, ranking,
+                          token_counts, token_output, toxicity)
 from loanbook.llm.encoding import vocabulary_path
 from loanbook.llm.tables import scratch_path, table
 
@@ -122,3 +122,26 @@ FROM (SELECT *, array_to_string(g, ' ') AS phrase,
              row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best)
 WHERE rank <= 2000
 """
+
+
+@query
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_ranking"] = """
+WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+len AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+tot AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, tot GROUP BY term, nn),
+s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), tot GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
