@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanbook.llm import (ann, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, phrases, ranking,
-                          token_counts, token_output, toxicity)
+from loanbook.llm import (ann, chat, exact_dedup, license_scan, line_dedup, mixing, ngram_join, packing, phrases,
+                          ranking, token_counts, token_output, toxicity)
 from loanbook.llm.encoding import vocabulary_path
-from loanbook.llm.tables import scratch_path, table
+from loanbook.llm.tables import kept, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -145,3 +145,29 @@ SELECT item_id, rank::INT AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 WHERE rank <= 10
 """
+
+
+@query
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql("""SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+                           FROM VALUES (0L, 'user'), (1L, 'assistant') AS t (turn, role)""")
+    return chat.digests(kept(chat.render(chat.fold(chat.replay(rows.union(control)))), "chat"))
+
+
+#: the length of a turn in the template: its text with a backslash more for every control string, and the marks around it
+ORACLE["op13_chat"] = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|/?ROLE\])')) AS body,
+           CASE role WHEN 'user' THEN 22 WHEN 'assistant' THEN 7
+                ELSE 20 + length(role) + len(regexp_extract_all(role, '[<\[]\\*(/?s>|/?INST\]|/?ROLE\])')) END AS marks
+    FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(body + marks)::BIGINT AS formatted_chars
+FROM m GROUP BY conv_id
+"""
