@@ -7,10 +7,11 @@ all windows is the count of every phrase of k words, so phrases of two, three
 and more words are never exploded on their own.
 
 Windows end early where that can't change a result: a phrase that occurs
-``least`` times holds only words and word pairs that occur so often. Two
-passes before find these (words, then pairs of such words) and send them to
-the tasks as bit sets of a bounded size. A bit set may let a rare pair pass,
-never stop a frequent one; so it only makes windows longer than they need be.
+``least`` times holds only words, pairs and triples that occur so often. Passes
+before find these and send them to the tasks as bit sets of a bounded size.
+Pairs and triples are counted there by a part of their hash, and a bit set may
+let a rare one pass; neither ever stops a frequent one. So they only make
+windows longer than they need be, and every count comes from the rollup.
 
 Words are told apart by 64-bit hashes once the frequent ones are known; those
 are counted by their text.
@@ -34,6 +35,10 @@ _BREAKS = _ENDS | separator_table([(0x20, 0x20), (0x09, 0x09)])
 _MULTIPLY = _odd_constants(909, ORDER + 2)
 #: bits for each member of a filter, and the most bits of one (16 MB)
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: windows are trimmed at rare grams of up to so many words
+TRIMMED = 3
+#: grams counted at a time in a task, and about the bytes of text for a bucket of grams
+COUNTED, BUCKET_BYTES = 1 << 22, 1 << 23
 
 
 def _words(batches):
@@ -69,91 +74,159 @@ def _combined(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _counted(language: np.ndarray, names: list[str], columns: list[np.ndarray], labels: list[str]) -> pa.RecordBatch:
-    """Distinct rows of a chunk with their number."""
-    _, first, n = np.unique(_combined([language.astype(np.uint64) + np.uint64(1), *columns]), return_index=True, return_counts=True)
-    langs = pa.DictionaryArray.from_arrays(pa.array(language[first], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-    return pa.record_batch([langs, *[pa.array(c[first].view(np.int64)) for c in columns], pa.array(n, pa.int64())],
-                           names=["lang", *labels, "c"])
-
-
 def _word_counts(batches):
     for language, names, h, _, chunk, starts, ends in _words(batches):
         _, first, n = np.unique(_combined([language.astype(np.uint64) + np.uint64(1), h]), return_index=True, return_counts=True)
         text = [chunk[starts[k]:ends[k]].tobytes() for k in first.tolist()]
-        langs = pa.DictionaryArray.from_arrays(pa.array(language[first], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-        yield pa.record_batch([langs, pa.array(text, pa.binary()).cast(pa.string()), pa.array(h[first].view(np.int64)), pa.array(n, pa.int64())],
-                              names=["lang", "word", "h", "c"])
+        yield pa.record_batch([_named(language[first], names), pa.array(text, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
+                              names=["lang", "word", "c"])
+
+
+def _named(language: np.ndarray, names: list[str]) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(language, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+
+
+def _hashed(batches):
+    """Hash and filter key of words (lang, word)."""
+    for batch in batches:
+        names, number = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+        raw = [x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+        if not raw:
+            continue
+        border = np.cumsum([0, *[len(r) for r in raw]])
+        h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), border[:-1], border[1:])
+        h[h == 0] = 1
+        key = _combined([_language_keys(names.tolist())[number], h])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(h.view(np.int64)), pa.array(key.view(np.int64))],
+                              names=["lang", "word", "h", "key"])
 
 
 def _passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bits) - 1)
+    at = mix64(keys) & np.uint64(8 * len(bits) - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _pair_counts(batches, words):
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[:max(0, len(x) - k)] = x[k:]
+    return out
+
+
+def _gram_keys(lang_key: np.ndarray, h: np.ndarray, at: np.ndarray, size: int, shift: int) -> np.ndarray:
+    """The leading 64 - ``shift`` bits of the hashes of the grams at ``at``."""
+    return _combined([lang_key[at], *[h[at + k] for k in range(size)]]) >> np.uint64(shift)
+
+
+def _often(lang_key: np.ndarray, h: np.ndarray, joined: np.ndarray, filters) -> list[np.ndarray]:
+    """For 1, 2, ... words: whether the gram that begins at each word may be frequent."""
+    out = [_passes(filters[0][0].value, _combined([lang_key, h]))]
+    for size, (bits, shift) in enumerate(filters[1:], 2):
+        ok = out[-1] & _ahead(out[-1], 1) & joined
+        at = np.flatnonzero(ok)
+        ok[at] = _passes(bits.value, _gram_keys(lang_key, h, at, size, shift))
+        out.append(ok)
+    return out
+
+
+def _gram_counts(batches, filters, shift):
+    """Counts of the grams of one word more than the filters know, by the
+    leading bits of their hash: per bucket the sorted low 32 bits, and the counts."""
+    size, held, amount = len(filters) + 1, [], 0
+
+    def out():
+        keys, n = np.unique(np.concatenate(held), return_counts=True)
+        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        head = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        low, n = keys.astype("<u4"), np.minimum(n, 0xFFFFFFFF).astype("<u4")
+        cuts = list(zip(head, np.append(head[1:], len(keys)), strict=True))
+        return pa.record_batch([pa.array(bucket[head]), pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()),
+                                pa.array([n[a:b].astype("u1").tobytes() if n[a:b].max() < 256 else n[a:b].tobytes() for a, b in cuts], pa.binary())],
+                               names=["bucket", "keys", "counts"])
+
     for language, names, h, joined, *_ in _words(batches):
-        often = _passes(words.value, _combined([_language_keys(names)[language], h]))
-        at = np.flatnonzero(joined[:-1] & often[:-1] & often[1:])
-        if len(at):
-            yield _counted(language[at], names, [h[at], h[at + 1]], ["w1", "w2"])
+        lang_key = _language_keys(names)[language]
+        ok = _often(lang_key, h, joined, filters)[-1]
+        at = np.flatnonzero(ok & _ahead(ok, 1) & joined)
+        held.append(_gram_keys(lang_key, h, at, size, shift))
+        amount += len(at)
+        if amount >= COUNTED:
+            yield out()
+            held, amount = [], 0
+    if amount:
+        yield out()
+
+
+def _frequent(batches, least):
+    """Keys of the buckets, which stand together, with their number at least ``least``."""
+    bucket, held = None, []
+
+    def out():
+        keys, back = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([c for _, c in held]))
+        keys = keys[n >= least].astype(np.int64) + (bucket << 32)
+        return pa.record_batch([pa.array(keys)], names=["key"])
+
+    for batch in batches:
+        for b, k, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if b != bucket and held:
+                yield out()
+                held = []
+            keys, bucket = np.frombuffer(k, "<u4"), b
+            held.append((keys, np.frombuffer(c, "u1" if len(c) == len(keys) else "<u4")))
+    if held:
+        yield out()
 
 
-def _window_counts(batches, words, pairs):
+def _window_counts(batches, filters):
     labels = [f"w{k + 1}" for k in range(ORDER)]
     for language, names, h, joined, *_ in _words(batches):
-        lang_key = _language_keys(names)[language]
-        w = np.where(_passes(words.value, _combined([lang_key, h])), h, np.uint64(0))
-        lead = np.append(w[1:], np.uint64(0))
-        goes_on = joined & (w != 0) & (lead != 0)
-        at = np.flatnonzero(goes_on)
-        goes_on[at] = _passes(pairs.value, _combined([lang_key[at], w[at], lead[at]]))
-        columns, open_ = [w], goes_on
-        for k in range(1, ORDER):
-            column = np.zeros_like(w)
-            column[:len(w) - k] = w[k:]
-            columns.append(np.where(open_, column, np.uint64(0)))
-            ahead = np.zeros_like(open_)
-            ahead[:len(w) - k] = goes_on[k:]
-            open_ = open_ & ahead
-        yield _counted(language, names, columns, labels)
-
-
-def _marks(batches, columns, bits):
-    """Filter positions of rows (lang, hashes ...)."""
+        often = _often(_language_keys(names)[language], h, joined, filters)
+        open_, columns = often[0], []
+        for k in range(ORDER):  # the lead by k words, where all grams on the way may be frequent
+            if k:
+                known = min(k + 1, len(often))
+                open_ = open_ & _ahead(often[known - 1], k + 1 - known)
+            columns.append(np.where(open_, _ahead(h, k), np.uint64(0)))
+        _, first, n = np.unique(_combined([language.astype(np.uint64) + np.uint64(1), *columns]), return_index=True, return_counts=True)
+        yield pa.record_batch([_named(language[first], names), *[pa.array(c[first].view(np.int64)) for c in columns], pa.array(n, pa.int64())],
+                              names=["lang", *labels, "c"])
+
+
+def _marks(batches, bits):
     for batch in batches:
-        names, number = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-        if not len(number):
-            continue
-        key = _combined([_language_keys(names.tolist())[number], *[batch.column(1 + k).to_numpy().view(np.uint64) for k in range(columns)]])
-        yield pa.record_batch([pa.array((key & np.uint64(bits - 1)).view(np.int64))], names=["at"])
+        at = mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)
+        yield pa.record_batch([pa.array(at.view(np.int64))], names=["at"])
 
 
-def _filter(rows: DataFrame, columns: list[str]):
-    """Broadcast bit set of the rows: at most ``MOST_BITS`` bits, whatever their number."""
+def _filter(keys: DataFrame):
+    """Broadcast bit set of the keys: at most ``MOST_BITS`` bits, whatever their number."""
     bits = 1 << 10
-    while bits < min(MOST_BITS, BITS_EACH * rows.count()):
+    while bits < min(MOST_BITS, BITS_EACH * keys.count()):
         bits *= 2
-    at = map_arrow(rows.select("lang", *columns), _marks, "at long", columns=len(columns), bits=bits)
+    at = map_arrow(keys.select("key"), _marks, "at long", bits=bits)
     words = (at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("v"))
              .toArrow())  # at most MOST_BITS / 64 numbers
     out = np.zeros(bits // 64, np.int64)
     out[words["i"].to_numpy()] = words["v"].to_numpy()
-    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases (lang, gram: hashes of 1 to 5 words, f), totals (lang, n),
     words (lang, h, word)) of all phrases that occur ``least`` times."""
     rows = only(docs, "lang", "text")
-    counted = map_arrow(rows, _word_counts, "lang string, word string, h long, c long")
-    words = kept(counted.groupBy("lang", "word").agg(F.max("h").alias("h"), F.sum("c").alias("c")).where(F.col("c") >= least), "words")
-    often = _filter(words, ["h"])
-    pairs = map_arrow(rows, _pair_counts, "lang string, w1 long, w2 long, c long", words=often)
-    pairs = kept(pairs.groupBy("lang", "w1", "w2").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "pairs")
+    counted = map_arrow(rows, _word_counts, "lang string, word string, c long")
+    words = counted.groupBy("lang", "word").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("lang", "word")
+    words = kept(map_arrow(words, _hashed, "lang string, word string, h long, key long"), "words")
+    # as many buckets as keep each small: the tasks' share of keys stays the same at every size
+    spread = max(4, ((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES).bit_length())
+    filters = [(_filter(words), 0)]
+    for _ in range(TRIMMED - 1):
+        grams = map_arrow(rows, _gram_counts, "bucket long, keys binary, counts binary", filters=filters, shift=32 - spread)
+        grams = grams.repartition("bucket").sortWithinPartitions("bucket")
+        filters = [*filters, (_filter(kept(map_arrow(grams, _frequent, "key long", least=least), "grams")), 32 - spread)]
     columns = [f"w{k + 1}" for k in range(ORDER)]
-    windows = map_arrow(rows, _window_counts, "lang string, " + ", ".join(f"{c} long" for c in columns) + ", c long",
-                        words=often, pairs=_filter(pairs, ["w1", "w2"]))
+    windows = map_arrow(rows, _window_counts, "lang string, " + ", ".join(f"{c} long" for c in columns) + ", c long", filters=filters)
     # one row per longest window, then per prefix; the level is its number of words
     rolled = (windows.rollup("lang", *columns).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
               .withColumn("k", F.lit(ORDER) - F.bit_count("g").cast("int")).where((F.col("k") == 0) & F.col("lang").isNotNull()
