@@ -39,38 +39,46 @@ def _finite(c: Column) -> Column:
     return F.when(v.isNotNull() & ~F.isnan(v), F.greatest(F.least(v, top), -top))
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> dict[str, float | None]:
-    """The quantile of every ``name: (column expression, q)``; None without values."""
+def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], between: bool = True) -> dict[str, float | None]:
+    """The quantile of every ``name: (column expression, q)``; None without
+    values. ``between=False`` gives the value of rank floor(q (n - 1)) itself,
+    with no interpolation; q may be a Fraction. Equal columns share a pass."""
     names = list(wanted)
     if not names:
         return {}
-    d = df.select(*[_finite(wanted[k][0]).alias(f"v{i}") for i, k in enumerate(names)])
-    r = d.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(names))
+    texts = [str(wanted[k][0]) for k in names]
+    column = [texts.index(x) for x in texts]  # names on one column: the first of them stands for it
+    d = df.select(*[_finite(wanted[names[i]][0]).alias(f"v{i}") for i in sorted(set(column))])
+    r = d.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in sorted(set(column))
                 for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     found: dict[tuple[int, int], float] = {}
     open_: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank): range, values below it
     spots = {}
-    for i, k in enumerate(names):
+    for k, i in zip(names, column, strict=True):
         if r[f"n{i}"]:
             pos = wanted[k][1] * (r[f"n{i}"] - 1)
-            spots[i] = (pos, math.floor(pos), math.ceil(pos))
-            for rank in spots[i][1:]:
+            spots[k] = (i, pos, math.floor(pos), math.ceil(pos) if between else math.floor(pos))
+            for rank in spots[k][2:]:
                 open_[i, rank] = (r[f"lo{i}"], r[f"hi{i}"], 0)
     while True:
         found.update({key: lo for key, (lo, hi, _) in open_.items() if lo == hi})
         open_ = {key: x for key, x in open_.items() if x[0] != x[1]}
         if not open_:
             break
-        keys, ranges = list(open_), {}
-        for i, rank in keys:  # neighbouring ranks mostly share a range
-            lo, hi, _ = open_[i, rank]
-            ranges.setdefault((i, lo, hi), len(ranges))
+        keys = list(open_)
+        ranges = {r: t for t, r in enumerate(sorted({(i, lo, hi) for (i, _), (lo, hi, _) in open_.items()}))}
         cells = []
-        for (i, lo, hi), t in ranges.items():
+        for i in sorted({i for i, _, _ in ranges}):  # one row a column, whatever its number of ranges: they don't overlap
+            own = [(lo, hi, t) for (k, lo, hi), t in ranges.items() if k == i]
             v = F.col(f"v{i}")
-            share = (v / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
-            cell = F.least((share * CELLS).cast("int"), F.lit(CELLS - 1))
-            cells.append(F.when(v.between(lo, hi), F.struct(F.lit(t).alias("t"), cell.alias("c"), v.alias("v"))))
+            at = F.size(F.filter(F.array(*[F.lit(x[0]) for x in own]), lambda lo: lo <= v))
+
+            def of(values):
+                return F.try_element_at(F.array(*[F.lit(x) for x in values]), at)
+
+            lo, hi = of([x[0] for x in own]), of([x[1] for x in own])
+            cell = F.least(((v / 2 - lo / 2) / of([x[1] / 2 - x[0] / 2 for x in own]) * CELLS).cast("int"), F.lit(CELLS - 1))
+            cells.append(F.when((at > 0) & (v <= hi), F.struct((at + (own[0][2] - 1)).alias("t"), cell.alias("c"), v.alias("v"))))
         rows = d.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.*")
         table: dict[int, list] = {}
         for x in rows.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
@@ -83,9 +91,9 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> d
                     break
                 below += x.n
     out: dict[str, float | None] = dict.fromkeys(names)
-    for i, (pos, lo_r, hi_r) in spots.items():
+    for k, (i, pos, lo_r, hi_r) in spots.items():
         lower, upper = found[i, lo_r], found[i, hi_r]
-        out[names[i]] = lower if lo_r == hi_r else (hi_r - pos) * lower + (pos - lo_r) * upper
+        out[k] = lower if lo_r == hi_r else (hi_r - pos) * lower + (pos - lo_r) * upper
     return out
 
 

@@ -84,13 +84,6 @@ def m4_woe(spark, d):
     return out.select("id", *[round_half_even(f"{f}_woe", 10).alias(f"{f}_woe") for f in WOE_FEATURES])
 
 
-@register("m3_fit_bins")
-def m3_fit_bins(spark, d):
-    """M3 fitted: quantile pre-bins merged to a monotone event rate (rows only)."""
-    model = BN.fit(_train(spark, d), "label", WOE_FEATURES)
-    return model.table(spark)
-
-
 # ------------------------------------------------------------ A9 metrics
 _A9_CTES = (f"sc AS (SELECT {LABEL_CASE} AS y, {SCORE_SQL} AS s FROM loanbook WHERE {FINISHED_IN}),\n"
             "g AS (SELECT s, sum(y) AS tp, count(*) AS n FROM sc GROUP BY s),\n"
