@@ -228,6 +228,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
     columns = [f"w{k + 1}" for k in range(ORDER)]
     windows = map_arrow(rows, _window_counts, "lang string, " + ", ".join(f"{c} long" for c in columns) + ", c long", filters=filters)
     # one row per longest window, then per prefix; the level is its number of words
+    windows = windows.groupBy("lang", *columns).agg(F.sum("c").alias("c"))
     rolled = (windows.rollup("lang", *columns).agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
               .withColumn("k", F.lit(ORDER) - F.bit_count("g").cast("int")).where((F.col("k") == 0) & F.col("lang").isNotNull()
                                                                                  | (F.col("k") > 0) & (F.col("f") >= least)))
