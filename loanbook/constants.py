@@ -169,3 +169,51 @@ LGD_PREDICT_STATUS_COLUMNS = ["id", "loan_status", "purpose", "addr_state",
 LGD_PREDICT_COLUMNS = ["id", "purpose", "addr_state", "disbursement_method", "term", "int_rate"]
 FEATURE_DROP_COLUMNS = ["loan_amnt", "earliest_cr_line", "avg_cur_bal", "inq_last_6mths",
                         "num_tl_op_past_12m", "mo_sin_old_rev_tl_op", "term"]
+
+# --- fixed values: declared types of the accepted-loan file, in file order -----
+ACCEPTED_TYPES = {
+    "id": "string", "member_id": "string", "loan_amnt": "double", "funded_amnt": "double",
+    "funded_amnt_inv": "double", "term": "string", "int_rate": "double", "installment": "double", "grade": "string",
+    "sub_grade": "string", "emp_title": "string", "emp_length": "string", "home_ownership": "string",
+    "annual_inc": "double", "verification_status": "string", "issue_d": "string", "loan_status": "string",
+    "pymnt_plan": "string", "url": "string", "desc": "string", "purpose": "string", "title": "string",
+    "zip_code": "string", "addr_state": "string", "dti": "double", "delinq_2yrs": "double",
+    "earliest_cr_line": "string", "fico_range_low": "double", "fico_range_high": "double", "inq_last_6mths": "double",
+    "mths_since_last_delinq": "double", "mths_since_last_record": "double", "open_acc": "double", "pub_rec": "double",
+    "revol_bal": "double", "revol_util": "double", "total_acc": "double", "initial_list_status": "string",
+    "out_prncp": "double", "out_prncp_inv": "double", "total_pymnt": "double", "total_pymnt_inv": "double",
+    "total_rec_prncp": "double", "total_rec_int": "double", "total_rec_late_fee": "double", "recoveries": "double",
+    "collection_recovery_fee": "double", "last_pymnt_d": "string", "last_pymnt_amnt": "double",
+    "next_pymnt_d": "string", "last_credit_pull_d": "string", "last_fico_range_high": "double",
+    "last_fico_range_low": "double", "collections_12_mths_ex_med": "double", "mths_since_last_major_derog": "double",
+    "policy_code": "double", "application_type": "string", "annual_inc_joint": "double", "dti_joint": "double",
+    "verification_status_joint": "string", "acc_now_delinq": "double", "tot_coll_amt": "double",
+    "tot_cur_bal": "double", "open_acc_6m": "double", "open_act_il": "double", "open_il_12m": "double",
+    "open_il_24m": "double", "mths_since_rcnt_il": "double", "total_bal_il": "double", "il_util": "double",
+    "open_rv_12m": "double", "open_rv_24m": "double", "max_bal_bc": "double", "all_util": "double",
+    "total_rev_hi_lim": "double", "inq_fi": "double", "total_cu_tl": "double", "inq_last_12m": "double",
+    "acc_open_past_24mths": "double", "avg_cur_bal": "double", "bc_open_to_buy": "double", "bc_util": "double",
+    "chargeoff_within_12_mths": "double", "delinq_amnt": "double", "mo_sin_old_il_acct": "double",
+    "mo_sin_old_rev_tl_op": "double", "mo_sin_rcnt_rev_tl_op": "double", "mo_sin_rcnt_tl": "double",
+    "mort_acc": "double", "mths_since_recent_bc": "double", "mths_since_recent_bc_dlq": "double",
+    "mths_since_recent_inq": "double", "mths_since_recent_revol_delinq": "double", "num_accts_ever_120_pd": "double",
+    "num_actv_bc_tl": "double", "num_actv_rev_tl": "double", "num_bc_sats": "double", "num_bc_tl": "double",
+    "num_il_tl": "double", "num_op_rev_tl": "double", "num_rev_accts": "double", "num_rev_tl_bal_gt_0": "double",
+    "num_sats": "double", "num_tl_120dpd_2m": "double", "num_tl_30dpd": "double", "num_tl_90g_dpd_24m": "double",
+    "num_tl_op_past_12m": "double", "pct_tl_nvr_dlq": "double", "percent_bc_gt_75": "double",
+    "pub_rec_bankruptcies": "double", "tax_liens": "double", "tot_hi_cred_lim": "double",
+    "total_bal_ex_mort": "double", "total_bc_limit": "double", "total_il_high_credit_limit": "double",
+    "revol_bal_joint": "double", "sec_app_fico_range_low": "double", "sec_app_fico_range_high": "double",
+    "sec_app_earliest_cr_line": "string", "sec_app_inq_last_6mths": "double", "sec_app_mort_acc": "double",
+    "sec_app_open_acc": "double", "sec_app_revol_util": "double", "sec_app_open_act_il": "double",
+    "sec_app_num_rev_accts": "double", "sec_app_chargeoff_within_12_mths": "double",
+    "sec_app_collections_12_mths_ex_med": "double", "sec_app_mths_since_last_major_derog": "double",
+    "hardship_flag": "string", "hardship_type": "string", "hardship_reason": "string", "hardship_status": "string",
+    "deferral_term": "double", "hardship_amount": "double", "hardship_start_date": "string",
+    "hardship_end_date": "string", "payment_plan_start_date": "string", "hardship_length": "double",
+    "hardship_dpd": "double", "hardship_loan_status": "string",
+    "orig_projected_additional_accrued_interest": "double", "hardship_payoff_balance_amount": "double",
+    "hardship_last_payment_amount": "double", "disbursement_method": "string", "debt_settlement_flag": "string",
+    "debt_settlement_flag_date": "string", "settlement_status": "string", "settlement_date": "string",
+    "settlement_amount": "double", "settlement_percentage": "double", "settlement_term": "double",
+}

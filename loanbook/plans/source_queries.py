@@ -26,6 +26,35 @@ def s1_csv_scan(spark, d):
     return CL.parse_dates(CL.clean_id(back), ["issue_d"])
 
 
+_S1_NAMES = ["id", "loan_amnt", "term", "revol_bal", "fico_range_low", "dti", "issue_d", "loan_status", "purpose", "open_acc"]
+_BAD = "CASE WHEN id % 53 = 1 THEN 'short' WHEN id % 53 = 2 THEN 'long' WHEN id % 53 = 3 AND dti IS NOT NULL THEN 'type' ELSE 'fit' END"
+
+
+@register("s1_quarantine", with_loanbook(
+    f"SELECT CAST(id AS VARCHAR) AS id, {_BAD} AS route, "
+    f"CASE WHEN {_BAD} = 'fit' THEN total_rev_hi_lim END AS revol_bal, CASE WHEN {_BAD} = 'fit' THEN fico_range_high END AS fico_range_low, "
+    f"CASE WHEN {_BAD} = 'fit' THEN num_tl_op_past_12m END AS open_acc FROM loanbook"))
+def s1_quarantine(spark, d):
+    """A file whose rows are partly cut short, too long or of a wrong type;
+    the rows that fit come back typed, the others as their text."""
+    lb = loan_book(spark, d)
+    bad = F.expr(_BAD)
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (
+        "id", "loan_amnt", "term", "total_rev_hi_lim", "fico_range_high", "dti", "issue_d", "loan_status", "purpose", "num_tl_op_past_12m")]
+    values[5] = F.when(bad == "type", "n.a.").otherwise(values[5])
+    line = F.concat_ws(",", *values)
+    line = F.when(bad == "short", F.concat_ws(",", *values[:4])).when(bad == "long", F.concat(line, F.lit(",x,y"))).otherwise(line)
+    path = IO.scratch_path(spark, "s1q")
+    lb.select(line.alias("value")).write.text(path)
+    good, held = IO.read_csv_quarantined(spark, path, names=_S1_NAMES)
+    text = F.split(F.col(IO.CORRUPT), ",")
+    n = F.size(text)
+    why = F.when(n < len(_S1_NAMES), "short").when(n > len(_S1_NAMES), "long").otherwise("type")
+    none = F.lit(None).cast("double")
+    return good.select("id", F.lit("fit").alias("route"), "revol_bal", "fico_range_low", "open_acc").unionByName(
+        held.select(text[0].alias("id"), why.alias("route"), none.alias("revol_bal"), none.alias("fico_range_low"), none.alias("open_acc")))
+
+
 @register("s2_route_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
 def s2_route_parquet(spark, d):
     """S2 + S3: suffix routing to the Parquet reader, projected and filtered

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# --- fixed values: declared types of the accepted-loan columns used by the stages
-ACCEPTED_TYPES = {
+from loanbook.constants import ACCEPTED_TYPES
+
+_TYPES = {
     "id": "string", "loan_amnt": "double", "funded_amnt": "double", "annual_inc": "double",
     "dti": "double", "term": "string", "int_rate": "double", "installment": "double",
     "grade": "string", "emp_title": "string", "emp_length": "string", "home_ownership": "string",
@@ -52,17 +53,41 @@ def declared_schema(columns: list[str], types: dict[str, str] | None = None) ->
     return T.StructType([T.StructField(c, _TYPES[types.get(c, "string")], True) for c in columns])
 
 
+#: the text of a row that doesn't fit the declared schema
+CORRUPT = "_corrupt_record"
+
+
+def _csv(spark: SparkSession, path: str, types: dict[str, str] | None, names: list[str] | None, corrupt: bool) -> DataFrame:
+    schema = declared_schema(names or header_columns(spark, path), types)
+    reader = (spark.read.option("header", names is None).option("mode", "PERMISSIVE")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    if corrupt:
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return reader.schema(schema).csv(path)
+
+
 def read_csv(spark: SparkSession, path: str, types: dict[str, str] | None = None,
-             columns: list[str] | None = None) -> DataFrame:
-    """S1 (+S3): CSV with header and a declared schema; malformed fields
-    become null (PERMISSIVE). ``columns`` projects the scan."""
-    cols = header_columns(spark, path)
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .schema(declared_schema(cols, types)).csv(path))
+             columns: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """S1 (+S3): CSV with a declared schema; malformed fields become null
+    (PERMISSIVE). ``columns`` projects the scan; ``names`` are the columns of
+    a file without a header."""
+    df = _csv(spark, path, types, names, False)
     return df.select(*[c for c in columns if c in df.columns]) if columns else df
 
 
+def read_csv_quarantined(spark: SparkSession, path: str, types: dict[str, str] | None = None,
+                         names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that fit the declared schema, (``_corrupt_record``) the text
+    of the others: too few or too many fields, or a field not of its type).
+    Every row of the file is in one of the two."""
+    df = _csv(spark, path, types, names, True)
+    # a field is only checked where its column is read: the always true condition on all of them
+    # makes a row's fitness the same whatever is selected
+    df = df.where(F.hash(*[c for c in df.columns if c != CORRUPT]) >= F.lit(-(1 << 31)))
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT), df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+
+
 def read_any(spark: SparkSession, path: str, types: dict[str, str] | None = None) -> DataFrame:
     """Parquet by suffix, CSV otherwise."""
     if str(path).rstrip("/").endswith(".parquet"):
