@@ -43,9 +43,7 @@ def p1_sample(spark, d):
 
 @register("j10_holdout", f"WITH {_TRAIN_CTE} SELECT {', '.join(LI_KEY)} FROM rest")
 def j10_holdout(spark, d):
-    li = _li(spark, d)
-    train = S.sample_n(li, K.TRAIN_SAMPLE, LI_KEY, K.TRAIN_SEED)
-    return S.holdout(li, train, LI_KEY).select(*LI_KEY)
+    return S.sample_holdout(_li(spark, d), K.TRAIN_SAMPLE, LI_KEY, K.TRAIN_SEED).select(*LI_KEY)
 
 
 @register("p7_disjoint", f"WITH {_TRAIN_CTE}, sc AS (SELECT *, row_number() OVER "
@@ -57,6 +55,23 @@ def p7_disjoint(spark, d):
     return score
 
 
+# every line twice, as two rows with one key: rows, not keys, are drawn
+_TWIN = "li AS (SELECT *, i AS copy FROM lineitem, (SELECT unnest([1, 2]) AS i))"
+_TWIN_ORDER = f"{', '.join(LI_KEY)}, {', '.join(LI_REST)}, copy"
+
+
+@register("p7_twins", f"WITH {_TWIN}, o AS (SELECT *, row_number() OVER (ORDER BY {H(LI_KEY, K.TRAIN_SEED)}, {_TWIN_ORDER}) AS rt FROM li), "
+          f"sc AS (SELECT *, row_number() OVER (ORDER BY {H(LI_KEY, K.SCORE_SEED)}, {_TWIN_ORDER}) AS rs FROM o WHERE rt > {K.TRAIN_SAMPLE + 1}) "
+          f"SELECT {', '.join(LI_KEY)}, copy, CASE WHEN rt <= {K.TRAIN_SAMPLE + 1} THEN 'train' ELSE 'score' END AS part FROM "
+          f"(SELECT *, 0 AS rs FROM o WHERE rt <= {K.TRAIN_SAMPLE + 1} UNION ALL SELECT * FROM sc WHERE rs <= {K.SCORE_SAMPLE + 1})")
+def p7_twins(spark, d):
+    """P7 over rows that share keys: an odd sample size cuts a pair of twins."""
+    li = _li(spark, d).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    li = li.select(*LI_KEY, *LI_REST, "copy")
+    train, score = S.disjoint_samples(li, K.TRAIN_SAMPLE + 1, K.SCORE_SAMPLE + 1, LI_KEY, None, K.TRAIN_SEED, K.SCORE_SEED)
+    return train.select(*LI_KEY, "copy", F.lit("train").alias("part")).unionByName(score.select(*LI_KEY, "copy", F.lit("score").alias("part")))
+
+
 _ONG_CTE = f"ong AS (SELECT id, loan_status, loan_amnt, funded_amnt, out_prncp FROM loanbook WHERE {ONGOING_IN})"
 
 
