@@ -9,8 +9,10 @@ prove it small and shuffles it otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanbook.operators.sampling import dense_index
 
@@ -22,16 +24,17 @@ def as_category(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(NULL_CATEGORY))
 
 
+def _categories(train: DataFrame, values: dict) -> DataFrame:
+    """Distinct (feature, category) of all columns in one grouped pass."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), v.alias("category")) for f, v in values.items()]))
+    return train.select(pairs.alias("x")).select("x.*").where("category IS NOT NULL").distinct()
+
+
 def fit_ordinal(train: DataFrame, cols: list[str]) -> DataFrame:
     """M1 fit: (feature, category, code) with codes 0.. in lexicographic order."""
-    parts = []
-    for c in cols:
-        vals = train.select(F.lit(c).alias("feature"), as_category(c).alias("category")).distinct()
-        parts.append(dense_index(vals, ["category"], "code"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbered = dense_index(_categories(train, {c: as_category(c) for c in cols}), ["feature", "category"], "code")
+    first = numbered.groupBy("feature").agg(F.min("code").alias("__first"))  # one row a column
+    return numbered.join(first, "feature").select("feature", "category", (F.col("code") - F.col("__first")).alias("code"))
 
 
 def apply_ordinal(df: DataFrame, dictionary: DataFrame, cols: list[str], unknown: int = -1) -> DataFrame:
@@ -47,37 +50,35 @@ def apply_ordinal(df: DataFrame, dictionary: DataFrame, cols: list[str], unknown
 
 
 def fit_onehot(train: DataFrame, cols: list[str]) -> DataFrame:
-    """M2 fit: fitted (feature, category) pairs minus each feature's first
-    (lexicographically smallest) category, the dropped baseline."""
-    parts = []
-    for c in cols:
-        vals = train.select(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) \
-                    .filter(F.col("category").isNotNull()).distinct()
-        first = vals.agg(F.min("category")).scalar()
-        parts.append(vals.filter(F.col("category") != first))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """M2 fit: (feature, category, index) of the fitted categories but each
+    feature's first (lexicographically smallest), the dropped baseline. The
+    index counts from 0 in the order of (feature, category)."""
+    every = _categories(train, {c: F.col(c).cast("string") for c in cols})
+    base = every.groupBy("feature").agg(F.min("category").alias("__base"))  # one row a column
+    kept = every.join(base, "feature").where(F.col("category") != F.col("__base")).select("feature", "category")
+    return dense_index(kept, ["feature", "category"], "index")
 
 
-def apply_onehot_long(df: DataFrame, levels: DataFrame, cols: list[str], key: str = "id") -> DataFrame:
-    """M2 transform in long form: (key, feature, category, indicator) for every
-    fitted non-baseline level; levels missing from a row are 0. Rows are dealt
-    to parts and each part joins its own copy of the levels, so their number
-    has no limit and none of them passes through the driver."""
-    spark = df.sparkSession
-    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = levels.select(F.col("feature").alias("__f"), "category", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("__d"))
-    out = None
+SPARSE = T.StructType([T.StructField("v", VectorUDT())])
+
+
+def sparse_vector(size: Column, indices: Column) -> Column:
+    """ML vector of ones at the ascending ``indices``, built on the JVM."""
+    ones = F.transform(indices, lambda _: F.lit(1.0))
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), size.cast("int").alias("size"), indices.cast("array<int>").alias("indices"), ones.alias("values"))
+    return F.from_json(F.to_json(F.struct(parts.alias("v"))), SPARSE)["v"]
+
+
+def apply_onehot(df: DataFrame, levels: DataFrame, cols: list[str], out: str = "onehot") -> DataFrame:
+    """M2 transform: one sparse vector a row, by a join of each column's value
+    to its index. The baseline, nulls and unseen values add no entry."""
+    size = levels.count()
+    d = df
     for c in cols:
-        x = df.select(key, F.lit(c).alias("feature"), F.col(c).cast("string").alias("__v"),
-                      F.pmod(F.xxhash64(key), F.lit(deals)).cast("int").alias("__k"))
-        lv = every.filter(F.col("__f") == c)
-        y = x.join(lv, x["__k"] == lv["__d"]).select(
-            key, "feature", "category", F.coalesce((F.col("__v") == F.col("category")).cast("int"), F.lit(0)).alias("indicator"))
-        out = y if out is None else out.unionByName(y)
-    return out
+        own = levels.where(F.col("feature") == c).select(F.col("category").alias(f"{out} {c}"), F.col("index").alias(f"{out} i {c}"))
+        d = d.join(own, d[c].cast("string") == own[f"{out} {c}"], "left").drop(f"{out} {c}")
+    found = F.array_sort(F.array_compact(F.array(*[F.col(f"`{out} i {c}`") for c in cols])))
+    return d.withColumn(out, sparse_vector(F.lit(size), found)).drop(*[f"{out} i {c}" for c in cols])
 
 
 def apply_onehot_wide(df: DataFrame, levels: list[tuple[str, str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from loanbook import constants as K
@@ -104,22 +105,23 @@ _M2_COLS = K.LGD_CATEGORICAL
 
 
 def _m2_sql() -> str:
-    lv = " UNION ALL ".join(
-        f"SELECT {q(c)} AS feature, cat AS category FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS cat FROM tr "
-        f"WHERE {c} IS NOT NULL) WHERE cat <> (SELECT min(CAST({c} AS VARCHAR)) FROM tr WHERE {c} IS NOT NULL)"
-        for c in _M2_COLS)
-    rows = " UNION ALL ".join(f"SELECT id, {q(c)} AS feature, CAST({c} AS VARCHAR) AS v FROM loanbook"
-                              for c in _M2_COLS)
+    cats = " UNION ".join(f"SELECT {q(c)} AS feature, CAST({c} AS VARCHAR) AS category FROM tr WHERE {c} IS NOT NULL" for c in _M2_COLS)
+    rows = " UNION ALL ".join(f"SELECT id, {q(c)} AS feature, CAST({c} AS VARCHAR) AS category FROM loanbook" for c in _M2_COLS)
     return with_loanbook(
-        "SELECT r.id, r.feature, l.category, coalesce(CAST(r.v = l.category AS INTEGER), 0) AS indicator "
-        "FROM rw r JOIN lv l ON r.feature = l.feature",
-        f"tr AS (SELECT * FROM loanbook WHERE {FINISHED_IN}),\nlv AS ({lv}),\nrw AS ({rows})")
+        "SELECT r.id, (SELECT count(*) FROM lv) AS size, string_agg(CAST(lv.index AS VARCHAR), ',' ORDER BY lv.index) AS nonzero, "
+        "count(lv.index) AS n_nonzero FROM rw r LEFT JOIN lv USING (feature, category) GROUP BY r.id",
+        f"tr AS (SELECT * FROM loanbook WHERE {FINISHED_IN}),\ncats AS ({cats}),\n"
+        "lv AS (SELECT feature, category, row_number() OVER (ORDER BY feature, category) - 1 AS index FROM cats "
+        f"WHERE (feature, category) NOT IN (SELECT feature, min(category) FROM cats GROUP BY feature)),\nrw AS ({rows})")
 
 
 @register("m2_onehot", _m2_sql())
 def m2_onehot(spark, d):
-    """M2: baseline-dropped one-hot levels fitted on finished loans (long form)."""
+    """M2: one sparse vector a loan, baseline left out; its non-zeros listed."""
     lb = loan_book(spark, d)
     train = lb.filter(F.col("loan_status").isin(list(K.FINISHED_STATUS_LABEL)))
-    levels = EN.fit_onehot(train, _M2_COLS)
-    return EN.apply_onehot_long(lb.select("id", *_M2_COLS), levels, _M2_COLS)
+    out = EN.apply_onehot(lb.select("id", *_M2_COLS), EN.fit_onehot(train, _M2_COLS), _M2_COLS)
+    dense = vector_to_array("onehot")
+    at = F.filter(F.transform(dense, lambda x, i: F.when(x == 1.0, i)), lambda i: i.isNotNull())
+    return out.select("id", F.size(dense).cast("long").alias("size"),
+                      F.when(F.size(at) > 0, F.concat_ws(",", at.cast("array<string>"))).alias("nonzero"), F.size(at).cast("long").alias("n_nonzero"))
