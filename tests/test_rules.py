@@ -416,9 +416,66 @@ def test_c18_action_report_follows_the_ingest_order(spark):
 
 def test_onehot_has_no_limit_on_levels(spark):
     from loanbook.operators import encoding
-    train = spark.range(10_050).selectExpr("cast(id as string) AS c")
-    levels = encoding.fit_onehot(train, ["c"])
-    rows = spark.createDataFrame([(1, "7"), (2, None), (3, "no level"), (4, "0")], "id long, c string")
-    out = encoding.apply_onehot_long(rows, levels, ["c"])
-    got = {r.id: (r.n, r.s) for r in out.groupBy("id").agg(F.count("category").alias("n"), F.sum("indicator").alias("s")).collect()}
-    assert got == {1: (10_049, 1), 2: (10_049, 0), 3: (10_049, 0), 4: (10_049, 0)}
+    train = spark.range(10_050).selectExpr("cast(id as string) AS c", "cast(id % 3 as string) AS b")
+    levels = encoding.fit_onehot(train, ["c", "b"])
+    rows = spark.createDataFrame([(1, "7", "2"), (2, None, None), (3, "no level", "1"), (4, "0", "0"), (4, "0", "0")], "id long, c string, b string")
+    out = encoding.apply_onehot(rows, levels, ["c", "b"]).collect()
+    size = 10_049 + 2
+    index = {(r.feature, r.category): r["index"] for r in levels.collect()}
+    assert sorted(index.values()) == list(range(size)) and ("c", "0") not in index and ("b", "0") not in index
+    got = sorted((r.id, r.onehot.size, r.onehot.indices.tolist(), set(r.onehot.values)) for r in out)
+    assert got == [(1, size, sorted([index["c", "7"], index["b", "2"]]), {1.0}), (2, size, [], set()),
+                   (3, size, [index["b", "1"]], {1.0}), (4, size, [], set()), (4, size, [], set())]
+
+
+def test_ordinal_codes_of_all_columns_in_one_pass(spark):
+    from loanbook.operators import encoding
+    train = spark.createDataFrame([("b", None), ("a", "x"), ("b", "y")], "c string, d string")
+    dic = encoding.fit_ordinal(train, ["c", "d"])
+    assert {(r.feature, r.category): r.code for r in dic.collect()} == {("c", "a"): 0, ("c", "b"): 1, ("d", "nan"): 0, ("d", "x"): 1, ("d", "y"): 2}
+    out = encoding.apply_ordinal(spark.createDataFrame([("b", None), ("q", "y")], "c string, d string"), dic, ["c", "d"])
+    assert sorted(map(tuple, out.collect())) == [(-1, 2), (1, 0)]
+
+
+def test_samples_of_rows_that_share_keys(spark):
+    df = spark.range(400).selectExpr("id % 100 AS k", "id AS row")  # every key four times
+    train, score = S.disjoint_samples(df, 101, 51, ["k"])
+    t, s = {r.row for r in train.collect()}, {r.row for r in score.collect()}
+    assert len(t) == 101 and len(s) == 51 and not t & s
+    rest = S.sample_holdout(df, 101, ["k"]).collect()
+    assert t == {r.row for r in S.sample_n(df, 101, ["k"]).collect()} and {r.row for r in rest} == set(range(400)) - t
+    train, score = S.disjoint_samples(df, 390, 51, ["k"])  # fewer left than wanted
+    assert train.count() == 390 and score.count() == 10
+    train, score = S.disjoint_samples(df, 500, 51, ["k"])
+    assert train.count() == 400 and score.count() == 0
+    same = spark.createDataFrame([(1, "a")] * 10, "k int, v string")  # equal rows
+    assert S.sample_n(same, 4, ["k"]).count() == 4 and S.sample_holdout(same, 4, ["k"]).count() == 6
+    parts = S.stratified_split(same, "k", 0.7, ["k"]).groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in parts} == {"train": 7, "test": 3}
+
+
+def test_economic_lgd_by_hand(spark):
+    import datetime as dt
+    from loanbook.operators import pricing
+    day = dt.date(2001, 1, 1)
+    loans = [(1, 100.0, day, 0.10), (2, 100.0, day, 0.0), (3, 0.0, day, 0.1), (4, None, day, 0.1), (5, 50.0, None, 0.1), (6, 10.0, day, None), (7, 40.0, day, 0.2)]
+    flows = [(1, day + dt.timedelta(365), 55.0, 0.0), (1, day + dt.timedelta(730), 24.2, 0.0), (1, day - dt.timedelta(1), 99.0, 0.0), (1, None, 9.0, 0.0),
+             (2, day, 30.0, 10.0), (2, day, None, 5.0), (2, day, 500.0, None), (3, day, 5.0, 1.0), (9, day, 1.0, 0.0)]
+    got = {r.id: r for r in pricing.economic_lgd(spark.createDataFrame(loans, "id int, ead double, default_d date, rate double"),
+                                                 spark.createDataFrame(flows, "id int, flow_d date, recovery double, cost double")).collect()}
+    assert abs(got[1].pv - 70.0) < 1e-5 and abs(got[1].economic_lgd - 0.3) < 1e-7 and got[1].n_flows == 2
+    assert (got[2].pv, got[2].economic_lgd, got[2].n_flows) == (515.0, 0.0, 3)
+    assert (got[3].economic_lgd, got[4].economic_lgd, got[5].economic_lgd, got[6].economic_lgd) == (0.0, None, None, None)
+    assert (got[7].economic_lgd, got[7].n_flows) == (1.0, 0) and 9 not in got
+
+
+def test_quarantine_keeps_every_row(spark, tmp_path):
+    from loanbook.constants import ACCEPTED_TYPES
+    from loanbook.sources import io as IO
+    assert len(ACCEPTED_TYPES) == 151 and ACCEPTED_TYPES["revol_bal"] == "double"
+    lines = ["id,loan_amnt,revol_util,title", "a,1.5,2,x", "b,oops,2,x", "c,1", "d,1,2,x,more", 'e,3,,"q, r"', ",,,"]
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    good, bad = IO.read_csv_quarantined(spark, str(tmp_path / "f.csv"))
+    assert {(r.id, r.loan_amnt, r.revol_util, r.title) for r in good.collect()} == {("a", 1.5, 2.0, "x"), ("e", 3.0, None, "q, r"), (None, None, None, None)}
+    assert {r[IO.CORRUPT] for r in bad.collect()} == {"b,oops,2,x", "c,1", "d,1,2,x,more"}
+    assert good.select("id").count() == 3 and bad.select(IO.CORRUPT).count() == 3  # whatever is selected
