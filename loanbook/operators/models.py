@@ -6,15 +6,12 @@ fitted parameters (coefficients, tree ensembles, isotonic knots).
 
 from __future__ import annotations
 
-import random
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, RandomForestRegressor
-from pyspark.ml.tuning import TrainValidationSplit
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +67,11 @@ class LogLossEvaluator(Evaluator):
 
 # ------------------------------------------------------------ M5 / M6
 def logit(features: list[str], label: str = "label", C: float = 1.0, l1_ratio: float = 0.0,
-          n_weight: float = 1.0, max_iter: int = 100) -> Pipeline:
+          n_weight: float = 1.0, max_iter: int = 100, tol: float = 1e-6) -> Pipeline:
     """M5: weighted logistic regression; regParam = 1 / (C x sum of weights)."""
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight",
                             regParam=1.0 / (C * max(n_weight, 1.0)), elasticNetParam=l1_ratio,
-                            standardization=False, maxIter=max_iter)
+                            standardization=False, maxIter=max_iter, tol=tol)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features",
                                             handleInvalid="keep"), lr])
 
@@ -111,27 +108,6 @@ def lgd_profile(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select("id", F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("lgd"))
 
 
-# ------------------------------------------------------------ M8 / M13
-def calibrate(scored: DataFrame, label: str = "label") -> PipelineModel:
-    """M8: isotonic calibration of P(default) on (raw score, label)."""
-    d = scored.withColumn("__raw", p_default("probability"))
-    iso = IsotonicRegression(featuresCol="__raw", labelCol=label, predictionCol="calibrated_pd",
-                             isotonic=True)
-    return PipelineModel(stages=[iso.fit(d)])
-
-
-def calibrated_pd(model: PipelineModel, calibrator: PipelineModel, df: DataFrame) -> DataFrame:
-    out = model.transform(df).withColumn("__raw", p_default("probability"))
-    return calibrator.transform(out)
-
-
-def pd_profile(model: PipelineModel, calibrator: PipelineModel, df: DataFrame,
-               ead: str = "EAD", base: str = "base_interest_rate_pct") -> DataFrame:
-    """Id, EAD, calibrated PD, base rate."""
-    out = calibrated_pd(model, calibrator, df)
-    return out.select("id", F.col(ead).alias("ead"), F.col("calibrated_pd").alias("pd"), base)
-
-
 # ------------------------------------------------------------ M11
 def scorecard(lr_model: PipelineModel, features: list[str]) -> Column:
     """M11 from a fitted logit on WoE features: round(offset - factor x
@@ -144,27 +120,6 @@ def scorecard(lr_model: PipelineModel, features: list[str]) -> Column:
     return score_from_logodds(margin)
 
 
-# ------------------------------------------------------------ M9
-def random_grid(est, space: dict, n_trials: int, seed: int = 42):
-    """Seeded random points from the search space (lists or (lo, hi) ranges)."""
-    rng = random.Random(seed)
-    maps = []
-    for _ in range(n_trials):
-        pm = {}
-        for param, dom in space.items():
-            pm[param] = rng.choice(dom) if isinstance(dom, list) else rng.uniform(*dom)
-        maps.append(pm)
-    return maps
-
-
-def search(pipeline: Pipeline, param_maps: list[dict], evaluator, train: DataFrame,
-           train_ratio: float = 0.8, parallelism: int = 4, seed: int = 42):
-    """M9: held-out search (TrainValidationSplit) over the given points."""
-    tvs = TrainValidationSplit(estimator=pipeline, estimatorParamMaps=param_maps, evaluator=evaluator,
-                               trainRatio=train_ratio, parallelism=parallelism, seed=seed)
-    return tvs.fit(train)
-
-
 # ------------------------------------------------------------ C15
 def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 5, num_trees: int = 10,
                      seed: int = 42) -> DataFrame:

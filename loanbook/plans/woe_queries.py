@@ -134,11 +134,17 @@ def m3_levels(spark, d):
     return lev.select("feature", "level", "bin", round_half_even("woe", 10).alias("woe"))
 
 
-def _value(f: str) -> str:
+def plain_value(f: str, levels: list[str] = LEVELS) -> str:
+    """The WoE of a feature by the SQL's own bins."""
     at = f"(SELECT woe FROM bins WHERE bins.feature = {q(f)} AND ({f} >= lower OR lower IS NULL) AND ({f} < upper OR upper IS NULL) AND {f} IS NOT NULL)"
-    if f in LEVELS:
+    if f in levels:
         at = f"(SELECT woe FROM lev WHERE lev.feature = {q(f)} AND lev.level = {f})"
-    return f"{rint(f'coalesce({at}, 0)', 10)} AS {f}_woe"
+    return f"coalesce({at}, 0) AS {f}_woe"
+
+
+def _value(f: str) -> str:
+    value, name = plain_value(f).rsplit(" AS ", 1)
+    return f"{rint(value, 10)} AS {name}"
 
 
 @register("m4_fitted", _recursive(with_loanbook(

@@ -217,6 +217,38 @@ def test_selection_against_brute_force(spark):
     assert got >= 0.8 * best  # repair rounds stay close to the optimum here
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_certificate_against_all_selections(spark, seed):
+    """Fixed loans are right in every best selection; the stated gap holds."""
+    rng = np.random.default_rng(seed)
+    n = 11
+    ead = rng.uniform(1000, 5000, n).round(2)
+    pd_ = rng.choice([0.02, 0.05, 0.3], n)
+    el = (pd_ * 0.5 * ead).round(2)
+    profit = rng.choice([-50.0, 40.0, 400.0, 3000.0], n) + rng.uniform(0, 20, n).round(2)
+    rep = spark.createDataFrame([(int(i), float(ead[i]), float(pd_[i]), float(el[i]), float(profit[i])) for i in range(n)],
+                                "id long, EAD double, probability_of_default double, Expected_Loss double, Expected_Profit double")
+    rwa = ead * pd_ * 12.5
+    limits = (float(rwa.sum() * 0.7), float(el.sum() * 0.75), float(ead.sum() * 0.6)) if seed else (1e9, 1e9, 1e9)
+    sel, _ = SEL.select(rep, limits)
+    sides, c = SEL.certify(sel, limits)
+    best, sets = -1.0, []
+    for mask in itertools.product([0, 1], repeat=n):
+        idx = [i for i in range(n) if mask[i]]
+        if sum(rwa[idx]) <= limits[0] and sum(el[idx]) <= limits[1] and sum(ead[idx]) <= limits[2]:
+            v = sum(profit[idx])
+            if v > best + 1e-9:
+                best, sets = v, []
+            if v > best - 1e-9:
+                sets.append(set(idx))
+    assert c["profit"] <= best + 1e-6 <= c["bound"] + 1e-5 and abs(c["gap"] - (c["bound"] - c["profit"])) < 1e-9
+    proved = {r.id: r.proved for r in sides.collect()}
+    assert len(proved) == c["n_in"] + c["n_out"] == n - c["n_open"]
+    for i, side in proved.items():
+        assert all((i in s) == side for s in sets)
+    assert seed or c["n_open"] == 0  # without a binding limit everything is proved
+
+
 def test_selection_zero_limit(spark):
     rep = spark.createDataFrame([(1, 100.0, 0.1, 5.0, 50.0)],
                                 "id long, EAD double, probability_of_default double, "
