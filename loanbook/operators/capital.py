@@ -7,27 +7,25 @@ Scale notes
   (PD, R) with the exposure-weighted LGD summed. The conditional default
   rate of a loan depends on nothing else, so this is exact, and the cell
   table has one row per distinct PD (a handful for the migration model).
-* The cells reach the scenario rows as a scalar subquery (an array
-  broadcast with the plan), behind a checked size bound. Above it the
-  partial-vector path runs instead: each task folds its cells into a
-  loss vector over all scenarios and a ``groupBy(scenario)`` sums them.
+* The cells are dealt to blocks of bounded size. A block runs through all
+  scenarios in one row's expression, and a ``groupBy(scenario)`` sums the
+  blocks' partial losses, whatever the number of cells.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanbook import constants as K
-from loanbook.functions.normal import (norm_cdf_np, norm_cdf_sql, norm_ppf_np,
-                                       norm_ppf_sql)
+from loanbook.functions.normal import norm_cdf_sql, norm_ppf_sql
 from loanbook.functions.numeric import clip, round_half_even
 from loanbook.functions.numeric import dbl as _dbl
 from loanbook.operators import migration as M
+from loanbook.session import cut_lineage
 
-MAX_BROADCAST_CELLS = 4096
+#: cells that one row of a scenario pass holds
+BLOCK_CELLS = 1024
 
 
 # ------------------------------------------------------------ C20 / C21
@@ -108,9 +106,8 @@ def risk_cells(risk: DataFrame, use_tags: bool = False) -> DataFrame:
     """One pass over the loans: partial aggregate by (pd, R[, weight]).
 
     Every capital figure is linear in exposure within a cell, so the loans
-    are read once and everything after works on this tiny table (one row
-    per distinct PD). It is cached: several scalar subqueries read it, and a
-    lost block is recomputed from lineage.
+    are read once and everything after works on this small table (one row
+    per distinct PD), which is checkpointed: several scalar subqueries read it.
     """
     wt = standard_weight(use_tags)
     cells = risk.groupBy("pd", "R", wt.alias("weight")).agg(
@@ -124,7 +121,7 @@ def risk_cells(risk: DataFrame, use_tags: bool = False) -> DataFrame:
     c = c.withColumn("z_irb", F.expr(f"(g + sr * {g999}) / s1r"))
     c = c.withColumn("n_z", F.expr(norm_cdf_sql("z_irb")))
     c = c.withColumn("irb_k_unit", (F.col("n_z") - F.col("pd")) * K.IRB_MATURITY_SCALE)
-    return c.cache()
+    return cut_lineage(c)
 
 
 def capital_totals(risk: DataFrame, use_tags: bool = False, cells: DataFrame | None = None) -> DataFrame:
@@ -151,42 +148,22 @@ _COND_LOSS = ("aggregate(cells, CAST(0 AS DOUBLE), (acc, c) -> acc + c.w * "
               + norm_cdf_sql("((c.g - c.sr * z) / c.s1r)") + ")")
 
 
-def _losses_broadcast(cells: DataFrame, scen: DataFrame) -> DataFrame:
-    arr = cells.agg(F.collect_list(F.struct("w", "g", "sr", "s1r")).alias("cells")).scalar()
-    return scen.withColumn("cells", arr).select("scenario", "z", F.expr(_COND_LOSS).alias("loss"))
+def scenario_losses(risk: DataFrame, n: int = K.N_SCENARIOS, cells: DataFrame | None = None,
+                    block: int = BLOCK_CELLS) -> DataFrame:
+    """Portfolio loss per scenario, capped by total exposure.
 
-
-def _losses_partial(cells: DataFrame, scen_n: int) -> DataFrame:
-    """Each task folds its cells into one loss vector over all scenarios;
-    vectors are summed by a grouped aggregate (no cells x scenarios rows)."""
-    z = norm_ppf_np((np.arange(scen_n) + 0.5) / scen_n)
-
-    def fold(batches):
-        acc = np.zeros(scen_n)
-        for pdf in batches:
-            for s in range(0, len(pdf), 256):
-                b = pdf.iloc[s:s + 256]
-                arg = (b["g"].to_numpy()[:, None] - b["sr"].to_numpy()[:, None] * z[None, :]) \
-                    / b["s1r"].to_numpy()[:, None]
-                acc += (b["w"].to_numpy()[:, None] * norm_cdf_np(arg)).sum(axis=0)
-        yield pd.DataFrame({"scenario": np.arange(scen_n, dtype="int64"), "loss": acc})
-
-    parts = cells.select("w", "g", "sr", "s1r").mapInPandas(fold, "scenario LONG, loss DOUBLE")
-    return parts.groupBy("scenario").agg(F.sum("loss").alias("loss")) \
-                .withColumn("z", F.expr(norm_ppf_sql(f"(CAST(scenario AS DOUBLE) + 0.5) / {int(scen_n)}")))
-
-
-def scenario_losses(risk: DataFrame, n: int = K.N_SCENARIOS,
-                    max_broadcast_cells: int = MAX_BROADCAST_CELLS,
-                    cells: DataFrame | None = None) -> DataFrame:
-    """Portfolio loss per scenario, capped by total exposure."""
-    spark = risk.sparkSession
+    The cells are dealt to blocks of about ``block``. Each block becomes one
+    row, runs through all scenarios and gives one partial loss for each; a
+    grouped sum adds the blocks up. There is one path for any number of cells,
+    and no row for a pair of cell and scenario."""
     c = cells if cells is not None else risk_cells(risk)
-    n_cells = c.count()  # the size check (and it fills the cache)
-    if n_cells <= max_broadcast_cells:
-        raw = _losses_broadcast(c, scenario_table(spark, n))
-    else:
-        raw = _losses_partial(c, n)
+    blocks = max(1, -(-c.count() // block))
+    dealt = (c.groupBy(F.pmod(F.xxhash64("pd", "R", "weight"), F.lit(blocks)).alias("block"))
+             .agg(F.sort_array(F.collect_list(F.struct("w", "g", "sr", "s1r"))).alias("cells")))
+    z = F.expr(norm_ppf_sql(f"(CAST(scenario AS DOUBLE) + 0.5) / {int(n)}")).alias("z")
+    each = dealt.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))).select("scenario", "cells", z)
+    part = each.select("scenario", "z", F.expr(_COND_LOSS).alias("loss"))
+    raw = part.groupBy("scenario").agg(F.first("z").alias("z"), F.sum("loss").alias("loss"))
     cap = c.agg(F.sum("ead")).scalar()
     return raw.select("scenario", "z", F.least(F.col("loss"), cap).alias("loss"))
 
@@ -207,8 +184,7 @@ def capital_report(risk: DataFrame, n: int = K.N_SCENARIOS, use_tags: bool = Fal
     one-row totals as scalar subqueries over the scenario table."""
     cells = risk_cells(risk, use_tags)
     tot = capital_totals(risk, use_tags, cells)
-    losses = scenario_losses(risk, n, cells=cells).cache()  # n rows, read twice
-    tail = var_and_shortfall(losses).cache()
+    tail = cut_lineage(var_and_shortfall(cut_lineage(scenario_losses(risk, n, cells=cells))))  # n rows, then one
     var = tail.select("var").scalar()
     n_s = tail.select("n_scenarios").scalar()
     el = F.col("expected_loss")
@@ -228,8 +204,7 @@ def capital_adequacy(risk: DataFrame, capital: float | None = None,
     of standardized RWA (the Basel minimum ratio) when no figure is given."""
     cells = risk_cells(risk)
     tot = capital_totals(risk, cells=cells)
-    losses = scenario_losses(risk, n, cells=cells).cache()  # n rows, read twice
-    tail = var_and_shortfall(losses, q).cache()
+    tail = cut_lineage(var_and_shortfall(cut_lineage(scenario_losses(risk, n, cells=cells)), q))  # n rows, then one
     var = tail.select("var").scalar()
     es = tail.select("expected_shortfall").scalar()
     cap = F.lit(float(capital)) if capital is not None else F.col("rwa_standardized") * 0.08

@@ -227,55 +227,30 @@ def infinities_to_null(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C14
-MAX_NULL_PATTERNS = 100_000
-
-
 def _null_policy_plan(df: DataFrame, nums: list[str], crucial: set[str],
                       drop_share: float) -> list[tuple[str, str, list[str]]]:
     """Replay the order-dependent policy: [(column, 'drop'|'fill', dropped-before)].
 
-    Exact two-pass form: the distinct null patterns over the numeric columns
-    are counted in one partial aggregate (checked against a bound); the policy
-    is replayed over those counts. Past the bound, one small aggregate per
-    column computes the same shares on the shrinking table.
-    """
-    if not nums:
-        return []
-    bits = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in nums])
-    pats = df.groupBy(bits.alias("p")).count()
-    n_pats = pats.count()
-    plan, dropped = [], []
-    if n_pats <= MAX_NULL_PATTERNS:
-        rows = [(r.p, r["count"]) for r in pats.collect()]  # bounded, checked above
-        alive = rows
-        for j, c in enumerate(nums):
-            n = sum(k for _, k in alive)
-            if n == 0:
-                break
-            share = sum(k for p, k in alive if p[j] == "1") / n
-            if share == 0:
-                continue
-            if c in crucial or share >= drop_share:
+    One aggregate gives the null counts of all columns still to come over the
+    rows alive. They hold until a column drops rows, so there is one pass more
+    for every column that does, and each returns a single row."""
+    plan, dropped, rest = [], [], list(nums)
+    while rest:
+        alive = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in dropped], F.lit(True))
+        r = df.filter(alive).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"k{j}") for j, c in enumerate(rest)]).first()
+        if not r.n:
+            break
+        for j, c in enumerate(rest):
+            share = r[f"k{j}"] / r.n
+            if share and (c in crucial or share >= drop_share):
                 plan.append((c, "drop", list(dropped)))
                 dropped.append(c)
-                alive = [(p, k) for p, k in alive if p[j] == "0"]
-            else:
+                rest = rest[j + 1:]
+                break
+            if share:
                 plan.append((c, "fill", list(dropped)))
-        return plan
-    for c in nums:
-        cond = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in dropped], F.lit(True))
-        r = df.filter(cond).agg(F.count(F.lit(1)).alias("n"),
-                                F.count_if(F.col(c).isNull()).alias("k")).first()
-        if not r.n:
-            break
-        share = r.k / r.n
-        if share == 0:
-            continue
-        if c in crucial or share >= drop_share:
-            plan.append((c, "drop", list(dropped)))
-            dropped.append(c)
         else:
-            plan.append((c, "fill", list(dropped)))
+            break
     return plan
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from loanbook import constants as K
 from loanbook.functions.normal import norm_cdf_sql, norm_ppf_sql
 from loanbook.functions.numeric import round_half_even
 from loanbook.operators import capital as C
+from loanbook.operators import migration as M
 from loanbook.plans.catalog import register
 from loanbook.plans.sqlfrag import STATE_CASE, clip_sql, dbl, lgd_sql, pd_case, rint
 from loanbook.sources.tables import loan_book, with_loanbook
@@ -92,6 +95,17 @@ def r2_standardized(spark, d):
     return t.select(round_half_even("rwa_standardized", 2).alias("rwa_standardized"), "n_loans")
 
 
+@register("r2_tags", cap_sql(
+    f"SELECT {rint('sum(ead * CASE WHEN current_state IN (2, 3) THEN ' + dbl(K.STANDARD_WEIGHT_DISTRESSED) + ' ELSE ' + dbl(K.STANDARD_WEIGHT) + ' END)', 2)} "
+    f"AS rwa_standardized, count(*) AS n_loans, count(*) FILTER (WHERE current_state IN (2, 3)) AS n_distressed FROM cr"))
+def r2_tags(spark, d):
+    """R2 with the distressed weight for loans tagged attention or warning."""
+    risk = _risk(spark, d)
+    t = C.capital_totals(risk, use_tags=True)
+    n = risk.agg(F.count_if(M.risk_tag("current_state").isin(K.DISTRESSED_TAGS))).scalar()
+    return t.select(round_half_even("rwa_standardized", 2).alias("rwa_standardized"), "n_loans", n.alias("n_distressed"))
+
+
 @register("r3_correlation", cap_sql(
     f"SELECT id, {rint('R', 10)} AS R FROM cr"))
 def r3_correlation(spark, d):

@@ -38,4 +38,5 @@ def load_all() -> None:
 
 MODULES = ["monitoring_queries", "capital_queries", "cleaning_queries",
            "pricing_queries", "sampling_queries", "review_queries",
-           "model_queries", "woe_queries", "selection_queries", "source_queries"]
+           "model_queries", "woe_queries", "selection_queries",
+           "source_queries", "dirty_queries"]

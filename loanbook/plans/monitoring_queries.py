@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loanbook import constants as K
+from loanbook.functions.numeric import round_half_even
 from loanbook.operators import migration as M
 from loanbook.plans import monitoring as MON
 from loanbook.plans.catalog import register
@@ -189,7 +190,24 @@ def d2_early_warning(spark, d):
     return M.early_warning(M.event_states(read_table(spark, d, "events")))
 
 
-@register("d3_mean_steps")
+def _d3_sql() -> str:
+    """Mean steps by value iteration: x = 1 + Q x over the four transient states."""
+    four = range(4)
+    cells = ", ".join(f"coalesce(max(CASE WHEN from_state = {i} AND to_state = {j} THEN p END), 0) AS q{i}{j}" for i in four for j in four)
+    step = ", ".join(f"1 + {' + '.join(f'q{i}{j} * x{j}' for j in four)} AS x{i}" for i in four)
+    zero = ", ".join(f"CAST(0 AS DOUBLE) AS x{i}" for i in four)
+    out = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS from_state, {rint(f'x{i}', 8)} AS mean_steps FROM it WHERE k = 3000" for i in four)
+    return f"""WITH RECURSIVE ev AS (SELECT user_id AS id, ts, event_id,
+         CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END AS state FROM events),
+tr AS (SELECT state AS from_state, lead(state) OVER (PARTITION BY id ORDER BY ts, event_id) AS to_state FROM ev WHERE state IS NOT NULL),
+cnt AS (SELECT from_state, to_state, count(*) AS n FROM tr WHERE to_state IS NOT NULL GROUP BY from_state, to_state),
+est AS (SELECT from_state, to_state, n / sum(n) OVER (PARTITION BY from_state) AS p FROM cnt),
+q AS (SELECT {cells} FROM est),
+it AS (SELECT 0 AS k, {zero} UNION ALL SELECT k + 1, {step} FROM it, q WHERE k < 3000)
+{out}"""
+
+
+@register("d3_mean_steps", _d3_sql())
 def d3_mean_steps(spark, d):
     """D3: mean steps to the absorbing state from a matrix estimated by D1.
 
@@ -205,8 +223,8 @@ def d3_mean_steps(spark, d):
     mat[n - 1] = 0.0
     mat[n - 1, n - 1] = 1.0
     steps = M.mean_steps_to_default(mat, n - 1)
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(steps)],
-                                 "from_state INT, mean_steps DOUBLE")
+    out = spark.createDataFrame([(i, float(s)) for i, s in enumerate(steps)], "from_state INT, mean_steps DOUBLE")
+    return out.select("from_state", round_half_even("mean_steps", 8).alias("mean_steps"))
 
 
 @register("j7_actions", mon_sql(

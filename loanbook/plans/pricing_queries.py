@@ -190,6 +190,27 @@ def j3_sync(spark, d):
     return J.sync_by_id(a, b)[0]
 
 
+@register("j3_sync_other", with_loanbook(
+    f"SELECT id, loan_status FROM loanbook WHERE loan_status IN {in_list(K.ONGOING_STATUSES)} AND id IN (SELECT id FROM loanbook WHERE dti IS NOT NULL)"))
+def j3_sync_other(spark, d):
+    """The second table, cut to the ids of the first."""
+    lb = _lb(spark, d)
+    return J.sync_by_id(lb.filter(F.col("dti").isNotNull()).select("id", "dti"), FL.ongoing(lb).select("id", "loan_status"))[1]
+
+
+@register("j4_other_outputs", with_loanbook(
+    f"SELECT 'lgd' AS part, CAST(id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS purpose FROM loanbook WHERE loan_status IN {in_list(K.DEFAULTED_STATUSES)} "
+    f"AND id IN (SELECT id FROM loanbook WHERE {FINISHED_IN} AND dti > 10) "
+    f"UNION ALL SELECT 'score', CAST(id AS VARCHAR), purpose FROM loanbook WHERE loan_status IN {in_list(K.ONGOING_STATUSES)}"))
+def j4_other_outputs(spark, d):
+    """The LGD training rows cut to the PD ids, and the ongoing set as it is."""
+    lb = _lb(spark, d)
+    pd_train = FL.finished(lb, binary=False).filter("dti > 10").select("id", "loan_status", "dti")
+    _, lgd, score = J.sync_training(pd_train, FL.defaulted(lb).select("id"), FL.ongoing(lb).select("id", "purpose"))
+    return lgd.select(F.lit("lgd").alias("part"), "id", F.lit(None).cast("string").alias("purpose")).unionByName(
+        score.select(F.lit("score").alias("part"), "id", "purpose"))
+
+
 @register("j4_train_sync", with_loanbook(
     f"SELECT CAST(id AS VARCHAR) AS id, {LABEL_CASE} AS loan_status, dti FROM loanbook "
     f"WHERE {FINISHED_IN} AND dti IS NOT NULL AND id IN (SELECT id FROM loanbook "

@@ -295,7 +295,7 @@ def test_scenario_losses_converge_to_irb(spark):
     ul = tail.var - tot.expected_loss
     irb_k = tot.rwa_irb / (K.IRB_SCALING * K.IRB_MATURITY_SCALE * K.RWA_MULTIPLIER)
     assert abs(ul - irb_k) / irb_k < 3e-3
-    part = C.var_and_shortfall(C.scenario_losses(df, 100000, max_broadcast_cells=0)).first()
+    part = C.var_and_shortfall(C.scenario_losses(df, 100000, block=1)).first()
     assert abs(part.var - tail.var) < 1e-6 * tail.var
 
 
