@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanbook.llm.tables import kept, map_arrow
+from loanbook.llm.tables import forget, kept, map_arrow
 
 #: links united by a task
 TASK_LINKS = 250_000
@@ -51,8 +51,10 @@ def components(links: DataFrame) -> DataFrame:
         if tasks <= 1:
             last = map_arrow(links.coalesce(1), _unite, "a long, b long")
             break
-        local = kept(map_arrow(links.repartition(tasks), _unite, "a long, b long"), "local").where("a <> b").distinct()
+        united = kept(map_arrow(links.repartition(tasks), _unite, "a long, b long"), "local")
+        local = united.where("a <> b").distinct()
         both = kept(local.union(local.select("b", "a")), "both")
+        forget(links, united)
         parent = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
         up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         parent = kept(parent.join(up, "p").select("a", F.col("pp").alias("p")), "parent")
@@ -60,11 +62,16 @@ def components(links: DataFrame) -> DataFrame:
         of_a, of_b = parent.withColumnsRenamed({"p": "x"}), parent.withColumnsRenamed({"a": "b", "p": "y"})
         links = kept(both.join(of_a, "a").join(of_b, "b").where("x <> y")
                      .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
+        forget(both)
     last = last.withColumnsRenamed({"b": "p"})
     if not steps:
-        return kept(last.withColumnsRenamed({"a": "node", "p": "root"}), "roots")
+        roots = kept(last.withColumnsRenamed({"a": "node", "p": "root"}), "roots")
+        forget(links)
+        return roots
     roots = steps[0].withColumnsRenamed({"a": "node", "p": "root"})
     for step in [*steps[1:], last]:
         roots = (roots.join(step.withColumnsRenamed({"a": "root"}), "root", "left")
                  .select("node", F.coalesce("p", "root").alias("root")))
-    return kept(roots, "roots")
+    roots = kept(roots, "roots")
+    forget(links, *steps)
+    return roots

@@ -2,11 +2,16 @@
 
 Lines are the runs between line feeds that aren't blank. Every distinct line
 gets 125 MinHash values of its 5-character shingles, in 25 bands of 5: at a
-Jaccard similarity of 0.8 a pair shares a band with probability 0.99995, while
-unrelated lines hardly ever do. One changed character costs up to 5 shingles of
-each line, so lines from 49 characters on are still similar then. Lines that share a band are compared exactly
-(``linking``), links are united, and of each component only the first line
-(smallest document id, then place) stays.
+Jaccard similarity of 0.8 a pair shares a band with probability 0.99995. One
+changed character costs up to 5 shingles of each line, so lines from 49
+characters on are still similar then.
+
+Lines of one language often share a band without being similar. Before any
+text is compared, a line's number of shingles and a bit map of them bound the
+similarity from above (a bit that only one of two lines has stands for a
+shingle that the other lacks), and lines without a possible partner go. The others are
+compared exactly (``linking``), links are united, and of each component only
+the first line (smallest document id, then place) stays.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import _odd_constants, mix64, row_chunks, spans, span_hashes, separator_table, utf8
-from loanbook.llm.linking import checked, shared_entries, united
-from loanbook.llm.tables import kept, map_arrow, only, ship
+from loanbook.llm.linking import checked, promising, united
+from loanbook.llm.tables import forget, kept, map_arrow, only, ship, unused
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -28,8 +33,14 @@ BANDS, ROWS = 25, 5
 CACHED = 1 << 15
 #: groups of at most so many members are compared pair by pair, many groups at
 #: once (larger ones by marks; no effect on results), and so many keys at a time
-FEW, LOOKED_UP = 8, 1 << 20
+FEW, LOOKED_UP = 8, 1 << 18
 PERCENT = 80
+#: entries sorted at a time in a task, and about the bytes of text for a bucket of entries
+SORTED, BUCKET_BYTES = 1 << 22, 1 << 22
+#: lines of a task with one band key beyond which all but two are sent on without a count
+ALIKE = 8
+#: 64-bit words of a line's bit map
+MAP_WORDS = 16
 _BREAK = separator_table([(0x0A, 0x0A)])
 _MULTIPLY = (_odd_constants(101, BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 _ADD = (_odd_constants(202, BANDS * ROWS) >> np.uint64(32)).astype(np.uint32)
@@ -68,15 +79,24 @@ def char_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
     return mix64(h), first
 
 
-def line_sets(lines: list[str], width: int = 8) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each line."""
-    h, first = char_shingles(lines, width)
-    row = np.repeat(np.arange(len(lines)), np.diff(np.append(first, len(h))))
-    order = np.argsort(h)
-    order = order[np.argsort(row[order].astype(np.uint16 if len(lines) < 1 << 16 else np.int64), kind="stable")]  # by line, then hash
-    h, row = h[order], row[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
-    return np.split(h[new], np.cumsum(np.bincount(row[new], minlength=len(lines)))[:-1])
+#: bits of a shingle hash kept where a number stands beside it in one 64-bit key,
+#: and the lines sorted together (few enough for the processor's cache)
+HASH_BITS, SORTED_LINES = 48, 128
+
+
+def line_sets(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes (48 bits) of each line."""
+    out = []
+    for a in range(0, len(lines), SORTED_LINES):
+        some = lines[a:a + SORTED_LINES]
+        h, first = char_shingles(some, width)
+        row = np.repeat(np.arange(len(some), dtype=np.uint64), np.diff(np.append(first, len(h))))
+        key = (row << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
+        key.sort()
+        key = key[np.append(True, key[1:] != key[:-1])]
+        border = np.searchsorted(key, np.arange(1, len(some), dtype=np.uint64) << np.uint64(HASH_BITS))
+        out += np.split(key & np.uint64((1 << HASH_BITS) - 1), border)
+    return out
 
 
 def _signatures(lines: list[str]) -> np.ndarray:
@@ -163,19 +183,25 @@ def links_of_groups(nodes: list[int], roots: list[int], sides: list[int], sets:
     x, y = x[possible], y[possible]
     out = []
     if len(x):
-        used, at = np.unique(np.concatenate(sets), return_inverse=True)
-        stored = np.repeat(rows, size) * len(used) + at  # ascending: by set, then by key
+        stored = np.concatenate(sets)
         first = np.cumsum(size) - size
-        total = np.cumsum(size[y])
+        total = np.cumsum(size[x] + size[y])
         a = 0
-        while a < len(x):
-            b = max(a + 1, int(np.searchsorted(total, total[a] + LOOKED_UP, "right")))
-            many = size[y[a:b]]
-            start = np.cumsum(many) - many
-            keys = at[np.arange(int(many.sum())) + np.repeat(first[y[a:b]] - start, many)] + np.repeat(x[a:b], many) * len(used)
-            found = stored[np.minimum(np.searchsorted(stored, keys), len(stored) - 1)] == keys
+        while a < len(x):  # both sides of a pair get its number in front: two ascending rows of keys
+            b = min(max(a + 1, int(np.searchsorted(total, total[a] + LOOKED_UP, "right"))), a + (1 << (64 - HASH_BITS)))
+            number = np.arange(b - a, dtype=np.uint64) << np.uint64(HASH_BITS)
+
+            def keys(side, a=a, b=b, number=number):
+                many = size[side[a:b]]
+                start = np.cumsum(many) - many
+                at = np.arange(int(many.sum())) + np.repeat(first[side[a:b]] - start, many)
+                return stored[at] | np.repeat(number, many), many, start
+
+            left, n_left, _ = keys(x)
+            right, n_right, start = keys(y)
+            found = left[np.minimum(np.searchsorted(left, right), len(left) - 1)] == right
             overlap = np.add.reduceat(found.astype(np.int64), start)
-            hit = overlap * (100 + percent) >= percent * (many + size[x[a:b]])
+            hit = overlap * (100 + percent) >= percent * (n_left + n_right)
             out += zip(node[x[a:b][hit]].tolist(), node[y[a:b][hit]].tolist(), strict=True)
             a = b
     for k in np.flatnonzero(~single & ~few).tolist():
@@ -184,8 +210,39 @@ def links_of_groups(nodes: list[int], roots: list[int], sides: list[int], sets:
     return out
 
 
-def _bands(batches):
+def _bands(batches, spread):
+    """Band keys of the distinct lines of a task as sorted runs: the bucket
+    (leading ``spread`` bits), the next 32 bits of each key, the lines. Keys
+    that agree in these bits only make more candidates. Of many lines with one
+    key, two are enough to tell that the key is shared; the others go on as
+    rows with a ``salt``."""
     seen: set[int] = set()
+    held, number, amount = [], 0, 0
+
+    def out():
+        key = np.concatenate([h[0].reshape(-1) for h in held]) >> np.uint64(32 - spread)
+        node = np.concatenate([np.repeat(h[1], BANDS) for h in held])
+        order = np.argsort(key)
+        key, node = key[order], node[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(np.append(head, len(key)))
+        place = np.arange(len(key)) - np.repeat(head, many)
+        beyond = (place >= 2) & np.repeat(many > ALIKE, many)
+        hot = np.repeat(many > ALIKE, many)
+        columns = [], [], [], [], []
+        for rows, salt, cut_short in ((~hot, 0, False), (hot & ~beyond, 0, True), (beyond, number, True)):
+            k, n = key[rows], node[rows]
+            if not len(k):
+                continue
+            bucket = (k >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(cut, np.append(cut[1:], len(k)), strict=True):
+                for c, v in zip(columns, (int(bucket[a]), salt, cut_short, k[a:b].astype("<u4").tobytes(), n[a:b].tobytes()), strict=True):
+                    c.append(v)
+        return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.bool_()),
+                                pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())],
+                               names=["bucket", "salt", "hot", "keys", "nodes"])
+
     for batch in batches:
         data, offsets = utf8(batch.column(0))
         for i, j in row_chunks(offsets):
@@ -198,12 +255,80 @@ def _bands(batches):
             nodes, one = nodes[new], one[new]
             seen.update(nodes.tolist())
             bands = _signatures([chunk[starts[k]:ends[k]].tobytes().decode("utf-8", "replace") for k in one])
-            yield pa.record_batch([pa.array(bands.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes, BANDS))],
-                                  names=["key", "node"])
+            held.append((bands, nodes))
+            amount += bands.size
+            if amount >= SORTED:
+                number += 1
+                yield out()
+                held, amount = [], 0
+    if held:
+        number += 1
+        yield out()
+
+
+def _shared(batches):
+    """Entries (key, node, members) of the keys with several lines, from the
+    runs of a bucket, which stand together, and from the rows sent on.
+    ``members`` is a hash of the key's lines; a key of which rows were sent on
+    has one of its own."""
+    held, bucket = [], None
+
+    def out():
+        key, node, hot = (np.concatenate([h[c] for h in held]) for c in range(3))
+        order = np.lexsort((node, key))
+        key, node, hot = key[order], node[order], hot[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        hot = np.logical_or.reduceat(hot, np.flatnonzero(new))
+        key, node = key[new], node[new]
+        alike = key[1:] == key[:-1]
+        several = np.append(alike, False) | np.append(False, alike)
+        key, node, hot = key[several], node[several], hot[several]
+        if not len(key):
+            return rows(key, node, bucket)
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        many = np.diff(np.append(head, len(key)))
+        members = mix64(np.add.reduceat(mix64(node.view(np.uint64)), head) + many.astype(np.uint64))
+        own = mix64(key[head].astype(np.uint64) + (np.uint64(bucket) << np.uint64(32)))
+        return rows(key, node, bucket, np.repeat(np.where(np.logical_or.reduceat(hot, head), own, members), many))
+
+    def rows(key, node, b, members=None):
+        whole = key.astype(np.int64) + (b << 32)
+        if members is None:
+            members = mix64(whole.view(np.uint64))
+        return pa.record_batch([pa.array(whole), pa.array(node), pa.array(members.view(np.int64))], names=["key", "node", "members"])
+
+    for batch in batches:
+        for b, salt, hot, k, n in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            key, node = np.frombuffer(k, "<u4"), np.frombuffer(n, np.int64)
+            if salt:
+                yield rows(key, node, b)
+                continue
+            if b != bucket and held:
+                yield out()
+                held = []
+            bucket = b
+            held.append((key, node, np.full(len(key), hot)))
+    if held:
+        yield out()
+
+
+def _maps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of shingles, bit maps of them) of lines."""
+    size, maps = np.zeros(len(lines), np.int32), np.zeros((len(lines), MAP_WORDS), np.int64)
+    for a in range(0, len(lines), SORTED_LINES):
+        some = lines[a:a + SORTED_LINES]
+        h, first = char_shingles(some, SHINGLE)
+        many = np.diff(np.append(first, len(h)))
+        marks = np.zeros(len(some) * 64 * MAP_WORDS, bool)
+        marks[np.repeat(np.arange(len(some)) * (64 * MAP_WORDS), many) + (h & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64)] = True
+        size[a:a + len(some)] = many
+        maps[a:a + len(some)] = np.packbits(marks.reshape(len(some), -1), axis=1).view(np.int64)
+    return size, maps
 
 
 def _occurrences(batches, bits):
-    """Places of all lines; the text of lines that may be needed, once a task."""
+    """Places of all lines; the text, size and bit map of lines that may be
+    needed, once a task."""
     filter_, seen = bits.value, set()
     for batch in batches:
         data, offsets = utf8(batch.column(2))
@@ -213,18 +338,51 @@ def _occurrences(batches, bits):
             starts, ends, doc, number = _lines(chunk, off)
             nodes = span_hashes(chunk, starts, ends).view(np.int64)
             wanted = (filter_[(nodes % (8 * len(filter_))) >> 3] >> (nodes % 8).astype(np.uint8)) & 1
-            text = [None] * len(nodes)
+            first = []
             for k in np.flatnonzero(wanted).tolist():
                 if (n := int(nodes[k])) not in seen:
                     seen.add(n)
-                    text[k] = chunk[starts[k]:ends[k]].tobytes().decode("utf-8", "replace")
+                    first.append(k)
+            found = [chunk[starts[k]:ends[k]].tobytes().decode("utf-8", "replace") for k in first]
+            size, maps = _maps(found)
+            to = np.full(len(nodes), -1)
+            to[first] = np.arange(len(first))
+            to = pa.array(to, pa.int64(), mask=to < 0)
             at = pa.array(doc + i)
             yield pa.record_batch([ids.take(at), keys.take(at), pa.array(number, pa.int32()), pa.array(nodes),
-                                   pa.array(text, pa.string())], names=["doc_id", "doc_key", "line", "node", "text"])
+                                   pa.array(found, pa.string()).take(to), pa.array(size, pa.int32()).take(to),
+                                   *[pa.array(np.ascontiguousarray(maps[:, w])).take(to) for w in range(MAP_WORDS)]],
+                                  names=["doc_id", "doc_key", "line", "node", "text", "n", *_MAP])
+
+
+_MAP = [f"s{w}" for w in range(MAP_WORDS)]
 
 
-#: bits of the filter that keeps the text of most lines without partner off the shuffle
-FILTER_BITS = 1 << 23
+def _possible():
+    """Condition on entries x and y: their bit maps allow the similarity. A bit
+    that only x has stands for a shingle outside y. With n shingles (repeats
+    counted, so at least the distinct ones) and such bits a of x and b of y,
+    the similarity is at most (n - a) / (n + b)."""
+    def lacking(a, b):
+        return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{s}")))) for s in _MAP), F.lit(0))
+    a, b = lacking("x", "y"), lacking("y", "x")
+    return (((F.col("x.n") - a) * 100 >= (F.col("x.n") + b) * PERCENT) & ((F.col("y.n") - b) * 100 >= (F.col("y.n") + a) * PERCENT))
+
+
+#: bits for each line in the filter that keeps the text of most lines without partner
+#: out of the tables, and the most bits of it
+BITS_EACH, MOST_BITS = 16, 1 << 26
+
+
+def _needed_bits(needed: DataFrame) -> np.ndarray:
+    size = 1 << 10
+    while size < min(MOST_BITS, BITS_EACH * needed.count()):
+        size *= 2
+    bytes_ = (needed.groupBy(F.floor(F.pmod("node", F.lit(size)) / 8).alias("i"))
+              .agg(F.expr("bit_or(shiftleft(1, int(pmod(node, 8))))").alias("v")).toArrow())  # at most MOST_BITS / 8 numbers
+    bits = np.zeros(size // 8, np.uint8)
+    bits[bytes_["i"].to_numpy()] = bytes_["v"].to_numpy().astype(np.uint8)
+    return bits
 
 
 def line_components(rows: DataFrame) -> DataFrame:
@@ -232,50 +390,65 @@ def line_components(rows: DataFrame) -> DataFrame:
     line is the first of its component. ``rows``: doc_id, doc_key, text."""
     spark = rows.sparkSession
     ship(spark)
-    entries = shared_entries(map_arrow(rows.select("text"), _bands, "key long, node long"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    needed = entries.select("node").distinct()
-    bytes_ = (needed.groupBy(F.floor(F.pmod("node", F.lit(FILTER_BITS)) / 8).alias("i"))
-              .agg(F.expr("bit_or(shiftleft(1, int(pmod(node, 8))))").alias("v")).toArrow())  # at most FILTER_BITS / 8 numbers
-    bits[bytes_["i"].to_numpy()] = bytes_["v"].to_numpy().astype(np.uint8)
-    places = kept(map_arrow(rows, _occurrences, "doc_id long, doc_key long, line int, node long, text string",
-                            bits=spark.sparkContext.broadcast(bits)), "places")
-    texts = kept(places.where("text is not null").select("node", "text").dropDuplicates(["node"])
-                 .join(needed, "node", "left_semi"), "texts")
+    # as many buckets as keep each small: the tasks' share of entries stays the same at every size
+    spread = max(4, ((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES).bit_length())
+    runs = map_arrow(rows.select("text"), _bands, "bucket long, salt int, hot boolean, keys binary, nodes binary", spread=spread)
+    runs = runs.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt")
+    shared = kept(map_arrow(runs, _shared, "key long, node long, members long"), "shared")
+    # similar lines share many keys: of the keys with the same lines, one is enough
+    one = shared.groupBy("members").agg(F.min("key").alias("key")).select("key")
+    needed = shared.select("node").distinct()
+    places = kept(map_arrow(rows, _occurrences, "doc_id long, doc_key long, line int, node long, text string, n int, "
+                            + ", ".join(f"{s} long" for s in _MAP), bits=spark.sparkContext.broadcast(_needed_bits(needed))), "places")
+    maps = kept(places.where("text is not null").select("node", "n", *_MAP).dropDuplicates(["node"]), "maps")
+    entries = promising(kept(shared.join(one, "key", "left_semi").join(maps, "node").select("key", "node", "n", *_MAP), "entries"), _possible())
+    forget(shared)
+    texts = kept(places.where("text is not null").select("node", "text")
+                 .join(entries.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     def verify(groups: DataFrame) -> DataFrame:
         return checked(groups, texts, functools.partial(line_sets, width=SHINGLE), PERCENT, links_of_groups)
 
-    roots = united(entries, verify)
+    def sift(pairs: DataFrame) -> DataFrame:
+        x, y = maps.alias("x"), maps.alias("y")
+        return (pairs.join(x, F.col("x.node") == pairs["node"]).join(y, F.col("y.node") == pairs["hub"]).where(_possible())
+                .select(pairs["hub"], pairs["node"]))
+
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
+    roots = united(entries.select("key", "node", "n"), verify, size_class, sift=sift)
+    forget(texts, entries, maps)
     where = F.struct("doc_id", "doc_key", "line")
     nodes = places.groupBy("node").agg(F.min(where).alias("__first"), F.count(F.lit(1)).alias("__n"))
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = grouped.groupBy("root").agg(F.min("__first").alias("__first"), F.sum("__n").alias("__n")).where("__n > 1")
     repeated = kept(grouped.drop("__first", "__n").join(first, "root").select("node", "__first"), "repeated")
-    marked = places.drop("text").join(repeated, "node", "left")
+    marked = places.select("doc_id", "doc_key", "line", "node").join(repeated, "node", "left")
     return marked.select("doc_id", "doc_key", "line",
                          (F.col("__first").isNull() | (F.col("__first") == where)).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, lines: str = "__lines", dropped: str = "__dropped") -> DataFrame:
     """The rows and columns of ``docs`` with ``text`` cut down to its kept
-    lines, and the columns ``__lines``, ``__dropped`` (lines that aren't blank,
-    and those dropped).
+    lines, and two columns more: ``lines`` and ``dropped`` (lines that aren't
+    blank, and those of them dropped).
 
     Blank lines stay. A null text stays null and an empty one empty; a text
     without dropped lines is unchanged byte for byte. Of equal or similar
     lines the first by (doc_id, text hash, line number) stays, null ids first.
     Rows that repeat an id and a text are one document and keep the same
-    lines. An empty table gives an empty result; further columns pass through.
+    lines. An empty table gives an empty result; further columns pass through,
+    but for columns that have the names of the two new ones: these give way.
     """
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("doc_key"), "text")
-    lines = line_components(rows)
-    per_doc = (lines.distinct().groupBy("doc_id", "doc_key")
-               .agg(F.count(F.lit(1)).alias("__lines"), F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__drop"))
-               .withColumnsRenamed({"doc_id": "__id", "doc_key": "__key"}))
-    kept_text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
-    return (docs.join(per_doc, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left")
-            .withColumn("text", F.when(F.size("__drop") > 0, kept_text).otherwise(F.col("text")))
-            .withColumn("__dropped", F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long"))
-            .withColumn("__lines", F.coalesce("__lines", F.lit(0)).cast("long"))
-            .drop("__id", "__key", "__drop"))
+    found = line_components(rows)
+    docs = docs.drop(lines, dropped)
+    id_, key, drop = unused(docs, "__id", "__key", "__drop")
+    per_doc = (found.distinct().groupBy("doc_id", "doc_key")
+               .agg(F.count(F.lit(1)).alias(lines), F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias(drop))
+               .withColumnsRenamed({"doc_id": id_, "doc_key": key}))
+    kept_text = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(drop, i)), "\n")
+    return (docs.join(per_doc, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
+            .withColumn("text", F.when(F.size(drop) > 0, kept_text).otherwise(F.col("text")))
+            .withColumn(dropped, F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long"))
+            .withColumn(lines, F.coalesce(lines, F.lit(0)).cast("long"))
+            .drop(id_, key, drop))

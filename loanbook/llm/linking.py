@@ -12,6 +12,7 @@ of a group is ever made.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loanbook.llm.components import components
 from loanbook.llm.prefix_tree import block_links
-from loanbook.llm.tables import kept, map_arrow
+from loanbook.llm.tables import forget, kept, map_arrow
 
 #: members in a block of a bag
 BLOCK = 512
@@ -48,49 +49,64 @@ def shared_entries(entries: DataFrame, possible: Column | None = None) -> DataFr
     for c in rest:
         wanted = wanted | F.col(f"__{c}").isNull()
     shared = kept(dealt.join(several.where(wanted).select("key").hint("shuffle_hash"), "key"), "entries")
-    if possible is None:
-        return shared
+    return shared if possible is None else promising(shared, possible)
+
+
+def promising(shared: DataFrame, possible: Column) -> DataFrame:
+    """The rows of a kept table (key, node, ...) with a possible partner of
+    the same key; the table itself goes."""
     met = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & possible
-    return kept(shared.alias("x").join(shared.alias("y"), met, "left_semi"), "entries")
+    out = kept(shared.alias("x").join(shared.alias("y"), met, "left_semi"), "entries")
+    forget(shared)
+    return out
 
 
 def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
-           class_of: Column | None = None, possible: Column | None = None) -> DataFrame:
+           class_of: Column | None = None, possible: Column | None = None,
+           sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of all nodes with a link. ``entries`` come from
     ``shared_entries``; ``verify`` takes groups (bag, i, j, node, root, side)
     and returns the links (a, b) between the rows of side 1 and 0 of a group,
     or among those of side 2; ``class_of`` splits a key among leaders;
-    ``possible`` is a condition on the aliases x and y of two entries."""
+    ``possible`` is a condition on the aliases x and y of two entries; ``sift``
+    takes pairs (hub, node) and leaves out ones that can't be links."""
     columns = entries.columns
     every = entries.withColumn("__class", F.lit(0) if class_of is None else class_of)
     e = every.withColumn("root", F.col("node"))
-    links, met = None, F.col("x.root") != F.col("y.root")
+    founds, met = [], F.col("x.root") != F.col("y.root")
     if possible is not None:
         met = met & possible
     for turn in range(LEADER_ROUNDS):
         leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)), *columns, "root")).alias("__l")
         leaders = e.groupBy(F.col("key").alias("__k"), F.col("__class").alias("__c")).agg(leader)
         leaders = leaders.select("__c", *[F.col(f"__l.{c}") for c in columns], "__l.root")
-        pairs = kept(e.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key"))
-                                       & (F.col("x.__class") == F.col("y.__c")) & met)
-                     .select(F.col("y.node").alias("hub"), F.col("x.node").alias("node")).distinct(), "pairs")
-        found = kept(verify(hub_groups(pairs)), "found")
-        links = found if links is None else links.union(found)
-        roots = components(links)
-        e = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = (e.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
+        pairs = (e.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.__class") == F.col("y.__c")) & met)
+                 .select(F.col("y.node").alias("hub"), F.col("x.node").alias("node")).distinct())
+        pairs = kept(pairs if sift is None else sift(pairs), "pairs")
+        founds.append(kept(verify(hub_groups(pairs)), "found"))
+        roots = components(functools.reduce(DataFrame.union, founds))
+        # a key whose lines are united stays so: only the others go on
+        told = e.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = (told.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
                  .where("__lo <> __hi").select("key"))
-        e = kept(e.join(mixed, "key"), "mixed")
-        if found.count() * ENOUGH_LINKS < pairs.count():
+        before, e = e, kept(told.join(mixed, "key"), "mixed")
+        enough = founds[-1].count() * ENOUGH_LINKS < pairs.count()
+        forget(pairs, before)
+        if enough:
             break
     if possible is not None:
-        e = kept(e.alias("x").join(e.alias("y"), (F.col("x.key") == F.col("y.key")) & met, "left_semi"), "mixed")
+        before, e = e, kept(e.alias("x").join(e.alias("y"), (F.col("x.key") == F.col("y.key")) & met, "left_semi"), "mixed")
+        forget(before)
     bags = (e.join(e.groupBy(F.col("key").alias("__k")).agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("__l")),
                    F.col("key") == F.col("__k")).select(F.col("__l.node").alias("bag"), "node", "root").distinct())
-    found = kept(verify(block_groups(kept(bags, "bags"))), "found")
-    if found.isEmpty():
-        return roots
-    return components(links.union(found))
+    bags = kept(bags, "bags")
+    forget(e)
+    founds.append(kept(verify(block_groups(bags)), "found"))
+    if not founds[-1].isEmpty():
+        before, roots = roots, components(functools.reduce(DataFrame.union, founds))
+        forget(before)
+    forget(bags, *founds)
+    return roots
 
 
 def _checked(batches, sets_of, percent: int, compare):
@@ -98,7 +114,7 @@ def _checked(batches, sets_of, percent: int, compare):
     key, held, begins, amount = None, ([], [], [], []), [], 0
 
     def links():
-        return compare(*held[:3], sets_of(held[3]), begins, percent)
+        return _spanning(compare(*held[:3], sets_of(held[3]), begins, percent), dict(zip(held[0], held[1], strict=True)))
 
     for batch in batches:
         out = []
@@ -122,6 +138,26 @@ def _checked(batches, sets_of, percent: int, compare):
         yield _link_batch(links())
 
 
+def _spanning(links: list[tuple[int, int]], root: dict[int, int]) -> list[tuple[int, int]]:
+    """The links that unite something yet apart: among near copies a few, not
+    one for every pair, and with the same components."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for a, b in links:
+        x, y = find(root[a]), find(root[b])
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
+    return out
+
+
 def tree_links(nodes: list[int], roots: list[int], sides: list[int], sets: list[np.ndarray], begins: list[int], percent: int) -> list[tuple[int, int]]:
     """Links of groups that begin at ``begins``, by a prefix tree per group."""
     out = []

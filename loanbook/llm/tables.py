@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,18 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of ``kept`` results that nothing reads any more."""
+    for df in frames:
+        if (at := getattr(df, "_kept_at", None)) is not None:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:
@@ -57,7 +70,34 @@ def ship(spark: SparkSession) -> None:
     sc._loanbook_shipped = True
 
 
-def map_arrow(df: DataFrame, worker, schema: str, **fixed) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers are reused, and what
+    one operator's task has freed would else be held beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _task(batches, worker, fixed):
+    try:
+        yield from worker(batches, **fixed)
+    finally:
+        _give_back()
+
+
+def map_arrow(df: DataFrame, worker, schema, **fixed) -> DataFrame:
     """``mapInArrow`` of a task function with its parameters bound."""
     ship(df.sparkSession)
-    return df.mapInArrow(functools.partial(worker, **fixed), schema)
+    return df.mapInArrow(functools.partial(_task, worker=worker, fixed=fixed), schema)

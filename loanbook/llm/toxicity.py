@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import PUNCTUATED, lower_ascii, row_chunks, span_hashes, spans, utf8
-from loanbook.llm.tables import map_arrow, only, ship
+from loanbook.llm.tables import map_arrow, only
 
 #: most confirmed toxic and most unlabelled documents that training reads
 POSITIVES, UNLABELLED = 3000, 9000
@@ -179,5 +179,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scores = np.concatenate([b.column(1).to_numpy() for b in _scored([two], sent)])
             yield batch.filter(pa.array(scores < 0.5))
 
-    ship(docs.sparkSession)
-    return docs.mapInArrow(keep, kinds)
+    return map_arrow(docs, keep, kinds)
