@@ -1,8 +1,12 @@
 """Exact dedup: groups by a 128-bit content hash, checked byte by byte. Native.
 
-Main path: DataFrame functions only. Texts cross no shuffle unless their hash
-occurs more than once. Rows meet by (hash, text where the hash collides), so
-two different texts of one hash never share a group.
+Main path: DataFrame functions only. The hashes that occur more than once, and
+of these the ones with different texts, are written first: so their size is
+known when the rows meet them. While they are few, the rows meet them without
+a shuffle, and texts cross one only inside groups, as the smallest and largest
+of each map task; else the rows are shuffled by their hash. Rows meet by (hash,
+text where the hash collides), so two different texts of one hash never share a
+group.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanbook.llm.tables import only
+from loanbook.llm.tables import kept, only, unused
 
 
 def hash128(text: Column) -> Column:
@@ -35,12 +39,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = only(docs, id_col, text_col).toDF("doc_id", "__text").select(
         "doc_id", text.alias("__text"), hash128(text).alias("__h"))
     # hashes that occur more than once, from the hash column alone
-    repeated = rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
+    repeated = kept(rows.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h"), "repeated")
     # byte comparison inside groups: the smallest and the largest text of a
     # hash are equal only if all are; one text per map task and hash travels
-    collided = (rows.join(repeated, "__h", "left_semi").groupBy("__h")
-                .agg(F.min("__text").alias("__lo"), F.max("__text").alias("__hi"))
-                .where("__lo <> __hi").select("__h", F.lit(True).alias("__c")))
+    collided = kept(rows.join(repeated, "__h", "left_semi").groupBy("__h")
+                    .agg(F.min("__text").alias("__lo"), F.max("__text").alias("__hi"))
+                    .where("__lo <> __hi").select("__h", F.lit(True).alias("__c")), "collided")
     keyed = (rows.join(collided, "__h", "left")
              .select("doc_id", "__h", F.when(F.col("__c"), F.col("__text")).alias("__variant"),
                      F.unhex(F.sha2("__text", 256)).alias("__sha")))
@@ -54,6 +58,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = (exact_groups(docs, id_col, text_col, keep).where("kept")
-            .select(F.col("doc_id").alias("__keep")).distinct())
-    return docs.join(stay, docs[f"`{id_col}`"].eqNullSafe(F.col("__keep")), "left_semi")
+    name, = unused(docs, "__keep")
+    stay = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, docs[f"`{id_col}`"].eqNullSafe(F.col(name)), "left_semi")
