@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import SPACES, row_chunks, spans, utf8
-from loanbook.llm.tables import kept, map_arrow, only, ship
+from loanbook.llm.tables import kept, map_arrow, only, ship, unused
 from loanbook.operators.sampling import dense_index
 
 #: most rows of a flight's block
@@ -130,28 +131,24 @@ def _uniform(draw: np.ndarray) -> np.ndarray:
     return (draw.astype(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def _fly(group: pa.Table, last: bool) -> pa.Table:
+def _fly(group: pa.Table) -> pa.Table:
+    """Flight of one block; of a source's only block, the landing too."""
+    last = group["__last"][0].as_py()
+    group = group.take(pc.sort_indices(group, [("draw", "ascending"), ("doc_id", "ascending"), ("size", "ascending")]))  # as shuffled before
     rows = group["rows"].to_numpy().astype(object)
     words = group["size"].to_numpy().astype(object) * rows  # exact integers
     words_f, rows_f = words.astype(np.float64), rows.astype(np.float64)
     p, draw = group["p"].to_numpy().copy(), _uniform(group["draw"].to_numpy())
     fly = np.ones(len(p), dtype=bool)
-    if last:  # a few units wait for the landing, so that their words can meet the total
-        fly[np.argsort(draw, kind="stable")[:LANDING_UNITS]] = False
+    if last:  # a few small units wait for the landing, so that their words can meet the total
+        undecided = np.flatnonzero((p > _EPS) & (p < 1 - _EPS) & (words_f > 0))
+        fly[undecided[np.lexsort((draw[undecided], words_f[undecided]))[:LANDING_UNITS]]] = False
     p[fly] = flight(words_f[fly], rows_f[fly], p[fly], draw[fly])
     if last:
         p = land(words_f, rows_f, p)
     return group.set_column(group.schema.get_field_index("p"), "p", pa.array(p))
 
 
-def _fly_on(group: pa.Table) -> pa.Table:
-    return _fly(group, False)
-
-
-def _fly_out(group: pa.Table) -> pa.Table:
-    return _fly(group, True)
-
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES, seed: int = 17,
         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken for every row.
@@ -178,19 +175,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
     while True:
         counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("__n"))
         blocks = counts.select(F.col("source").alias("__s"), F.ceil(F.col("__n") / block_rows).alias("__blocks"))
-        most_blocks = blocks.agg(F.max("__blocks")).first()[0] or 0
         block = F.pmod(F.xxhash64(F.lit(seed + 1 + level), "draw"), F.col("__blocks"))
         moved = (units.join(blocks, F.col("source").eqNullSafe(F.col("__s")))
-                 .withColumn("__block", block).drop("__s", "__blocks"))
+                 .withColumn("__block", block).withColumn("__last", F.col("__blocks") <= 1).drop("__s", "__blocks"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moved.schema)
-        flown = kept(moved.groupBy("source", "__block")
-                     .applyInArrow(_fly_out if most_blocks <= 1 else _fly_on, schema).drop("__block"), "flight")
-        if most_blocks <= 1:
-            done.append(flown)
+        # a source of one block lands now, whatever the other sources still have to do
+        flown = kept(moved.groupBy("source", "__block").applyInArrow(_fly, schema).drop("__block"), "flight")
+        open_ = ~F.col("__last") & (F.col("p") > 0) & (F.col("p") < 1)
+        done.append(flown.where(~open_).drop("__last"))
+        units, level = flown.where(open_).drop("__last"), level + 1
+        if units.isEmpty():
             break
-        undecided = (F.col("p") > 0) & (F.col("p") < 1)
-        done.append(flown.where(~undecided))
-        units, level = flown.where(undecided), level + 1
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
@@ -206,9 +201,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = (mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__copies"))
               .withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"}))
     columns = docs.columns
+    words, copy, id_, source, size_, copies = unused(docs, "__words", "__copy", "__id", "__source", "__size", "__copies")
+    chosen = chosen.withColumnsRenamed({"__id": id_, "__source": source, "__size": size_, "__copies": copies})
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.withColumn("__words", size)
-    met = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-           & (F.col("__words") == F.col("__size")))
-    return (rows.join(chosen, met).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rows = docs.withColumn(words, size)
+    met = (F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
+           & (F.col(words) == F.col(size_)))
+    return (rows.join(chosen, met).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
             .select(*[F.col(f"`{c}`") for c in columns]))
