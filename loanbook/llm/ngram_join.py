@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import SPACES, lower_ascii, row_chunks, shingle_hashes, span_hashes, spans, utf8
+from loanbook.llm.components import components
 from loanbook.llm.linking import checked, shared_entries, united
-from loanbook.llm.tables import kept, map_arrow, only, ship
+from loanbook.llm.tables import kept, map_arrow, only, ship, unused
 
 WIDTH = 5
 #: similarity in hundredths
@@ -216,6 +217,12 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     roots = united(entries, verify, size_class, possible)
     classes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("__first"))
+    # rows that repeat an id are one document: their sets are linked
+    several = (documents.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
+               .agg(F.min("node").alias("a"), F.max("node").alias("__hi")).where("a <> __hi").select("doc_id", "a"))
+    own = kept(documents.where("n > 0").select("doc_id", F.col("node").alias("b")).join(several, "doc_id").select("a", "b"), "own")
+    if not own.isEmpty():
+        roots = components(own.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     labelled = kept(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classes")
     smallest = labelled.groupBy("root").agg(F.min("__first").alias("component_id"))
     of_node = labelled.join(smallest, "root").select("node", "component_id")
@@ -226,7 +233,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, with
-    all their columns."""
+    all their columns. Rows that repeat an id stay or go together; rows with a
+    null id or without words always stay."""
+    name, = unused(docs, "__drop")
     drop = (ngram_components(docs, **options).where("doc_id <> component_id")
-            .select(F.col("doc_id").alias("__drop")).distinct())
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("__drop"), "left_anti")
+            .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(drop, docs["doc_id"].cast("long") == F.col(name), "left_anti")
