@@ -11,6 +11,7 @@ they stand whole.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -160,8 +161,25 @@ class Scanner:
         if size >= LONG_MATCH:
             matches.append((first + len(ids), size, v))
 
+    def _chain(self, parts: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+        """(covered words, first word) of the best chain up to each part (end, place in the template, words)."""
+        best: list[tuple[int, int]] = []
+        for i, (end, at, size) in enumerate(parts):
+            covered, first = size, end - size
+            for j in range(i - 1, -1, -1):
+                e, a, _ = parts[j]
+                if end - e > GAP + size:
+                    break
+                fresh = min(size, end - e, at - a)
+                if fresh > 0 and at - a - fresh <= GAP and best[j][0] + fresh > covered:
+                    covered, first = best[j][0] + fresh, best[j][1]
+            best.append((covered, first))
+        return best
+
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """(first word, word behind the last, text, covered share) of the best chain of each template."""
+        """(first word, word behind the last, text, covered share): of each
+        template every chain that covers ``COVERED`` of it and doesn't overlap
+        a better one of the same template, or else its best chain."""
         by_text: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, v in matches:
             for k, at in self.ends[v]:
@@ -169,33 +187,46 @@ class Scanner:
                     by_text.setdefault(k, []).append((end, at, size))
         out = []
         for k, parts in by_text.items():
-            best: list[tuple[int, int]] = []  # (covered words, first word) of the best chain up to each part
-            for i, (end, at, size) in enumerate(parts):
-                covered, first = size, end - size
-                for j in range(i - 1, -1, -1):
-                    e, a, _ = parts[j]
-                    if end - e > GAP + size:
-                        break
-                    fresh = min(size, end - e, at - a)
-                    if fresh > 0 and at - a - fresh <= GAP and best[j][0] + fresh > covered:
-                        covered, first = best[j][0] + fresh, best[j][1]
-                best.append((covered, first))
-            i = max(range(len(parts)), key=lambda x: (best[x][0], -x))
-            out.append((best[i][1], parts[i][0], k, best[i][0] / len(self.texts[k])))
+            whole, found, top = len(self.texts[k]), [], None
+            open_ = [parts]
+            while open_:  # chains are looked for anew between the ones found
+                left = []
+                for some in open_:
+                    best = self._chain(some)
+                    order = sorted(range(len(some)), key=lambda x, best=best: (-best[x][0], x))
+                    if top is None:
+                        top = (best[order[0]][1], some[order[0]][0], k, best[order[0]][0] / whole)
+                    own: list[tuple[int, int]] = []
+                    for i in order:
+                        covered, first = best[i]
+                        if covered < COVERED * whole:
+                            break
+                        at = bisect.bisect(own, (first, some[i][0]))
+                        if (at == 0 or own[at - 1][1] <= first) and (at == len(own) or some[i][0] <= own[at][0]):
+                            own.insert(at, (first, some[i][0]))
+                            found.append((first, some[i][0], k, covered / whole))
+                    if own:
+                        gaps = zip([0, *[e for _, e in own]], [*[f for f, _ in own], some[-1][0] + 1], strict=True)
+                        left += [[p for p in some if p[0] - p[2] >= x and p[0] <= y] for x, y in gaps]
+                open_ = [p for p in left if p]
+            out += sorted(found) or [top]
         return out
 
 
-_SCANNERS: dict[str, Scanner] = {}
+_SCANNERS: dict[tuple, Scanner] = {}
 
 
-def scanner() -> Scanner:
-    if "default" not in _SCANNERS:
-        _SCANNERS["default"] = Scanner(PHRASES, TEMPLATES)
-    return _SCANNERS["default"]
+def scanner(phrases: dict[str, str], templates: dict[str, str]) -> Scanner:
+    """The worker's scanner of these texts; the last one stays."""
+    key = (tuple(phrases.items()), tuple(templates.items()))
+    if key not in _SCANNERS:
+        _SCANNERS.clear()
+        _SCANNERS[key] = Scanner(phrases, templates)
+    return _SCANNERS[key]
 
 
-def _scanned(batches, with_spans: bool):
-    s = scanner()
+def _scanned(batches, with_spans: bool, phrases: dict[str, str], templates: dict[str, str]):
+    s = scanner(phrases, templates)
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         for i, j in row_chunks(offsets):
@@ -236,7 +267,8 @@ def _scanned(batches, with_spans: bool):
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("covered", pa.float64())]))
 
 
-def scan(docs: DataFrame, with_spans: bool = True) -> DataFrame:
+def scan(docs: DataFrame, with_spans: bool = True, templates: dict[str, str] | None = None,
+         phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base (places of whole
     phrases), first_word and last_word (smallest and largest start of those,
     else null), base_labels and labels (sorted, comma-joined, '' for none),
@@ -249,4 +281,5 @@ def scan(docs: DataFrame, with_spans: bool = True) -> DataFrame:
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
               "score double" + ", spans array<struct<label: string, first: bigint, end: bigint, covered: double>>" * with_spans)
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return map_arrow(rows, _scanned, schema, with_spans=with_spans)
+    return map_arrow(rows, _scanned, schema, with_spans=with_spans, phrases=PHRASES if phrases is None else phrases,
+                     templates=TEMPLATES if templates is None else templates)
