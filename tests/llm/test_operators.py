@@ -187,12 +187,14 @@ def test_op5_is_native(docs):
 def test_op6(spark, rows, docs, empty):
     rng = np.random.default_rng(7)
     lines = [_text(rng, 20) for _ in range(30)]
+    lines += [x[:40] + "#" + x[41:] for x in lines[10:20]]  # one character changed
     lines += [x + " w1" for x in lines[:10]] + ["short", "tiny", "ab"]
     some = [(k, "\n".join(rng.choice(lines, 6)) + "\n\n", "en", "a", 1, None) for k in range(20)] + [(None, lines[0], "en", None, 1, None)]
     d = spark.createDataFrame(some, DOCS)
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
     every = [(-1 if k is None else k, n, x) for k, t, *_ in some for n, x in enumerate(t.split("\n")) if x.strip()]
-    shingles = {x: {x[i:i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in every}
+    w = line_dedup.SHINGLE
+    shingles = {x: {x[i:i + w] for i in range(max(1, len(x) - w + 1))} for _, _, x in every}
     names = sorted(shingles)
     comp = {x: x for x in names}
     for a in names:
@@ -405,7 +407,7 @@ def test_line_links_of_many_groups():
 def test_line_sets_hold_the_shingles_of_each_line():
     lines = ["abcdefgh", "abc", "abcdefghabcdefgh", "é" * 30, "x", "abcdefghi", "abc"]
     sets = line_dedup.line_sets(lines)
-    grams = [{t[i:i + 8] for i in range(max(1, len(t) - 7))} for t in lines]
+    grams = [{t[i:i + line_dedup.SHINGLE] for i in range(max(1, len(t) - line_dedup.SHINGLE + 1))} for t in lines]
     assert [len(s) for s in sets] == [len(g) for g in grams]
     for i, g in enumerate(grams):
         assert (np.diff(sets[i].astype(object)) > 0).all()

@@ -244,3 +244,100 @@ def test_chat_has_no_python_in_its_plan(spark, log):
     df = spark.createDataFrame([(*r, "clash", "clash") for r in log[:10]], LOG)
     plan = chat.digests(chat.render(chat.fold(df)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# ---- clashing names, repeated ids, sources of any size
+
+CLASH = ["__id", "__key", "__drop", "__lines", "__dropped", "__keep", "__words", "__copy", "__source", "__size", "__copies", "__DROP", "node", "key"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    rows = [(k, f"first line of text number {k % 7} stands here for all to see\nsecond line {k} alone", "en", ["a", "b", None][k % 3], 9,
+             *[f"{n}{k}" for n in range(len(CLASH) - 1)]) for k in range(40)]
+    names = [c for c in CLASH if c != "__DROP"]  # one table can't hold both cases
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+
+
+def test_helper_columns_never_clash(spark, clashing):
+    from loanbook.llm import exact_dedup, line_dedup, mixing, ngram_join
+    plain = clashing.select("doc_id", "text", "lang", "source", "n_chars")
+    extra = [c for c in clashing.columns if c not in plain.columns]
+    before = {r.doc_id: tuple(r[c] for c in extra) for r in clashing.collect()}
+
+    def same(whole, bare, columns):
+        w, b = whole.collect(), bare.collect()
+        assert sorted((r.doc_id, r.text) for r in w) == sorted((r.doc_id, r.text) for r in b)
+        assert all(tuple(r[c] for c in columns) == tuple(before[r.doc_id][extra.index(c)] for c in columns) for r in w)
+
+    same(exact_dedup.exact_dedup(clashing), exact_dedup.exact_dedup(plain), extra)
+    same(ngram_join.near_dedup(clashing), ngram_join.near_dedup(plain), extra)
+    mixed = mixing.mixed_documents(clashing)
+    assert mixed.columns == clashing.columns
+    same(mixed, mixing.mixed_documents(plain), extra)
+    lines = line_dedup.dedup_lines(clashing, "n lines", "n dropped")
+    same(lines, line_dedup.dedup_lines(plain, "n lines", "n dropped"), extra)
+    replaced = line_dedup.dedup_lines(clashing)  # the two named columns give way
+    assert sorted(replaced.columns) == sorted(clashing.columns)
+    assert dict(replaced.dtypes)["__lines"] == "bigint"
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    from loanbook.llm import ngram_join
+    rng = random.Random(12)
+    a, b = (" ".join(rng.choices([f"v{k}" for k in range(300)], k=80)) for _ in range(2))
+    rows = [(5, a), (5, b), (3, a + " tail"), (9, b + " tail"), (7, "own words only here"), (7, None), (None, a)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r.doc_id, r.component_id) for r in ngram_join.ngram_components(d).collect()]
+    assert len(out) == len(rows) and {c for i, c in out if i in (3, 5, 9, None)} == {3} and {c for i, c in out if i == 7} == {7}
+    assert sorted(r.doc_id for r in ngram_join.near_dedup(d).collect() if r.doc_id is not None) == [3, 7, 7]
+
+
+def test_mix_of_a_source_does_not_depend_on_the_size_of_another(spark):
+    from loanbook.llm import mixing
+    rng = random.Random(4)
+    small = [(k, " ".join(["w"] * rng.choice([1, 3, 50, 400])), "a") for k in range(60)]
+    more = [(1000 + k, "w " * rng.randint(1, 9), "b") for k in range(300)]
+
+    total = sum(len(t.split()) for _, t, _ in more)
+    few = [(1000, "w " * (total - 7), "b"), (1001, "w " * 7, "b")]
+
+    def taken(rows):  # blocks of 64 units: the many rows of source b need several, source a one
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(df, weights=(1,), block_rows=64).collect()
+        assert all(r.copies <= 3 and r.taken == r.copies * r["size"] for r in out)
+        return {r.doc_id: r.copies for r in out if r.source == "a"}, out
+
+    one, out = taken(small + more)
+    two, _ = taken(small + few)
+    assert one == two
+    for s in "ab":
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10
+
+
+# ---- every covered span, given templates
+
+def test_license_spans_of_repeated_texts_and_given_templates(spark):
+    from loanbook.llm import license_scan
+    words = license_scan.words_of
+    mit, apache = license_scan.TEMPLATES["mit"], license_scan.TEMPLATES["apache-2"]
+    filler = " ".join(f"filler{k}" for k in range(60))
+    half = " ".join(words(mit)[: len(words(mit)) // 3])
+    broken = " ".join(w for k, w in enumerate(words(mit)) if k % 17)  # a word lost here and there
+    texts = [f"{mit} {filler} {mit} {apache}", " ".join([mit] * 40), f"{filler} {broken} {filler}", half, f"{mit} {broken}", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    n, m, f = len(words(mit)), len(words(apache)), 60
+
+    def spans(k):
+        return [(s.label, s.first, s.end) for s in got[k].spans if s.label == "mit" or k == 0]
+
+    assert spans(0) == [("mit", 0, n), ("mit", n + f, n + f + n), ("apache-2", 2 * n + f, 2 * n + f + m)] or sorted(spans(0)) == sorted(
+        [("mit", 0, n), ("mit", n + f, n + f + n), ("apache-2", 2 * n + f, 2 * n + f + m)])
+    assert spans(1) == [("mit", k * n, (k + 1) * n) for k in range(40)]
+    assert len(spans(2)) == 1 and spans(2)[0][1] >= f and got[2].labels == "mit"
+    assert spans(3) == [] and 0 < got[3].score < license_scan.COVERED
+    assert len(spans(4)) == 2 and got[5].spans == [] and got[6].n_words == 0
+    own = license_scan.scan(df.where("doc_id = 0"), templates={"mine": " ".join(f"filler{k}" for k in range(20, 40))}, phrases={"filler1 filler2": "two"}).first()
+    assert own.labels == "mine,two" and [(s.label, s.first, s.end) for s in own.spans] == [("mine", n + 20, n + 40)] and own.n_base == 1
