@@ -23,6 +23,7 @@ HEADLINE = [
     "c14_null_policy", "c16_review_clean", "q5_loss_profit", "a1_kpis", "j2_compile",
     "d1_matrix", "w1_top_exposure", "a3_sweep", "p1_sample", "p4_strata", "p7_disjoint",
     "m4_woe", "q8_selection",
+    "m1_ordinal", "m2_onehot", "m3_fit_bins", "m4_fitted", "m8_calibrated", "c15_model_impute", "j6_financials", "a9_metrics", "d4_economic_lgd",
 ]
 
 

@@ -85,20 +85,30 @@ def gbt(features: list[str], label: str = "label", max_depth: int = 4, max_iter:
                                             handleInvalid="keep"), g])
 
 
+def boosted(features: list[str], label: str, p: dict, seed: int = 42) -> Pipeline:
+    """M9: boosted trees of one trial. Row and column shares, depth, step and
+    rounds are the trial's; the two leaf penalties of the original library
+    (``lambda``, ``alpha``) have no counterpart here and are left out."""
+    g = GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxDepth=p["max_depth"],
+                      maxIter=p.get("n_estimators", 1000), stepSize=p["learning_rate"], subsamplingRate=p["subsample"],
+                      featureSubsetStrategy=str(float(p["colsample_bytree"])), seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), g])
+
+
 def with_sentinel(df: DataFrame, cols: list[str], value: float = -1.0) -> DataFrame:
     return df.fillna(value, subset=cols)
 
 
 # ------------------------------------------------------------ M7 / M14
 def lgd_forest(categorical: list[str], label: str = "lgd", num_trees: int = 50,
-               max_depth: int = 6, seed: int = 42) -> Pipeline:
+               max_depth: int = 6, seed: int = 42, min_split: int = 2) -> Pipeline:
     """M7: random-forest LGD regression on one-hot categorical features."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__i", handleInvalid="keep") for c in categorical]
     ohe = OneHotEncoder(inputCols=[f"{c}__i" for c in categorical],
                         outputCols=[f"{c}__v" for c in categorical], dropLast=True, handleInvalid="keep")
     va = VectorAssembler(inputCols=[f"{c}__v" for c in categorical], outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed)
+                               maxDepth=max_depth, minInstancesPerNode=max(1, min_split // 2), seed=seed)
     return Pipeline(stages=[*idx, ohe, va, rf])
 
 

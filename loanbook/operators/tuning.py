@@ -160,3 +160,13 @@ SEARCHES = {
                         "subsample": Choice((0.6, 0.8, 1.0)), "learning_rate": LogUniform(0.01, 0.1), "max_depth": Whole(3, 9)}, 15),
     "lgd_forest": ({"n_estimators": Whole(100, 500), "max_depth": Whole(3, 10), "min_samples_split": Whole(2, 20)}, 15),
 }
+
+
+def search(name: str, fit, evaluate, maximise: bool, trials: int | None = None, space: dict | None = None, seed: int = 42) -> Tuner:
+    """M9: one of ``SEARCHES`` (or its ``space`` and ``trials`` changed):
+    ``fit`` turns a trial's parameters into a fitted model, ``evaluate`` gives
+    the model's held-out metric. Returns the tuner with its history."""
+    ranges, number = SEARCHES[name]
+    tuner = Tuner(space or ranges, maximise, seed)
+    tuner.run(lambda p: evaluate(fit(p)), number if trials is None else trials)
+    return tuner

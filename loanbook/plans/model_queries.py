@@ -352,11 +352,8 @@ def _search_sets(spark, d):
 def _logit_search(spark, d, name, evaluator, maximise):
     fit, held, cols = _search_sets(spark, d)
     n_w = fit.agg(F.sum("weight")).first()[0]
-    space, trials = TU.SEARCHES[name]
-    tuner = TU.Tuner(space, maximise)
-    tuner.run(lambda p: evaluator.evaluate(MD.logit(cols, "label", C=p["C"], l1_ratio=float(p.get("penalty") == "l1"), n_weight=n_w)
-                                           .fit(fit).transform(held)), trials)
-    return tuner.table(spark)
+    return TU.search(name, lambda p: MD.logit(cols, "label", C=p["C"], l1_ratio=float(p.get("penalty") == "l1"), n_weight=n_w).fit(fit),
+                     lambda m: evaluator.evaluate(m.transform(held)), maximise).table(spark)
 
 
 @register("m9_search")
@@ -371,6 +368,16 @@ def m9_pd_logit(spark, d):
     return _logit_search(spark, d, "pd_logit", MD.AveragePrecisionEvaluator("probability", "label"), True)
 
 
+@register("m9_lgd_forest")
+def m9_lgd_forest(spark, d):
+    """M9: 15 trials of the LGD forest, least held-out squared error."""
+    tr = _lgd_train(spark, d)
+    fit = cut_lineage(S.sample_n(tr, round(0.8 * tr.count()), ["id"], K.TRAIN_SEED))
+    held = cut_lineage(tr.join(fit.select("id"), "id", "left_anti"))
+    return TU.search("lgd_forest", lambda p: MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", p["n_estimators"], p["max_depth"], min_split=p["min_samples_split"]).fit(fit),
+                     lambda m: MD.mse(m.transform(held), "lgd"), False).table(spark)
+
+
 @register("c15_model_impute")
 def c15_model_impute(spark, d):
     """Forest imputation of the null numeric PD features, five rounds of ten trees."""

@@ -107,3 +107,14 @@ def test_split_is_stratified(spark):
     df = spark.range(1000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     n = {(r.label, r.split): r["count"] for r in stratified_split(df, "label", 0.8, ["id"]).groupBy("label", "split").count().collect()}
     assert n == {(0, "train"): 720, (0, "test"): 180, (1, "train"): 80, (1, "test"): 20}
+
+
+def test_boosted_search_on_a_small_table(spark):
+    rng = random.Random(8)
+    rows = [(x := rng.random(), rng.random(), int(x + rng.gauss(0, 0.2) > 0.6)) for _ in range(300)]
+    df = MD.balanced_weights(spark.createDataFrame(rows, "a double, b double, label int"), "label")
+    space = {**TU.SEARCHES["pd_boosted"][0], "n_estimators": TU.Whole(2, 4)}
+    ap = MD.AveragePrecisionEvaluator("probability", "label")
+    t = TU.search("pd_boosted", lambda p: MD.boosted(["a", "b"], "label", p).fit(df), lambda m: ap.evaluate(m.transform(df)), True, trials=2, space=space)
+    assert len(t.history) == 2 and all(0.5 < m <= 1 for _, m in t.history) and t.best()[1] == max(m for _, m in t.history)
+    assert {n: s[1] for n, s in TU.SEARCHES.items()} == {"pricing_logit": 50, "pd_logit": 15, "pd_boosted": 15, "review_boosted": 15, "lgd_forest": 15}
