@@ -18,34 +18,48 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from loanbook.llm import line_dedup, mixing, ngram_join, packing, toxicity  # noqa: E402
 from loanbook.llm.encoding import vocabulary_path  # noqa: E402
-from loanbook.llm.tables import scratch_path, table  # noqa: E402
+from loanbook.llm.tables import scratch_path, table, unused  # noqa: E402
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nnPU classifier doesn't reject (operator 2)."""
+    """Documents that the nnPU classifier doesn't reject (operator 2). Each row
+    is scored by its own text: rows that repeat an id or a text are decided
+    alike, null and empty texts have no feature and stay, further columns pass
+    through, and an empty table, or one without toxic labels, loses nothing."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one (operator 6). A document
-    all of whose lines are repeats goes; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).where("__lines = 0 OR __dropped < __lines")
-    return (out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
-            .select(*docs.columns))
+    all of whose lines are repeats goes; ``n_chars`` follows the text. Null,
+    empty and blank texts stay as they are, rows that repeat an id and a text
+    are one document, further columns pass through whatever their names, and
+    an empty table stays empty."""
+    lines, dropped = unused(docs, "__lines", "__dropped")
+    out = line_dedup.dedup_lines(docs, lines, dropped).where((F.col(lines) == 0) | (F.col(dropped) < F.col(lines)))
+    return (out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component (operator 1)."""
+    """The document of smallest id of each component (operator 1). Rows that
+    repeat an id stay or go together; rows without an id or without words
+    stay; further columns pass through; an empty table stays empty."""
     return ngram_join.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (operator 10)."""
+    """Each document as often as the mix takes it (operator 10). Rows that
+    repeat an id, source and size are taken equally often; a null source is a
+    source of its own; texts without words add nothing to a total; further
+    columns pass through whatever their names; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences (operator 8)."""
+    """Pieces of training sequences (operator 8). Every row is packed, repeated
+    ones too; a null or empty text is one piece of one id; further columns
+    don't matter; an empty table gives no piece."""
     return packing.pack(docs, vocabulary_path("word_bpe_49k.json"), end_id=1, size=2048, with_ids=False)
 
 
