@@ -341,3 +341,29 @@ def test_license_spans_of_repeated_texts_and_given_templates(spark):
     assert len(spans(4)) == 2 and got[5].spans == [] and got[6].n_words == 0
     own = license_scan.scan(df.where("doc_id = 0"), templates={"mine": " ".join(f"filler{k}" for k in range(20, 40))}, phrases={"filler1 filler2": "two"}).first()
     assert own.labels == "mine,two" and [(s.label, s.first, s.end) for s in own.spans] == [("mine", n + 20, n + 40)] and own.n_base == 1
+
+
+# ---- pipeline stages on odd tables
+
+def test_pipeline_stages_on_clashing_repeated_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+    rng = random.Random(21)
+    text = [" ".join(rng.choices([f"q{k}" for k in range(200)], k=30)) for _ in range(12)]
+    rows = [(k, t, "en", ["a", None][k % 2], len(t)) for k, t in enumerate(text)]
+    rows += [rows[0], (1, text[5], "en", "a", 9), (None, text[3], None, None, None), (50, None, "en", "a", 0), (51, "", "en", "a", 0), (52, " \n ", "en", "b", 3)]
+    names = ["__lines", "__dropped", "__id", "__key", "__drop", "__keep", "__words", "__copy", "__size", "__toxic", "__h"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *[f"{n}-{r[0]}" for n in names]) for r in rows], schema)
+    labels = spark.createDataFrame([(k, 0, int(k == 3)) for k in range(12)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for df in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            got = out.collect()
+            if name == "packing":
+                assert (len(got) > 0) == (df is docs)
+            else:
+                assert out.columns == docs.columns
+                for r in got:  # every row keeps its own further columns
+                    assert all(r[n] == f"{n}-{r.doc_id}" for n in names)
+                assert (len(got) > 0) == (df is docs)
