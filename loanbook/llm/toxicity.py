@@ -132,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     p = ids.where(positive).orderBy(*drawn).limit(POSITIVES).select("__id", F.lit(True).alias("__p"))
     u = ids.withColumn("__p", F.lit(False)).orderBy(*drawn).limit(UNLABELLED).select("__id", "__p")
     sample = p.union(u)  # at most POSITIVES + UNLABELLED ids: small enough to broadcast
-    chosen = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("doc_id", "__p", "text")
+    # one row an id (the smallest text), however often it stands: so the fit's rows are bounded too
+    chosen = (rows.join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "__p").agg(F.min("text").alias("text"))
+              .select("doc_id", "__p", "text"))
     features = map_arrow(chosen, _sampled, "doc_id long, positive boolean, features binary").repartition(1)
     model = map_arrow(features, _train, "feature long, weight double", prior=float(prior)).toArrow()
     name, weight = model["feature"].to_numpy(), model["weight"].to_numpy()
