@@ -367,3 +367,14 @@ def test_pipeline_stages_on_clashing_repeated_and_empty_tables(spark, tmp_path):
                 for r in got:  # every row keeps its own further columns
                     assert all(r[n] == f"{n}-{r.doc_id}" for n in names)
                 assert (len(got) > 0) == (df is docs)
+
+
+def test_toxicity_fit_takes_one_row_of_a_repeated_id(spark):
+    from loanbook.llm import toxicity
+    rng = random.Random(30)
+    good, bad = [f"g{k}" for k in range(80)], [f"b{k}" for k in range(20)]
+    rows = [(k, " ".join(rng.choices(good, k=30) + (rng.choices(bad, k=10) if k % 3 == 0 else []))) for k in range(600)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(600)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    often = toxicity.fit(spark.createDataFrame(rows + [rows[1]] * 2000 + [rows[3]] * 2000, "doc_id long, text string"), labels)
+    assert (once[0] == often[0]).all() and (once[1] == often[1]).all() and once[2] == often[2] and len(once[0]) > 0
