@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loanbook.llm.arrowtext import row_chunks, utf8
 from loanbook.llm.encoding import encoder
-from loanbook.llm.tables import map_arrow, only
+from loanbook.llm.tables import kept, map_arrow, only
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -182,8 +182,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before it, its number of ids, and the CRC-32 of its ids as little-endian
     unsigned 32-bit integers."""
     files = spark.read.schema(SEGMENTS).parquet(path)
-    # one row per written part; the table of parts is as small as the file list
-    before = (files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-              .select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
+    # one row per written part, as small as the file list; written first, so that its size
+    # is known and the payloads meet it without a shuffle
+    before = kept(files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+                  .select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "before")
     segments = files.join(before, "part").select("doc_ids", "doc_lengths", "first_id", "before", "payload")
     return map_arrow(segments, _documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
