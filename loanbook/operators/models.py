@@ -22,9 +22,10 @@ from loanbook.session import cut_lineage, reuse
 
 # ------------------------------------------------------------ helpers
 def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Class weights n / (2 n_class) (the 'balanced' rule), one aggregate."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    n = df.agg(F.count(F.lit(1))).scalar()
+    """Class weights n / (2 n_class) (the 'balanced' rule). The classes are
+    counted once, here; later passes over the result only look them up."""
+    c = cut_lineage(df.groupBy(label).agg(F.count(F.lit(1)).alias("__n")))
+    n = c.agg(F.sum("__n")).scalar()
     w = c.select(label, (n / (2 * F.col("__n"))).alias(out))
     return df.join(F.broadcast(w), label, "left")  # two rows: one per class
 

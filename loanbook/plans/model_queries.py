@@ -28,7 +28,7 @@ from loanbook.plans import woe_queries as WQ
 from loanbook.plans.catalog import register
 from loanbook.plans.review_queries import SCORE_SQL, sweep_score
 from loanbook.plans.sqlfrag import FINISHED_IN, LABEL_CASE, dbl, q, rint
-from loanbook.session import cut_lineage, reuse
+from loanbook.session import cut_lineage, reuse, spread
 from loanbook.sources import io as IO
 from loanbook.sources.tables import loan_book, with_loanbook
 
@@ -155,8 +155,13 @@ CHAIN_LEVELS = ["home_ownership", "purpose"]
 LOGIT_C = 1.0
 
 
+def _chain_features(spark, d):
+    """Finished loans with the columns of the pricing chain, kept for its passes."""
+    return spread(cut_lineage(WQ.features(spark, d).where("label IS NOT NULL").select("id", "label", *WQ.NUMERIC, *CHAIN_LEVELS)))
+
+
 def _chain_train(spark, d):
-    return MD.balanced_weights(WQ.features(spark, d).where("label IS NOT NULL"), "label")
+    return MD.balanced_weights(_chain_features(spark, d), "label")
 
 
 def pricing_chain(train, label: str = "label", C: float = LOGIT_C):
@@ -215,9 +220,9 @@ def _raw(df):
 def _calibrated_chain(spark, d):
     """The chain fitted on four fifths of the finished loans of each class,
     calibrated on the others. Returns (chain, calibrator, calibration rows)."""
-    tr = WQ.features(spark, d).where("label IS NOT NULL")
+    tr = _chain_features(spark, d)
     split = S.stratified_split(tr.select("id", "label"), "label", 0.8, ["id"], K.TRAIN_SEED)
-    tr = reuse(tr.join(split.select("id", "split"), "id"))
+    tr = cut_lineage(tr.join(split.select("id", "split"), "id"))
     chain = pricing_chain(MD.balanced_weights(tr.where("split = 'train'"), "label"))
     held = reuse(_raw(chain.transform(tr.where("split = 'test'"))))
     return chain, ISO.PooledIsotonic(scoreCol="raw_pd", labelCol="label").fit(held), held
@@ -251,7 +256,7 @@ def s8_model_store(spark, d):
     path, path2 = IO.scratch_path(spark, "chain"), IO.scratch_path(spark, "calibrator")
     IO.save_model(chain, path)
     IO.save_model(PipelineModel(stages=[cal]), path2)
-    book = reuse(WQ.features(spark, d))
+    book = cut_lineage(WQ.features(spark, d).select("id", *WQ.NUMERIC, *CHAIN_LEVELS))
 
     def scored(a, b):
         return b.transform(_raw(a.transform(book))).select("id", "raw_pd", "calibrated_pd")

@@ -118,3 +118,18 @@ def test_boosted_search_on_a_small_table(spark):
     t = TU.search("pd_boosted", lambda p: MD.boosted(["a", "b"], "label", p).fit(df), lambda m: ap.evaluate(m.transform(df)), True, trials=2, space=space)
     assert len(t.history) == 2 and all(0.5 < m <= 1 for _, m in t.history) and t.best()[1] == max(m for _, m in t.history)
     assert {n: s[1] for n, s in TU.SEARCHES.items()} == {"pricing_logit": 50, "pd_logit": 15, "pd_boosted": 15, "review_boosted": 15, "lgd_forest": 15}
+
+
+def test_class_weights_count_the_classes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(40).selectExpr("id", "CAST(id % 4 = 0 AS INT) AS label").mapInArrow(tick, "id long, label int")
+    out = MD.balanced_weights(df, "label")
+    assert seen.value == 40
+    assert {(r.label, r.weight) for r in out.collect()} == {(0, 40 / 60), (1, 2.0)}
+    assert seen.value == 80
