@@ -6,7 +6,8 @@ so they stand in a ``Pipeline``, are tuned with it and are saved and read back
 with it. The state of a model is two tables: its bins, and the level map of
 the categorical columns.
 
-Fitting, in passes over the data with partial aggregates:
+Fitting, in passes over the data with partial aggregates; the label and the
+fitted columns are kept for these passes, whatever plan they come from:
 
 1. numeric columns: exact order statistics cut each column into ``prebins``
    of equal size (values themselves, ties together); one grouped count gives
@@ -36,6 +37,7 @@ from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, Default
                              MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from loanbook.functions.quantiles import exact_quantiles
 from loanbook.operators.binning import SMOOTH, bin_index
@@ -143,12 +145,16 @@ class WoEBinner(Estimator, _WoEParams, DefaultParamsReadable, DefaultParamsWrita
 
     def _fit(self, df: DataFrame) -> WoEModel:
         spark, label = df.sparkSession, self.get("labelCol")
-        df = df.where(F.col(label).isNotNull())
-        t = df.agg(F.count_if(F.col(label) == 0).alias("g"), F.count_if(F.col(label) == 1).alias("b")).first()
-        if not t.g or not t.b:
-            raise ValueError("both classes are needed")
-        rows = [*self._numeric(df, t.g, t.b)]
-        levels, more = self._levels(df, t.g, t.b)
+        read = dict.fromkeys([label, *self.get("numericCols"), *self.get("categoricalCols")])
+        df = df.where(F.col(label).isNotNull()).select(*[df[c] for c in read]).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            t = df.agg(F.count_if(F.col(label) == 0).alias("g"), F.count_if(F.col(label) == 1).alias("b")).first()
+            if not t.g or not t.b:
+                raise ValueError("both classes are needed")
+            rows = [*self._numeric(df, t.g, t.b)]
+            levels, more = self._levels(df, t.g, t.b)
+        finally:
+            df.unpersist()
         bins = spark.createDataFrame([*rows, *more], BINS)
         return self._copyValues(WoEModel(bins, levels))
 

@@ -145,3 +145,16 @@ def test_isotonic_empty(spark):
     df = spark.createDataFrame([], "score double, label int")
     m = ISO.PooledIsotonic().fit(df)
     assert m.transform(spark.createDataFrame([(0.5,)], "score double")).first().calibrated_pd is None
+
+
+def test_fit_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(300).selectExpr("id * 7 % 300 / 3.0D AS x", "concat('l', id % 5) AS s", "CAST(id % 3 = 0 AS INT) AS label")
+    model = WoEBinner(numericCols=["x"], categoricalCols=["s"]).fit(df.mapInArrow(tick, "x double, s string, label int"))
+    assert model.bins.count() > 1 and seen.value == 300
