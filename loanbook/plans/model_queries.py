@@ -282,9 +282,9 @@ def review_features(lb, dictionary):
 
 def _review(spark, d):
     """(fitted trees, dictionary, finished loans encoded and weighted)."""
-    fin = _train(spark, d).select("id", "label", *K.REVIEW_FEATURES)
+    fin = cut_lineage(_train(spark, d).select("id", "label", *K.REVIEW_FEATURES))
     dic = cut_lineage(EN.fit_ordinal(fin, K.REVIEW_CATEGORICAL))
-    tr = cut_lineage(MD.balanced_weights(review_features(fin, dic), "label"))
+    tr = spread(cut_lineage(MD.balanced_weights(review_features(fin, dic), "label")))
     return MD.gbt(K.REVIEW_FEATURES, "label", max_iter=REVIEW_ROUNDS).fit(tr), dic, tr
 
 
@@ -309,10 +309,10 @@ def m10_review(spark, d):
 @register("m8_isotonic")
 def m8_isotonic(spark, d):
     """M8: isotonic calibration of boosted trees fitted on another split of the loans."""
-    fin = _train(spark, d).select("id", "label", *K.REVIEW_FEATURES)
+    fin = cut_lineage(_train(spark, d).select("id", "label", *K.REVIEW_FEATURES))
     dic = cut_lineage(EN.fit_ordinal(fin, K.REVIEW_CATEGORICAL))
     sp = S.stratified_split(fin.select("id", "label"), "label", 0.8, ["id"]).select("id", "split")
-    tr = cut_lineage(MD.balanced_weights(review_features(fin, dic), "label").join(sp, "id"))
+    tr = spread(cut_lineage(MD.balanced_weights(review_features(fin, dic), "label").join(sp, "id")))
     m = MD.gbt(K.REVIEW_FEATURES, "label", max_iter=REVIEW_ROUNDS).fit(tr.where("split = 'train'"))
     scored = reuse(_raw(m.transform(tr)))
     cal = ISO.PooledIsotonic(scoreCol="raw_pd", labelCol="label").fit(scored.where("split = 'test'"))
