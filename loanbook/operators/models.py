@@ -15,6 +15,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loanbook.functions.quantiles import exact_quantiles
 from loanbook.operators import aggregates as AG
 from loanbook.operators.pricing import score_from_logodds
 from loanbook.session import cut_lineage, reuse
@@ -136,21 +137,27 @@ def iterative_impute(df: DataFrame, cols: list[str], rounds: int = 5, num_trees:
                      seed: int = 42) -> DataFrame:
     """Start from medians, then per null column regress it on the other
     numeric columns (random forest) and refill its originally-null cells;
-    ``rounds`` passes, lineage cut between passes."""
-    null_flags = {c: F.col(c).isNull() for c in cols}
-    d = df.select("*", *[null_flags[c].alias(f"__null_{c}") for c in cols])
-    from loanbook.functions.quantiles import exact_quantile
-    d = reuse(d)
-    med = {c: exact_quantile(d, c, 0.5) for c in cols}
+    ``rounds`` passes, lineage cut between passes. A forest trained only on
+    rows without refilled cells would come out the same in every round and is
+    fitted once."""
+    d = reuse(df.select("*", *[F.col(c).isNull().alias(f"__null_{c}") for c in cols]))
+    med = exact_quantiles(d, {c: (F.col(c), 0.5) for c in cols})
+    n_holes = F.aggregate(F.array(*[F.col(f"__null_{c}").cast("int") for c in cols]), F.lit(0), lambda a, x: a + x)
+    seen = d.agg(*[F.count_if(f"__null_{c}").alias(f"null {c}") for c in cols],
+                 *[F.count_if(~F.col(f"__null_{c}") & (n_holes > 0)).alias(f"mixed {c}") for c in cols]).first()
+    targets = [c for c in cols if seen[f"null {c}"]]
     d = d.fillna({c: float(v) for c, v in med.items() if v is not None})
-    targets = [c for c in cols if d.filter(F.col(f"__null_{c}")).limit(1).count()]
+    fitted: dict[str, PipelineModel] = {}
     for _ in range(rounds):
         for c in targets:
-            others = [x for x in cols if x != c]
-            va = VectorAssembler(inputCols=others, outputCol="__f", handleInvalid="keep")
-            rf = RandomForestRegressor(featuresCol="__f", labelCol=c, predictionCol="__pred",
-                                       numTrees=num_trees, seed=seed)
-            m = Pipeline(stages=[va, rf]).fit(d.filter(~F.col(f"__null_{c}")))
+            m = fitted.get(c)
+            if m is None:
+                va = VectorAssembler(inputCols=[x for x in cols if x != c], outputCol="__f", handleInvalid="keep")
+                rf = RandomForestRegressor(featuresCol="__f", labelCol=c, predictionCol="__pred",
+                                           numTrees=num_trees, seed=seed)
+                m = Pipeline(stages=[va, rf]).fit(d.filter(~F.col(f"__null_{c}")))
+                if not seen[f"mixed {c}"]:  # no refilled cell among its training rows: the next rounds fit the same
+                    fitted[c] = m
             d = m.transform(d).withColumn(c, F.when(F.col(f"__null_{c}"), F.col("__pred")).otherwise(F.col(c))) \
                  .drop("__f", "__pred")
         d = cut_lineage(d)

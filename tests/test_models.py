@@ -133,3 +133,17 @@ def test_class_weights_count_the_classes_once(spark):
     assert seen.value == 40
     assert {(r.label, r.weight) for r in out.collect()} == {(0, 40 / 60), (1, 2.0)}
     assert seen.value == 80
+
+
+def test_imputer_fits_a_forest_once_where_its_rows_stay_the_same(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, x := rng.random(), *((None, None) if i % 4 == 0 else (2 * x, 3 * x))) for i in range(200)]
+    fits, fit = [], MD.Pipeline.fit
+    monkeypatch.setattr(MD.Pipeline, "fit", lambda self, df: (fits.append(1), fit(self, df))[1])
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double")
+    once = {r.id: r for r in MD.iterative_impute(df, ["x", "y", "z"], rounds=3, num_trees=3).collect()}
+    assert len(fits) == 2 and len(once) == 200 and all(r.y is not None and r.z is not None for r in once.values())
+    mixed = df.withColumn("z", F.when(F.col("id") % 4 == 1, None).otherwise(F.col("z")))  # y known where z is not
+    fits.clear()
+    MD.iterative_impute(mixed, ["x", "y", "z"], rounds=3, num_trees=3)
+    assert len(fits) == 4  # y in every round, z once
