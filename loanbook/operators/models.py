@@ -6,6 +6,8 @@ fitted parameters (coefficients, tree ensembles, isotonic knots).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator, RegressionEvaluator
@@ -55,12 +57,12 @@ class AveragePrecisionEvaluator(Evaluator):
 
 
 class LogLossEvaluator(Evaluator):
-    def __init__(self, labelCol: str = "label"):
+    def __init__(self, labelCol: str = "label", scoreCol: str = "probability"):
         super().__init__()
-        self.labelCol = labelCol
+        self.labelCol, self.scoreCol = labelCol, scoreCol
 
     def _evaluate(self, dataset: DataFrame) -> float:
-        d = dataset.withColumn("__p", p_default("probability"))
+        d = dataset.withColumn("__p", p_default(self.scoreCol) if self.scoreCol == "probability" else F.col(self.scoreCol))
         return float(AG.log_loss(d, "__p", self.labelCol).first()[0])
 
     def isLargerBetter(self) -> bool:
@@ -78,6 +80,107 @@ def logit(features: list[str], label: str = "label", C: float = 1.0, l1_ratio: f
                                             handleInvalid="keep"), lr])
 
 
+#: rows of a block of ``LogitSearch``
+BLOCK_ROWS = 4096
+
+
+def _blocks(batches):
+    """One block a batch: its columns as doubles, row by row."""
+    for b in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns])
+        for a in range(0, len(x), BLOCK_ROWS):
+            yield pa.record_batch([pa.array([x[a:a + BLOCK_ROWS].tobytes()], pa.binary())], names=["x"])
+
+
+def _moments(at: np.ndarray):
+    """Task of a pass: (loss, gradient, Hessian) of its blocks at ``at``, in one row."""
+    k = len(at)
+
+    def run(batches):
+        total = np.zeros(1 + k + k * k)
+        for b in batches:
+            for x in b.column(0):
+                z = np.frombuffer(x.as_py()).reshape(-1, k + 1)  # features, label, weight
+                f = np.column_stack([z[:, :k - 1], np.ones(len(z))])
+                y, w, m = z[:, k - 1], z[:, k], f @ at
+                p = 0.5 * (1 + np.tanh(0.5 * m))
+                total[0] += w @ (np.logaddexp(0, m) - y * m)
+                total[1:1 + k] += f.T @ (w * (p - y))
+                total[1 + k:] += (f.T @ (f * (w * p * (1 - p))[:, None])).ravel()
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["m"])
+
+    return run
+
+
+def _newton_step(at, g, h, l1: float, l2: float) -> np.ndarray:
+    """Minimum of the quadratic model at ``at`` with both penalties (none on the intercept)."""
+    k = len(at)
+    pen = np.r_[np.ones(k - 1), 0.0]
+    h = h + np.diag(l2 * pen + 1e-12)
+    g = g + l2 * pen * at
+    if not l1:
+        return at - np.linalg.solve(h, g)
+    new, slope = at.copy(), g.copy()  # slope: gradient of the model at new
+    for _ in range(10_000):
+        moved = 0.0
+        for j in range(k):
+            v = new[j] - slope[j] / h[j, j]
+            v = np.sign(v) * max(abs(v) - l1 * pen[j] / h[j, j], 0.0)
+            if v != new[j]:
+                slope += h[:, j] * (v - new[j])
+                moved, new[j] = max(moved, abs(v - new[j])), v
+        if moved < 1e-12:
+            break
+    return new
+
+
+class LogitSearch:
+    """M5 for many penalties on the same rows (M9). The rows are packed once
+    into blocks that stay in Spark; a fit minimises what ``logit`` minimises,
+    weighted log loss / ``n_weight`` + penalty, by Newton steps from the fit
+    before it. A step is one pass of partial sums (features^2 numbers a task);
+    a fit takes a few, where a gradient method takes up to a hundred."""
+
+    def __init__(self, df: DataFrame, features: list[str], label: str = "label", n_weight: float = 1.0):
+        rows = df.select(*[F.col(c).cast("double") for c in [*features, label, "weight"]])
+        self.features, self.n_weight = features, n_weight
+        self.rows = reuse(rows.mapInArrow(_blocks, "x binary"))
+        self.at = np.zeros(len(features) + 1)
+
+    def _pass(self, at):
+        parts = self.rows.mapInArrow(_moments(at), "m array<double>").collect()  # one row a task
+        t, k = np.sum([r.m for r in parts], axis=0) / self.n_weight, len(at)
+        return t[0], t[1:1 + k], t[1 + k:].reshape(k, k)
+
+    def fit(self, C: float, l1_ratio: float = 0.0, max_iter: int = 100, tol: float = 1e-9) -> np.ndarray:
+        """Coefficients in the features' order, then the intercept."""
+        reg = 1.0 / (C * max(self.n_weight, 1.0))
+        l1, l2 = reg * l1_ratio, reg * (1.0 - l1_ratio)
+
+        def penalty(at):
+            return l1 * np.abs(at[:-1]).sum() + 0.5 * l2 * (at[:-1] ** 2).sum()
+
+        at = self.at
+        loss, g, h = self._pass(at)
+        for _ in range(max_iter):
+            new = _newton_step(at, g, h, l1, l2)
+            if np.abs(new - at).max() <= tol * max(1.0, np.abs(at).max()):
+                break
+            found = self._pass(new)
+            while not found[0] + penalty(new) <= loss + penalty(at) + 1e-13 and np.abs(new - at).max() > tol:
+                new = (new + at) / 2
+                found = self._pass(new)
+            at, (loss, g, h) = new, found
+        self.at = at
+        return at
+
+    def scored(self, df: DataFrame, at: np.ndarray, out: str = "pd") -> DataFrame:
+        margin = F.lit(float(at[-1]))
+        for c, w in zip(self.features, at[:-1].tolist(), strict=True):
+            margin = margin + F.lit(w) * F.col(c)
+        return df.withColumn(out, 1 / (1 + F.exp(-margin)))
+
+
 def gbt(features: list[str], label: str = "label", max_depth: int = 4, max_iter: int = 30,
         step: float = 0.1, seed: int = 42) -> Pipeline:
     """M6: gradient-boosted trees with class weights (nulls -> sentinel -1)."""

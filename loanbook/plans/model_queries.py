@@ -344,33 +344,34 @@ def m14_lgd(spark, d):
 # ------------------------------------------------------------ M9
 def _search_sets(spark, d):
     """(fit rows, held-out rows, columns): WoE of the finished loans, bins fitted on the fit rows."""
-    tr = WQ.features(spark, d).where("label IS NOT NULL")
+    tr = _chain_features(spark, d)
     split = S.stratified_split(tr.select("id", "label"), "label", 0.8, ["id"], K.TRAIN_SEED)
-    tr = reuse(tr.join(split.select("id", "split"), "id"))
+    tr = cut_lineage(tr.join(split.select("id", "split"), "id"))
     fit = MD.balanced_weights(tr.where("split = 'train'"), "label")
     binner = WoEBinner(numericCols=WQ.NUMERIC, categoricalCols=CHAIN_LEVELS).fit(fit)
     cols = binner.woe_columns()
-    return (cut_lineage(binner.transform(fit).select("label", "weight", *cols)),
+    return (spread(cut_lineage(binner.transform(fit).select("label", "weight", *cols))),
             cut_lineage(binner.transform(tr.where("split = 'test'")).select("label", *cols)), cols)
 
 
 def _logit_search(spark, d, name, evaluator, maximise):
     fit, held, cols = _search_sets(spark, d)
     n_w = fit.agg(F.sum("weight")).first()[0]
-    return TU.search(name, lambda p: MD.logit(cols, "label", C=p["C"], l1_ratio=float(p.get("penalty") == "l1"), n_weight=n_w).fit(fit),
-                     lambda m: evaluator.evaluate(m.transform(held)), maximise).table(spark)
+    logits = MD.LogitSearch(fit, cols, "label", n_w)
+    return TU.search(name, lambda p: logits.fit(p["C"], float(p.get("penalty") == "l1")),
+                     lambda at: evaluator.evaluate(logits.scored(held, at)), maximise).table(spark)
 
 
 @register("m9_search")
 def m9_search(spark, d):
     """M9: 50 trials of the pricing logit, least held-out log loss."""
-    return _logit_search(spark, d, "pricing_logit", MD.LogLossEvaluator("label"), False)
+    return _logit_search(spark, d, "pricing_logit", MD.LogLossEvaluator("label", "pd"), False)
 
 
 @register("m9_pd_logit")
 def m9_pd_logit(spark, d):
     """M9: 15 trials of the PD logit (strength and kind of penalty), greatest held-out average precision."""
-    return _logit_search(spark, d, "pd_logit", MD.AveragePrecisionEvaluator("probability", "label"), True)
+    return _logit_search(spark, d, "pd_logit", MD.AveragePrecisionEvaluator("pd", "label"), True)
 
 
 @register("m9_lgd_forest")

@@ -120,19 +120,23 @@ def test_boosted_search_on_a_small_table(spark):
     assert {n: s[1] for n, s in TU.SEARCHES.items()} == {"pricing_logit": 50, "pd_logit": 15, "pd_boosted": 15, "review_boosted": 15, "lgd_forest": 15}
 
 
-def test_class_weights_count_the_classes_once(spark):
-    seen = spark.sparkContext.accumulator(0)
-
-    def tick(batches):
-        for b in batches:
-            seen.add(b.num_rows)
-            yield b
-
-    df = spark.range(40).selectExpr("id", "CAST(id % 4 = 0 AS INT) AS label").mapInArrow(tick, "id long, label int")
-    out = MD.balanced_weights(df, "label")
-    assert seen.value == 40
-    assert {(r.label, r.weight) for r in out.collect()} == {(0, 40 / 60), (1, 2.0)}
-    assert seen.value == 80
+@pytest.mark.parametrize("l1_ratio", [0.0, 1.0])
+def test_logit_of_a_search_equals_the_logit_in_few_passes(spark, monkeypatch, l1_ratio):
+    rng = random.Random(9)
+    rows = [(rng.gauss(0, 1), rng.gauss(0, 2), rng.gauss(0, 1)) for _ in range(900)]
+    rows = [(a, b, c, int(rng.random() < 1 / (1 + math.exp(-(a - 0.5 * b - 1))))) for a, b, c in rows]
+    df = MD.balanced_weights(spark.createDataFrame(rows, "a double, b double, c double, label int").repartition(3), "label")
+    search = MD.LogitSearch(df, ["a", "b", "c"], "label", 900.0)
+    passes, step = [], MD.LogitSearch._pass
+    monkeypatch.setattr(MD.LogitSearch, "_pass", lambda self, at: (passes.append(1), step(self, at))[1])
+    for C in (0.01, 5.0):
+        at = search.fit(C, l1_ratio)
+        want = MD.logit(["a", "b", "c"], "label", C=C, l1_ratio=l1_ratio, n_weight=900.0, max_iter=500, tol=1e-12).fit(df)
+        lr = want.stages[-1]
+        assert max(abs(x - y) for x, y in zip(at, [*lr.coefficients, lr.intercept], strict=True)) < 1e-5
+        one, two = (e.evaluate(x) for e, x in ((MD.LogLossEvaluator("label", "pd"), search.scored(df, at)), (MD.LogLossEvaluator("label"), want.transform(df))))
+        assert abs(one - two) < 1e-8
+    assert len(passes) <= 24
 
 
 def test_imputer_fits_a_forest_once_where_its_rows_stay_the_same(spark, monkeypatch):
@@ -147,3 +151,18 @@ def test_imputer_fits_a_forest_once_where_its_rows_stay_the_same(spark, monkeypa
     fits.clear()
     MD.iterative_impute(mixed, ["x", "y", "z"], rounds=3, num_trees=3)
     assert len(fits) == 4  # y in every round, z once
+
+
+def test_class_weights_count_the_classes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(40).selectExpr("id", "CAST(id % 4 = 0 AS INT) AS label").mapInArrow(tick, "id long, label int")
+    out = MD.balanced_weights(df, "label")
+    assert seen.value == 40
+    assert {(r.label, r.weight) for r in out.collect()} == {(0, 40 / 60), (1, 2.0)}
+    assert seen.value == 80
