@@ -217,6 +217,108 @@ def lgd_forest(categorical: list[str], label: str = "lgd", num_trees: int = 50,
     return Pipeline(stages=[*idx, ohe, va, rf])
 
 
+#: most combinations of categories that ``CellForest`` holds in a task
+MOST_CELLS = 4000
+#: rows bootstrapped at a time
+BOOT_ROWS = 2048
+
+
+def _bootstrap(trees: int, cells: int, seed: int):
+    """Task of a fit: for every tree, the number and label sum of the rows of
+    each cell, every row taken Poisson(1) times."""
+    def run(batches):
+        from pyspark import TaskContext
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        n, s = np.zeros((cells, trees)), np.zeros((cells, trees))
+        for b in batches:
+            at, label = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for a in range(0, len(at), BOOT_ROWS):
+                order = np.argsort(at[a:a + BOOT_ROWS], kind="stable")
+                cell, y = at[a:a + BOOT_ROWS][order], label[a:a + BOOT_ROWS][order]
+                w = rng.poisson(1.0, (len(cell), trees)).astype(np.float64)
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                n[cell[first]] += np.add.reduceat(w, first)
+                s[cell[first]] += np.add.reduceat(w * y[:, None], first)
+        for t in range(trees):
+            yield pa.record_batch([pa.array([t], pa.int32()), pa.array([np.r_[n[:, t], s[:, t]].tobytes()], pa.binary())], names=["tree", "sums"])
+
+    return run
+
+
+def _grown(has: np.ndarray, n: np.ndarray, s: np.ndarray, depth: int, least: int, rng) -> np.ndarray:
+    """Prediction of one regression tree for every cell: splits on a random
+    third of the levels, greatest fall of the variance, ``least`` rows a side."""
+    pred, wide = np.zeros(len(n)), has.shape[1]
+    open_ = [(np.arange(len(n)), 0)]
+    while open_:
+        at, d = open_.pop()
+        rows, total = n[at].sum(), s[at].sum()
+        pred[at] = total / rows if rows else 0.0
+        if d == depth or rows < 2 * least or not wide:
+            continue
+        tried = rng.choice(wide, -(-wide // 3), replace=False)
+        side = has[np.ix_(at, tried)]
+        n1, s1 = n[at] @ side, s[at] @ side
+        fit = np.flatnonzero((n1 >= least) & (rows - n1 >= least))
+        if not len(fit):
+            continue
+        gain = s1[fit] ** 2 / n1[fit] + (total - s1[fit]) ** 2 / (rows - n1[fit]) - total ** 2 / rows
+        k = gain.argmax()
+        if gain[k] > 1e-12 * rows:
+            yes = side[:, fit[k]] > 0
+            open_ += [(at[yes], d + 1), (at[~yes], d + 1)]
+    return pred
+
+
+class CellForest:
+    """M7 for many settings on the same rows (M9). With categories alone, all
+    rows of a combination of levels (a cell) go the same way in every tree, so
+    a tree needs only its bootstrapped row count and label sum of each cell.
+    One pass over the rows bootstraps them for all trees; then each tree grows
+    in a task of its own, from its cells. A fit reads the rows once, whatever
+    its depth. For up to ``MOST_CELLS`` cells; see ``make``."""
+
+    def __init__(self, cells: DataFrame, categorical: list[str], label: str):
+        self.categorical, self.label = categorical, label
+        found = [tuple(r) for r in cells.collect()]  # at most MOST_CELLS
+        found.sort(key=lambda r: tuple((v is not None, str(v)) for v in r))
+        levels = sorted({(i, str(v)) for r in found for i, v in enumerate(r) if v is not None})
+        self.has = np.array([[float(r[i] is not None and str(r[i]) == v) for i, v in levels] for r in found]).reshape(len(found), len(levels))
+        self.cells = found
+        self.types = ", ".join(f"`__c{i}` {cells.schema[c].dataType.simpleString()}" for i, c in enumerate(categorical))
+
+    @staticmethod
+    def make(df: DataFrame, categorical: list[str], label: str) -> CellForest | None:
+        """None where the rows have more than ``MOST_CELLS`` cells: take ``lgd_forest``."""
+        cells = cut_lineage(df.select(*categorical).distinct())
+        return CellForest(cells, categorical, label) if cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS else None
+
+    def with_cells(self, df: DataFrame, values, name: str, kind: str) -> DataFrame:
+        """``df`` with one value of its cell; rows of other cells keep a null."""
+        told = df.sparkSession.createDataFrame([(*c, v) for c, v in zip(self.cells, values, strict=True)], f"{self.types}, `{name}` {kind}")
+        same = [df[c].eqNullSafe(told[f"__c{i}"]) for i, c in enumerate(self.categorical)]
+        return df.join(F.broadcast(told), same, "left").drop(*[f"__c{i}" for i in range(len(same))])
+
+    def fit(self, rows: DataFrame, num_trees: int, max_depth: int, min_split: int, seed: int = 42) -> list[float]:
+        """Prediction of each cell. ``rows``: (__cell, label), by ``with_cells``."""
+        has, least = self.has, max(1, min_split // 2)
+
+        def grow(batches):
+            total, trees = np.zeros(len(has)), {}
+            for b in batches:
+                for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    trees[t] = trees.get(t, 0.0) + np.frombuffer(x)
+            for t, x in sorted(trees.items()):
+                total += _grown(has, x[:len(has)], x[len(has):], max_depth, least, np.random.default_rng([seed, 1, t]))
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["p"])
+
+        boot = rows.select("__cell", F.col(self.label).cast("double")).where(f"`{self.label}` IS NOT NULL").mapInArrow(
+            _bootstrap(num_trees, len(has), seed), "tree int, sums binary")
+        cores = rows.sparkSession.sparkContext.defaultParallelism
+        parts = boot.repartition(min(num_trees, 4 * cores), "tree").mapInArrow(grow, "p binary").collect()  # cells numbers a task
+        return (np.sum([np.frombuffer(r.p) for r in parts], axis=0) / num_trees).tolist()
+
+
 def lgd_profile(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Id, predicted LGD clipped to [0, 1]."""
     out = model.transform(df)

@@ -377,11 +377,16 @@ def m9_pd_logit(spark, d):
 @register("m9_lgd_forest")
 def m9_lgd_forest(spark, d):
     """M9: 15 trials of the LGD forest, least held-out squared error."""
-    tr = _lgd_train(spark, d)
+    tr = cut_lineage(_lgd_train(spark, d))
     fit = cut_lineage(S.sample_n(tr, round(0.8 * tr.count()), ["id"], K.TRAIN_SEED))
     held = cut_lineage(tr.join(fit.select("id"), "id", "left_anti"))
-    return TU.search("lgd_forest", lambda p: MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", p["n_estimators"], p["max_depth"], min_split=p["min_samples_split"]).fit(fit),
-                     lambda m: MD.mse(m.transform(held), "lgd"), False).table(spark)
+    cells = MD.CellForest.make(tr, K.LGD_CATEGORICAL, "lgd")
+    if cells is None:
+        return TU.search("lgd_forest", lambda p: MD.lgd_forest(K.LGD_CATEGORICAL, "lgd", p["n_estimators"], p["max_depth"], min_split=p["min_samples_split"]).fit(fit),
+                         lambda m: MD.mse(m.transform(held), "lgd"), False).table(spark)
+    rows = spread(cut_lineage(cells.with_cells(fit, range(len(cells.cells)), "__cell", "int").select("__cell", "lgd")))
+    return TU.search("lgd_forest", lambda p: cells.fit(rows, p["n_estimators"], p["max_depth"], p["min_samples_split"]),
+                     lambda means: MD.mse(cells.with_cells(held, means, "prediction", "double"), "lgd"), False).table(spark)
 
 
 @register("c15_model_impute")

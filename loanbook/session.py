@@ -89,7 +89,7 @@ def reuse(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A checkpointed table in equal parts, a whole number for every core, so
     that the many passes of an iterative fit keep all cores busy. Never fewer
-    parts than before; a table of one part (small) stays as it is."""
+    parts than before; a table of fewer parts than cores (small) stays as it is."""
     now, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
     wanted = -(-now // cores) * cores
-    return df if now in (1, wanted) else cut_lineage(df.repartition(wanted))
+    return df if now < cores or now == wanted else cut_lineage(df.repartition(wanted))

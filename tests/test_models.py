@@ -166,3 +166,47 @@ def test_class_weights_count_the_classes_once(spark):
     assert seen.value == 40
     assert {(r.label, r.weight) for r in out.collect()} == {(0, 40 / 60), (1, 2.0)}
     assert seen.value == 80
+
+
+def test_forest_by_cells_agrees_with_the_forest_in_one_pass_a_fit(spark):
+    rng = random.Random(11)
+    rows = [(p := rng.choice("abcd"), t := rng.choice(["x", "y", None]), "abcd".index(p) * 0.2 + (t == "y") * 0.1 + rng.gauss(0, 0.05)) for _ in range(1200)]
+    df = spark.createDataFrame(rows, "purpose string, term string, lgd double").repartition(3).cache()
+    names = ["purpose", "term"]
+    cells = MD.CellForest.make(df, names, "lgd")
+    assert len(cells.cells) == 12
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    own = cells.with_cells(df, range(12), "__cell", "int").select("__cell", "lgd").mapInArrow(tick, "__cell int, lgd double")
+    one = cells.fit(own, 150, 6, 8)
+    assert seen.value == 1200
+    assert one == cells.fit(own, 150, 6, 8) and one != cells.fit(own, 150, 6, 8, seed=1)
+    told = {(r.purpose, r.term): r for r in cells.with_cells(MD.lgd_forest(names, "lgd", 150, 6, min_split=8).fit(df).transform(df), one, "own", "double").collect()}
+    assert len(told) == 12 and all(abs(r.own - r.prediction) < 0.03 for r in told.values())
+    flat = cells.fit(own, 20, 6, 4000)  # too few rows for any split: the bootstrapped means
+    assert len(set(flat)) == 1 and abs(flat[0] - sum(r[2] for r in rows) / 1200) < 0.02
+    assert MD.CellForest.make(df.limit(0), names, "lgd").cells == []
+
+
+def test_more_cells_than_a_task_holds_go_to_the_forest(spark, monkeypatch):
+    monkeypatch.setattr(MD, "MOST_CELLS", 2)
+    df = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.3)], "purpose string, lgd double")
+    assert MD.CellForest.make(df, ["purpose"], "lgd") is None
+    assert MD.CellForest.make(df.where("purpose < 'c'"), ["purpose"], "lgd") is not None
+
+
+def test_spread_fills_every_core(spark):
+    from loanbook.session import cut_lineage, spread
+    cores = spark.sparkContext.defaultParallelism
+    d = cut_lineage(spark.range(1000).repartition(cores + 1))
+    out = spread(d)
+    assert out.rdd.getNumPartitions() == 2 * cores and out.count() == 1000 and out.distinct().count() == 1000
+    sizes = [len(x) for x in out.rdd.glom().collect()]
+    assert max(sizes) - min(sizes) <= cores
+    one = spark.range(5).coalesce(1)
+    assert spread(one) is one
