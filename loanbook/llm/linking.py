@@ -63,17 +63,32 @@ def promising(shared: DataFrame, possible: Column) -> DataFrame:
 
 def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
            class_of: Column | None = None, possible: Column | None = None,
-           sift: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+           sift: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of all nodes with a link. ``entries`` come from
     ``shared_entries``; ``verify`` takes groups (bag, i, j, node, root, side)
     and returns the links (a, b) between the rows of side 1 and 0 of a group,
     or among those of side 2; ``class_of`` splits a key among leaders;
     ``possible`` is a condition on the aliases x and y of two entries; ``sift``
-    takes pairs (hub, node) and leaves out ones that can't be links."""
+    takes pairs (hub, node) and leaves out ones that can't be links; ``known``
+    are links found before (a kept table, which goes)."""
     columns = entries.columns
     every = entries.withColumn("__class", F.lit(0) if class_of is None else class_of)
     e = every.withColumn("root", F.col("node"))
     founds, met = [], F.col("x.root") != F.col("y.root")
+
+    def mixed(e, roots):
+        """The rows of keys that have several components."""
+        told = e.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = (told.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
+                   .where("__lo <> __hi").select("key"))
+        return kept(told.join(several, "key"), "mixed")
+
+    if known is not None:
+        founds, roots = [known], components(known)
+        e = mixed(e, roots)
+        if e.isEmpty():
+            forget(e, known)
+            return roots
     if possible is not None:
         met = met & possible
     for turn in range(LEADER_ROUNDS):
@@ -86,10 +101,7 @@ def united(entries: DataFrame, verify: Callable[[DataFrame], DataFrame],
         founds.append(kept(verify(hub_groups(pairs)), "found"))
         roots = components(functools.reduce(DataFrame.union, founds))
         # a key whose lines are united stays so: only the others go on
-        told = e.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = (told.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
-                 .where("__lo <> __hi").select("key"))
-        before, e = e, kept(told.join(mixed, "key"), "mixed")
+        before, e = e, mixed(e, roots)
         enough = founds[-1].count() * ENOUGH_LINKS < pairs.count()
         forget(pairs, before)
         if enough:

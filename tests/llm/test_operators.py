@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -435,3 +436,53 @@ def test_op6_drops_lines_with_one_changed_character(spark):
     d = spark.createDataFrame([(1, "\n".join(lines), "en", "a", 1, None), (2, "\n".join([*changed, "own line"]), "en", "a", 1, None)], DOCS)
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
     assert out[1].text.split("\n") == lines and out[2].text == "own line" and out[2]["__dropped"] == len(lines)
+
+
+def test_line_pairs_and_entries_that_bit_maps_allow(monkeypatch):
+    """Keys of few lines give their possible pairs at once, larger ones the entries with a possible partner."""
+    rng = np.random.default_rng(2)
+
+    def some_bits():
+        return rng.integers(0, 1 << 63, line_dedup.MAP_WORDS).astype(np.uint64)
+    for turn in range(60):
+        rows = int(rng.integers(1, 120))
+        key = np.sort(rng.integers(0, max(1, rows // int(rng.integers(1, 14))), rows))
+        node, base = rng.integers(0, 40, rows), some_bits()
+        maps = np.stack([base & ~np.where(rng.random(len(base)) < .25, some_bits() & some_bits(), np.uint64(0)) for _ in range(40)])
+        n = rng.integers(480, 560, 40)
+        bits = [set(np.flatnonzero(np.unpackbits(m.view(np.uint8))).tolist()) for m in maps]
+        pairs, entries = set(), set()
+        for i in range(rows):
+            for j in np.flatnonzero((key == key[i]) & (node != node[i])).tolist():
+                x, y = int(node[i]), int(node[j])
+                a, b = len(bits[x] - bits[y]), len(bits[y] - bits[x])
+                if min(100 * (n[x] - a) - 80 * (n[x] + b), 100 * (n[y] - b) - 80 * (n[y] + a)) >= 0:
+                    if (key == key[i]).sum() <= line_dedup.FEW:
+                        pairs.add((min(x, y), max(x, y)))
+                    else:
+                        entries.add((int(key[i]), x))
+        batch = pa.record_batch([pa.array(key), pa.array(node), pa.array(n[node].astype(np.int32)), line_dedup._map_column(maps[node])],
+                                names=["key", "node", "n", "map"])
+        for most in (1 << 14, 9):
+            monkeypatch.setattr(line_dedup, "MOST_MAPS", most)
+            got = [r for b in line_dedup._promising([batch.slice(a, 10) for a in range(0, rows, 10)]) for r in b.to_pylist()]
+            own = [(r["key"], r["node"]) for r in got if r["key"] is not None]
+            assert {(r["hub"], r["node"]) for r in got if r["key"] is None} == pairs, turn
+            assert entries <= set(own) and len(own) <= rows and (most == 9 or set(own) == entries)
+
+
+def test_lines_are_split_at_line_feeds_alone():
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        docs = ["".join(rng.choice(list("ab\n\n \t\x0b\ré"), rng.integers(0, 14))) for _ in range(rng.integers(0, 6))]
+        off = np.cumsum([0, *(len(d.encode()) for d in docs)])
+        data = np.frombuffer("".join(docs).encode(), np.uint8)
+        got = [(d, k, data[a:b].tobytes().decode()) for a, b, d, k in zip(*line_dedup._lines(data, off), strict=True)]
+        assert got == [(d, k, x) for d, t in enumerate(docs) for k, x in enumerate(t.split("\n")) if x.strip(" \t\n\x0b\x0c\r")]
+
+
+def test_dropped_lines_are_those_not_kept(docs):
+    rows = docs.select("doc_id", F.xxhash64("text").alias("doc_key"), "text")
+    every = line_dedup.line_components(rows).collect()
+    got = [tuple(r) for r in line_dedup.dropped_lines(rows).collect()]
+    assert collections.Counter(got) == collections.Counter((r.doc_id, r.doc_key, r.line) for r in every if not r.kept) and got
